@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import bitpack, chat, warc
 
-QUERIES = {"op10_warc": warc.op10_warc}
-ORACLE_SQL = {"op10_warc": warc.ORACLE_SQL}
+QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
+    "op4_token_bitpack": bitpack.op4_token_bitpack,
+    "op10_warc": warc.op10_warc,
+}
+ORACLE_SQL = {"op1_chat_format": chat.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
