@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, warc
+from . import bitpack, chat, lexicon, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_token_bitpack": bitpack.op4_token_bitpack,
+    "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {"op1_chat_format": chat.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
