@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, lexicon, warc
+from . import bitpack, chat, lexicon, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_token_bitpack": bitpack.op4_token_bitpack,
     "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
+    "op7_simhash": simhash.op7_simhash,
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {"op1_chat_format": chat.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
