@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, kdtree, langid, lexicon, simhash, warc
+from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, simhash, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_kdtree_topk": kdtree.op2_kdtree_topk,
     "op4_token_bitpack": bitpack.op4_token_bitpack,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
     "op7_simhash": simhash.op7_simhash,
     "op9_langid": langid.op9_langid,
     "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL = {"op1_chat_format": chat.ORACLE_SQL, "op2_kdtree_topk": kdtree.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_chat_format": chat.ORACLE_SQL,
+    "op2_kdtree_topk": kdtree.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
+}
