@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, simhash, warc
+from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, simhash, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
     "op7_simhash": simhash.op7_simhash,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_langid": langid.op9_langid,
     "op10_warc": warc.op10_warc,
 }
