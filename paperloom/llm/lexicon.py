@@ -194,13 +194,17 @@ def round_trip(docs: DataFrame, tokenizer_path: str, lexicon: bytes | None = Non
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, decoded string")
 
 
-def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    done = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def digests(done: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the decoded text, from ``round_trip``'s rows."""
     return done.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("token_ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return digests(round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
