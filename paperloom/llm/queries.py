@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, simhash, substrings, warc
+from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, passages, simhash, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_kdtree_topk": kdtree.op2_kdtree_topk,
+    "op3_compact_windows": passages.op3_compact_windows,
     "op4_token_bitpack": bitpack.op4_token_bitpack,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
