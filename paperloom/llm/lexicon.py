@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import table
+from .common import materialize, table
 
 #: Words in the lexicon.  Bounds what is compiled on the driver and broadcast (under 3 MB).
 LEXICON_WORDS = 32_768
@@ -130,9 +130,22 @@ def load_tokenizer(path: str):
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", n: int = LEXICON_WORDS) -> DataFrame:
-    """The ``n`` most frequent lower-case words of all texts (ties to the smaller word).  Counts cover every row."""
+    """At most ``n`` of the most frequent lower-case words of all texts, cut at a count, so that no tie is broken.  Counts cover every row.
+
+    The least count comes from a histogram of counts (exact below 1024, by powers of
+    two above), so neither sorting nor partial lists of words reach the driver.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(n)
+    counts = materialize(words.groupBy("word").agg(F.count("*").alias("n")))
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
+    histogram = {r.level: r.words for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
+    least, taken = 2**62, 0
+    for found in sorted(histogram, reverse=True):
+        taken += histogram[found]
+        if taken > n:
+            break
+        least = found
+    return counts.filter(F.col("n") >= least).select("word")
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text", n: int = LEXICON_WORDS) -> bytes:
