@@ -32,6 +32,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = materialize(moved.union(lowest.select("a", F.col("low").alias("b"))).distinct())
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = edges.select(F.col("b").alias("a"), "b").distinct()
+            return edges.union(roots).select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
