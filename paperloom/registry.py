@@ -30,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _plans() -> None:
     """Import the modules that register queries."""
-    from .plans import corpus, lifecycle, queries, search  # noqa: F401
+    from .plans import corpus, lifecycle, more, queries, search  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
