@@ -116,7 +116,7 @@ def without_stop_words(query: Column, stop=STOP_WORDS) -> Column:
 def needs_enhancement(query: Column) -> Column:
     """A single short word, a known acronym, or a letter three times over."""
     tokens = words(F.lower(query))
-    return ((F.size(tokens) == 1) & (F.length(tokens[0]) <= 4)) | F.exists(tokens, lambda t: t.isin(*ACRONYMS)) | F.exists(tokens, lambda t: (F.length(t) > 3) & F.regexp_like(t, F.lit(r"(.)\1{2,}")))
+    return ((F.size(tokens) == 1) & (F.length(F.get(tokens, F.lit(0))) <= 4)) | F.exists(tokens, lambda t: t.isin(*ACRONYMS)) | F.exists(tokens, lambda t: (F.length(t) > 3) & F.regexp_like(t, F.lit(r"(.)\1{2,}")))
 
 
 def expand_acronyms(query: Column) -> Column:
@@ -258,7 +258,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def listed_lines(text: Column) -> Column:
     """Lines of a model's list without numbers, bullets and quotes; headings and single words go."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~F.regexp_like(F.lower(x), F.lit("^(generate|search|queries|variations)")))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda x: (x != "") & ~F.regexp_like(F.lower(x), F.lit("^(generate|search|queries|variations)")))
     bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\d+[.)]\s*", ""), r"^[-•*]\s*", ""), "^[\"']+|[\"']+$", ""))
     return F.filter(bare, lambda x: F.size(words(x)) >= 2)
 

@@ -26,7 +26,7 @@ def word_windows(docs: DataFrame, params: ChunkParams = CHUNK, text_col: str = "
 def sentences(text: Column) -> Column:
     """Sentences, paragraph by paragraph, with their end marks."""
     marked = F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), r"\n\n+", "\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def packed_sentences(docs: DataFrame, params: ChunkParams = CHUNK, text_col: str = "text") -> DataFrame:
@@ -75,7 +75,7 @@ def markdown_blocks(text: Column) -> Column:
         F.when(F.regexp_like(b, F.lit(r"^#{1,6} ")), "heading").when(F.regexp_like(b, F.lit(r"^\s*([-*]|\d+\.) ")), "list").when(F.regexp_like(b, F.lit(r"^\|")), "table").otherwise("text").alias("kind"),
         b.alias("text"),
     )
-    return F.transform(F.filter(F.transform(F.split(text, r"\n\n+"), F.trim), lambda b: b != ""), block)
+    return F.transform(F.filter(F.transform(F.split(text, r"\n\n+"), lambda s: F.trim(s)), lambda b: b != ""), block)
 
 
 def structure_chunks(docs: DataFrame, max_words: int = CHUNK.size, text_col: str = "text") -> DataFrame:

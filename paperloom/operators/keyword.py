@@ -45,7 +45,7 @@ def phrase_pairs(queries: DataFrame, chunks: DataFrame, mode: str = "token") ->
     low_text, low_query = F.lower("text"), F.lower("query")
     if mode == "substring":
         return few(queries).hint("broadcast").join(named, low_text.contains(low_query))
-    key = F.element_at(F.sort_array(F.transform(tokens(F.col("query")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
+    key = F.try_element_at(F.sort_array(F.transform(tokens(F.col("query")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), F.lit(-1))["t"]
     keyed = queries.withColumn("token", key).filter("token IS NOT NULL")
     met = keyed.join(token_index(named), "token").drop("token").join(named, "chunk_id")
     return met.filter(F.regexp_like(low_text, F.concat(F.lit("(?<![a-z0-9])"), T.quoted(low_query), F.lit("(?![a-z0-9])"))))

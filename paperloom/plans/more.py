@@ -213,7 +213,7 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a24_conversion_statistics", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, round(avg(length(html)), 6) AS mean, count(*) FILTER (length(html) < 1500) AS small FROM pages GROUP BY 1")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host, n = F.split(F.split("url", "://")[1], "/")[0], F.length("html")
+    host, n = F.get(F.split(F.get(F.split("url", "://"), F.lit(1)), "/"), F.lit(0)), F.length("html")
     return read(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n < 1500).alias("small"))
 
 
