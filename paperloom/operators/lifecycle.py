@@ -189,3 +189,32 @@ def group_by_vrn(registry: DataFrame, vehicles: DataFrame) -> DataFrame:
     groups = registry.filter("vrn IS NOT NULL").groupBy(F.upper("vrn").alias("vrn")).agg(F.count("*").alias("documents"))
     known = vehicles.groupBy(F.upper("registration_number").alias("vrn")).agg(F.min("id").alias("vehicle_id"))
     return groups.join(known, "vrn", "left")
+
+
+def new_entries(docs: DataFrame) -> DataFrame:
+    """Registry rows to add, from ``with_registry_id``: one for each new id."""
+    return docs.filter("is_new").select(F.col("registry_id").alias("id"), F.col("path").alias("markdown_file_path")).dropDuplicates(["id"])
+
+
+def apply_links(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``registry`` with the links whose outcome is ``linked``; those documents become assigned.  Of several vehicles for a document the smallest id wins."""
+    new = outcomes.filter("outcome = 'linked'").groupBy(F.col("document_id").alias("id")).agg(F.min("vehicle_id").alias("_v"))
+    joined = registry.join(new, "id", "left")
+    return joined.withColumn("status", F.when(F.col("_v").isNotNull(), "assigned").otherwise(F.col("status"))).withColumn("vehicle_id", F.coalesce("_v", "vehicle_id")).drop("_v")
+
+
+def unlink(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """The link becomes null and the document unassigned."""
+    joined = registry.join(ids.select("id").distinct().withColumn("_u", F.lit(True)), "id", "left")
+    return joined.withColumn("vehicle_id", F.when(F.col("_u").isNull(), F.col("vehicle_id"))).withColumn("status", F.when(F.col("_u"), "unassigned").otherwise(F.col("status"))).drop("_u")
+
+
+def reindexed(chunks: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks after deleting those of ``files`` and adding ``fresh`` ones."""
+    return chunks.join(files.select("file_name").distinct(), "file_name", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def key_sets(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Which keys of two map columns are in one alone or in both."""
+    x, y = F.map_keys(a), F.map_keys(b)
+    return rows.select(F.array_sort(F.array_except(x, y)).alias("only_a"), F.array_sort(F.array_except(y, x)).alias("only_b"), F.array_sort(F.array_intersect(x, y)).alias("both"))

@@ -46,6 +46,8 @@ def exact_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, threshold: f
     held = queries.filter("vec IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
     if held.n * held.d * 8 > MAX_QUERY_BYTES:
         raise ValueError("the query vectors are too large to broadcast; give them in parts")
+    if not held.n:
+        return chunks.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
     pdf = queries.filter("vec IS NOT NULL").select("query_id", "vec").toPandas()
     matrix = _unit(np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1))
     shared = chunks.sparkSession.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), matrix))

@@ -331,3 +331,85 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r06_document_flags", f"{U} SELECT query_id, regexp_matches(query, '(?i)\\d{{2,3}}-[A-Z]-\\d{{4,5}}') OR {' OR '.join(f'''contains(lower(query), '{p}')''' for p in (*Q.COUNT_PHRASES, *Q.DOCUMENT_PHRASES))} AS whole FROM user_queries")
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.user_queries(spark, sf_dir).select("query_id", Q.document_kind(F.col("query")).isNotNull().alias("whole"))
+
+
+@register("l14_links", f"WITH {REGISTRY}, q AS (SELECT id AS document_id, id % 50 + 1 AS vehicle_id FROM registry WHERE vehicle_id IS NULL AND id % 2 = 1) SELECT r.id, CASE WHEN q.document_id IS NOT NULL THEN q.vehicle_id WHEN r.id % 8 = 0 THEN NULL ELSE r.vehicle_id END AS vehicle_id, CASE WHEN q.document_id IS NOT NULL THEN 'assigned' WHEN r.id % 8 = 0 THEN 'unassigned' ELSE r.status END AS status FROM registry r LEFT JOIN q ON q.document_id = r.id")
+def l14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = I.registry_rows(spark, sf_dir).select("id", "vehicle_id", "status"), F.col("id")
+    asked = rows.filter("vehicle_id IS NULL AND id % 2 = 1").select(n.alias("document_id"), (n % 50 + 1).alias("vehicle_id"))
+    cars = spark.range(1, 60)
+    linked = lifecycle.apply_links(rows, lifecycle.link_outcomes(asked, rows, cars))
+    return lifecycle.unlink(linked, rows.filter("id % 8 = 0").select("id")).select("id", "vehicle_id", "status")
+
+
+@register("l10_new_entries", "SELECT count(*) AS n FROM documents WHERE doc_id % 3 <> 0")
+def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/d_"), "doc_id", F.lit(".md")).alias("path"))
+    known = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), F.col("path").alias("markdown_file_path"), F.col("doc_id").alias("uploaded_at"))
+    return lifecycle.new_entries(lifecycle.with_registry_id(docs, known)).agg(F.count("*").alias("n"))
+
+
+@register("l19_reindex", f"{K} SELECT chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE 'kept' END AS state FROM chunks")
+def l19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.chunks(spark, sf_dir).select("chunk_id", "doc_id", "file_name").withColumn("state", F.lit("kept"))
+    part = rows.filter("doc_id % 4 = 0")
+    return lifecycle.reindexed(rows, part.select("file_name"), part.withColumn("state", F.lit("again"))).select("chunk_id", "state")
+
+
+@register("u03_key_sets", "SELECT count(*) AS n, 'lang' AS only_a, 'size' AS only_b, 'id' AS both FROM documents")
+def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = read(spark, sf_dir, "documents").select(F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("lang"), "lang").alias("a"), F.create_map(F.lit("id"), F.lit("x"), F.lit("size"), F.lit("y")).alias("b"))
+    sets = lifecycle.key_sets(maps, "a", "b").select(*(F.array_join(c, ",").alias(c) for c in ("only_a", "only_b", "both")))
+    return sets.groupBy("only_a", "only_b", "both").agg(F.count("*").alias("n"))
+
+
+@register("a47_conversion_summary", "SELECT count(*) AS total, count(*) FILTER (length(html) >= 1000) AS ok, count(*) FILTER (length(html) < 1000) AS failed, round(avg(length(html)) FILTER (length(html) >= 1000), 6) AS mean FROM pages")
+def a47(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("html")
+    return read(spark, sf_dir, "pages").agg(F.count("*").alias("total"), F.count_if(n >= 1000).alias("ok"), F.count_if(n < 1000).alias("failed"), F.round(F.avg(F.when(n >= 1000, n)), 6).alias("mean"))
+
+
+@register("a39_metrics_summary", f"{K}, c AS (SELECT count(DISTINCT file_name) AS files, count(*) AS chunks, round(quantile_cont(length(text), 0.5), 6) AS median FROM chunks), v AS (SELECT count(*) AS vectors FROM embeddings WHERE len(embedding) = 64), e AS (SELECT count(DISTINCT event_type) AS kinds FROM events) SELECT * FROM c, v, e")
+def a39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three one-row reports side by side."""
+    chunks = I.chunks(spark, sf_dir).agg(F.countDistinct("file_name").alias("files"), F.count("*").alias("chunks"), F.round(F.percentile(F.length("text"), 0.5), 6).alias("median"))
+    vectors = read(spark, sf_dir, "embeddings").agg(F.count_if(F.size("embedding") == 64).alias("vectors"))
+    kinds = read(spark, sf_dir, "events").agg(F.countDistinct("event_type").alias("kinds"))
+    return chunks.join(F.broadcast(vectors)).join(F.broadcast(kinds))
+
+
+@register("f34_cleaned_extractions", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang || ' ' || source ELSE source END AS entity FROM documents")
+def f34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import cleaned_extraction
+
+    n = F.col("doc_id") % 3
+    reply = F.when(n == 0, " none. ").when(n == 1, F.concat(F.lit('Entity: "'), "lang", F.lit(" "), "source", F.lit('"'))).otherwise(F.concat("source", F.lit("!")))
+    return read(spark, sf_dir, "documents").select("doc_id", cleaned_extraction(reply)["entity"].alias("entity"))
+
+
+@register("f54_first_values", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS owner FROM documents")
+def f54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import first_value
+
+    values = F.create_map(F.lit("owner"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(" "), F.lit("holder"), F.col("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", first_value(values, "owner", "absent", "holder").alias("owner"))
+
+
+@register("r05_strategy_search")
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search for all queries of the benchmark, then hashed-embedding search for those that need it."""
+    from ..operators import retrieval
+
+    chunks = I.chunks(spark, sf_dir)
+    vectors = vector.embed(chunks.filter("chunk_index = 0").select(F.col("doc_id").alias("id"), "text"), "text", dim=16).drop("text")
+
+    def by_word(asked: DataFrame) -> DataFrame:
+        return keyword.exact_search(asked, chunks).select("query_id", F.col("doc_id").alias("id"), "score", F.lit("database_exact").alias("source_method"))
+
+    def by_vector(asked: DataFrame) -> DataFrame:
+        found = vector.exact_top_k(vector.embed(asked.select("query_id", "query"), "query", dim=16), vectors, 50)
+        joined = found.join(asked.select("query_id", "top_k", "threshold"), "query_id").filter("rank <= top_k AND score >= threshold")
+        return joined.select("query_id", "id", "score", F.lit("vector_search").alias("source_method"))
+
+    planned = retrieval.plan(I.search_queries(spark, sf_dir))
+    return retrieval.execute(planned, by_word, by_vector).select("query_id", "id", "source_method", F.round("score", 6).alias("score"))
