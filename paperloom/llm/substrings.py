@@ -34,7 +34,7 @@ from .common import materialize, shared_dir, table
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a block, window positions handled at once, and bytes of text for each part of the grams.
-BLOCK_BYTES, SEGMENT, PART_BYTES = 8 << 20, 1 << 20, 32 << 20
+BLOCK_BYTES, SEGMENT, PART_BYTES = 8 << 20, 1 << 20, 8 << 20
 _NO_ID = 2**63 - 1
 #: Odd multipliers of the hashes.
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
