@@ -31,7 +31,8 @@ def execute(planned: DataFrame, keyword: Search, vector: Search, enough: int = E
     vector search with twice their top_k (50 at most) and no threshold.  Each search takes queries and gives rows with
     query_id; the queries it is given are decided by joins, so nothing is searched in vain.
     """
-    hits = keyword(planned)
+    planned = planned.persist()  # a row for each query
+    hits = keyword(planned).persist()  # used by the counts, the union and the rest; the caller may unpersist by clearing the cache
     counts = hits.groupBy("query_id").agg(F.count("*").alias("_hits"))
     judged = planned.join(counts, "query_id", "left")
     open_ = judged.filter((F.col("strategy") != "database_priority") | (F.coalesce("_hits", F.lit(0)) < enough)).drop("_hits")

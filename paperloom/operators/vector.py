@@ -9,18 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that may be broadcast to every task.
+#: Bytes and rows of query vectors that may be broadcast to every task.
 MAX_QUERY_BYTES = 64 << 20
+MAX_QUERIES = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def normalize(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda u, n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(F.transform(u, lambda x: x.cast("double")))
+    return bind(v, lambda u: bind(F.sqrt(dot(u, u)), lambda n: scaled(u, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,12 +49,12 @@ def exact_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, threshold: f
     ``MAX_QUERY_BYTES``; a larger table of queries is to be given in parts.  Each task keeps its k best
     a query, so what is shuffled doesn't grow with the chunks of a task.
     """
-    held = queries.filter("vec IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
-    if held.n * held.d * 8 > MAX_QUERY_BYTES:
+    # one row more than may be broadcast, so the driver holds no more than that of a table of any size
+    pdf = queries.filter("vec IS NOT NULL").select("query_id", "vec").limit(MAX_QUERIES + 1).toPandas()
+    if len(pdf) > MAX_QUERIES or sum(map(len, pdf["vec"])) * 8 > MAX_QUERY_BYTES:
         raise ValueError("the query vectors are too large to broadcast; give them in parts")
-    if not held.n:
+    if not len(pdf):
         return chunks.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    pdf = queries.filter("vec IS NOT NULL").select("query_id", "vec").toPandas()
     matrix = _unit(np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1))
     shared = chunks.sparkSession.sparkContext.broadcast((pdf["query_id"].to_numpy(np.int64), matrix))
 
@@ -123,9 +129,10 @@ def answer_confidence(found: DataFrame, top: int = 5) -> DataFrame:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding without a model: signed counts of hashed words, scaled to length 1."""
     tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))  # a component and a sign, hashed once
     sums = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t), F.lit(dim)) == i, F.when(F.pmod(F.shiftright(F.xxhash64(t), 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
+        lambda i: (F.size(F.filter(places, lambda p: p == i)) - F.size(F.filter(places, lambda p: p == i + dim))).cast("double"),
     )
     return normalize(sums)
 
