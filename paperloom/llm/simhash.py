@@ -148,14 +148,14 @@ def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp long) of every row: SimHash over word shingles of the whole text.  Null or wordless text: zero."""
-    chunk = 8 << 20
+    chunk = 1 << 20  # of text at a time: the working arrays are many times its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
             data, ends = _text_bytes(batch.column(1))
             found = np.zeros(len(ends), np.uint64)
-            while at < len(ends):  # some MB of text at a time
+            while at < len(ends):
                 base = int(ends[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, base + chunk, side="right")))
                 buf, starts, lengths, doc = shingle_slices(data[base : ends[to - 1]], ends[at:to] - base, shingle)
