@@ -161,13 +161,15 @@ class Block:
         gone = (state[self.of] == EARLIER) | (self.doc_id > self.doc_id[self.entry][self.of])
         np.add.at(change, a["p1"][gone], 1)
         np.add.at(change, a["p2"][gone] + LENGTH, -1)
+        of_entry = np.zeros(len(self.entry), np.uint32)
         for m in masks:
-            which, bits = np.frombuffer(m["entries"], "<u4"), np.frombuffer(m["masks"], "<u4")
-            hit = self.entry[which]
-            for i in range(LENGTH - GRAM + 1):
-                p = a["p1"][hit[(bits >> np.uint32(i)) & 1 == 1]] + i
-                np.add.at(change, p, 1)
-                np.add.at(change, p + LENGTH, -1)
+            of_entry[np.frombuffer(m["entries"], "<u4")] |= np.frombuffer(m["masks"], "<u4")
+        hit = np.flatnonzero(of_entry[self.of])  # all anchors of an entry, not only the one that was sent
+        bits = of_entry[self.of[hit]]
+        for i in range(LENGTH - GRAM + 1):
+            p = a["p1"][hit[(bits >> np.uint32(i)) & 1 == 1]] + i
+            np.add.at(change, p, 1)
+            np.add.at(change, p + LENGTH, -1)
         return np.cumsum(change[:-1]) > 0
 
 

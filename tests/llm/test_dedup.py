@@ -156,6 +156,22 @@ def test_repeats_are_cut_as_by_brute_force(spark, monkeypatch, block):
         assert got[n] == want[n], (n, texts[n])
 
 
+@pytest.mark.parametrize("block", [500, 8 << 20])
+def test_repeats_within_a_document_are_cut_each_time(spark, monkeypatch, block):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    rows, r = [], random.Random(21)
+    for n in range(12):
+        p = prose(40, 500 + n)[: r.randint(50, 140)]
+        piece = prose(12, 600 + n) + p + prose(12, 700 + n)
+        rows += [(4 * n, 2 * n, prose(20, 800 + n) + p + prose(20, 900 + n)), (4 * n + 1, 2 * n + 1, f"{piece} {prose(9, n)} {piece}")]
+        rows += [(4 * n + 2, 2 * n + 1, piece + " and more"), (4 * n + 3, 90 + n, piece)]  # a row of the same id, and one of a larger
+    table = spark.createDataFrame([(i, t, n) for n, i, t in rows], "doc_id long, text string, block long")
+    got = {x["block"]: (bytes(x.kept), x.spans) for x in substrings.deduplicate(table).collect()}
+    want = cut(rows)
+    assert got == want
+    assert all(len(want[4 * n + 1][1]) == 2 for n in range(12))
+
+
 def test_anchors_over_segments(monkeypatch):
     data = np.frombuffer((prose(400, 2)).encode(), np.uint8)
     ends = np.array([700, len(data)])
