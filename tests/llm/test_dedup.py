@@ -231,6 +231,47 @@ def test_passages_link_their_documents(spark, docs):
     assert len(links) < 200  # not all pairs of the twenty copies of a passage, nor near it
 
 
+def similar_stretches(a, b, width, similarity):
+    """Whether any two stretches are long and similar enough, by trying all."""
+    cuts = [[set(x[i:j]) for i in range(len(x)) for j in range(i + width, len(x) + 1)] for x in (a.tolist(), b.tolist())]
+    return any(len(x & y) / len(x | y) >= similarity for x in cuts[0] for y in cuts[1])
+
+
+def test_an_edit_anywhere_keeps_a_passage():
+    width = passages.WORDS - passages.SHINGLE + 1
+    for words in range(50, 101):
+        n, lost = words - passages.SHINGLE + 1, []
+        for at in range(words):
+            a, b = np.arange(1000, 1000 + n, dtype=np.uint64), np.arange(1000, 1000 + n, dtype=np.uint64)
+            b[max(0, at - passages.SHINGLE + 1) : at + 1] += np.uint64(10**6)
+            a, b = np.concatenate([np.arange(20, dtype=np.uint64), a]), np.concatenate([b, np.arange(30, 70, dtype=np.uint64)])
+            whole = passages.jaccard_of(a[20:], b[:n]) >= passages.SIMILARITY
+            found = passages.verify(a, b, width, passages.SIMILARITY)
+            if found:
+                sa, ea, sb, eb, jaccard = found
+                assert min(ea - sa, eb - sb) >= width and jaccard == passages.jaccard_of(a[sa:ea], b[sb:eb]) >= passages.SIMILARITY
+            elif whole:
+                lost.append(at)
+        assert not lost, (words, lost)
+
+
+def test_verified_as_by_brute_force():
+    r, yes = random.Random(8), 0
+    for turn in range(600):
+        letters = r.choice((3, 8, 40))
+        a = [r.randrange(letters) for _ in range(r.randint(4, 15))]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 2)] = [r.randrange(letters) + (50 if r.random() < 0.5 else 0) for _ in range(r.randint(0, 2))]
+        k = r.randint(0, len(b)) if turn % 3 == 0 else 0
+        a, b = np.array(a, np.uint64), np.array(b[k:] + b[:k], np.uint64)
+        want = similar_stretches(a, b, 6, 0.75)
+        assert (passages.verify(a, b, 6, 0.75) is not None) == want, (a, b)
+        yes += want
+    assert 100 < yes < 500
+
+
 def test_passages_of_nothing(spark, docs):
     assert passages.passage_classes(docs([])).count() == 0
 
