@@ -1,4 +1,4 @@
-"""Operator 8: removal of repeated byte substrings, exact, by longest previous factors.
+"""Operator 8: removal of repeated byte substrings, exact, by grouping equal windows.
 
 A byte goes if it lies in a ``LENGTH``-byte string that also starts in a document
 of smaller id.  A suffix array of the whole corpus would be sorted in one
@@ -10,8 +10,8 @@ equal windows meet.  Three rounds over the texts, each in whole blocks:
    the gram.  A content met in an earlier document settles its windows; a gram that no
    earlier document has settles them too.
 2. Only contents whose gram an earlier document has in another content are sent in
-   full.  Their suffixes are sorted, and the previous and next smaller documents
-   in suffix order with a common prefix of ``LENGTH`` give the earlier matches.
+   full.  Their ``LENGTH``-byte windows are sorted, and the smallest document of each
+   run of equal ones gives the earlier matches.
 3. What is settled either way is cut from the texts.
 
 Texts stay in a table bucketed by block and are never shuffled.
@@ -200,8 +200,8 @@ def earlier_windows(gram: np.ndarray, ids: np.ndarray, lead: np.ndarray, size: n
     """For each context, a bit for each of its windows that starts in an earlier document.
 
     Suffixes of one gram are put in order of (gram, place of the gram, ``LENGTH``
-    bytes, document).  Where neighbours share all of that, the longest previous
-    factor reaches ``LENGTH``: the previous smaller document in suffix order is an earlier match.
+    bytes, document).  Neighbours that share all but the document form a run, whose
+    first document is an earlier match of the rest.
     """
     n_windows = size.astype(np.int64) - LENGTH + 1
     ctx = np.repeat(np.arange(len(size)), n_windows)
