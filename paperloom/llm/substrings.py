@@ -1,4 +1,4 @@
-"""Operator 8: removal of repeated byte substrings, exact, by grouping equal windows.
+"""Operator 8: removal of repeated byte substrings, exact, by longest previous factors.
 
 A byte goes if it lies in a ``LENGTH``-byte string that also starts in a document
 of smaller id.  A suffix array of the whole corpus would be sorted in one
@@ -7,14 +7,18 @@ gram of least hash inside it, which depends on the window's content alone, so
 equal windows meet.  Three rounds over the texts, each in whole blocks:
 
 1. (gram, content of the gram's windows) of every block is sent once, to the part of
-   the gram.  A content met in an earlier document settles its windows; a gram that no
-   earlier document has settles them too.
-2. Only contents whose gram an earlier document has in another content are sent in
-   full.  Their ``LENGTH``-byte windows are sorted, and the smallest document of each
-   run of equal ones gives the earlier matches.
+   the gram, as 32 and 64 hash bits: naming, as in the building of a suffix array.  A content met in an
+   earlier document has that name's first document as previous factor, whole; a gram that no
+   earlier document has settles its windows too.
+2. The first of each content whose gram an earlier document has in another content is sent in
+   full.  Each part builds the suffix array of their windows with its LCP array; the previous and
+   next smaller documents in suffix order give the longest previous factors, and windows with one
+   of ``LENGTH`` go.  A gram with very many contents is dealt anew, window by window, so no
+   group holds more than ``HOT_CONTENTS`` of one gram.
 3. What is settled either way is cut from the texts.
 
-Texts stay in a table bucketed by block and are never shuffled.
+Texts stay in a table bucketed by block and are never shuffled.  Equality of the 96 bits of a name counts as
+equality of bytes: for N names one pair is taken wrongly with a chance of about N * N / 2 ** 97.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ LENGTH = 50
 GRAM = 20
 #: Bytes of text in a block, window positions handled at once, and bytes of text for each part of the grams.
 BLOCK_BYTES, SEGMENT, PART_BYTES = 8 << 20, 1 << 20, 8 << 20
+#: Contents of one gram up to which their windows are compared together.
+HOT_CONTENTS = 4096
 _NO_ID = 2**63 - 1
 #: Odd multipliers of the hashes.
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -110,50 +116,70 @@ class Block:
         self.doc_id = ids[a["doc"]]
         both = (a["gram"] * _K[0]) ^ a["content"]
         order = np.lexsort((self.doc_id, both))
-        head = order[np.flatnonzero(np.diff(both[order], prepend=~both[order[:1]]))] if len(order) else order
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (both, a["gram"], a["content"])], axis=0)
+        head = order[new]
         part = ((a["gram"][head] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
-        self.entry, self.part = head[by_part], part[by_part]  # anchor that stands for each entry
+        self.entry, part = head[by_part], part[by_part]  # anchor that stands for each entry
         rank = np.empty(len(head), np.int64)
         rank[by_part] = np.arange(len(head))
         self.of = np.empty(len(order), np.int64)  # entry of each anchor
-        if len(order):
-            self.of[order] = rank[np.cumsum(np.diff(both[order], prepend=both[order[0]]) != 0)]
-        self.starts = np.searchsorted(self.part, np.arange(parts + 1))
+        self.of[order] = rank[np.cumsum(new) - 1]
+        self.part, starts = np.unique(part, return_index=True)  # the parts that have entries, and where those are
+        self.cuts = [slice(x, y) for x, y in zip(starts, [*starts[1:], len(part)], strict=True)]
 
     def entries(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """(part, grams, contents, ids) of each part."""
         gram = (self.anchors["gram"][self.entry] & np.uint64(0xFFFFFFFF)).astype("<u4")
         content, ids = self.anchors["content"][self.entry], self.doc_id[self.entry]
-        for p in np.unique(self.part).tolist():
-            cut = slice(self.starts[p], self.starts[p + 1])
+        for p, cut in zip(self.part.tolist(), self.cuts, strict=True):
             yield p, gram[cut].tobytes(), content[cut].tobytes(), ids[cut].tobytes()
 
     def states(self, answers: list[dict]) -> np.ndarray:
         """The state of each entry, from the answers of the parts."""
         out = np.zeros(len(self.entry), np.uint8)
         for a in answers:
-            n = self.starts[a["part"] + 1] - self.starts[a["part"]]
-            bits = np.unpackbits(np.frombuffer(a["states"], np.uint8), count=2 * n).reshape(n, 2)
-            out[self.starts[a["part"]] : self.starts[a["part"] + 1]] = 2 * bits[:, 0] + bits[:, 1]
+            cut = self.cuts[int(np.searchsorted(self.part, a["part"]))]
+            bits = np.unpackbits(np.frombuffer(a["states"], np.uint8), count=2 * (cut.stop - cut.start)).reshape(-1, 2)
+            out[cut] = 2 * bits[:, 0] + bits[:, 1]
         return out
 
-    def contexts(self, state: np.ndarray) -> Iterator[tuple]:
-        """(part, entries, grams, ids, lead, lengths, bytes) of the entries to be sent in full, for each part."""
-        for p in np.unique(self.part[state == SEND]).tolist():
-            which = self.starts[p] + np.flatnonzero(state[self.starts[p] : self.starts[p + 1]] == SEND)
-            a = self.entry[which]
-            p1, size = self.anchors["p1"][a], self.anchors["p2"][a] - self.anchors["p1"][a] + LENGTH
-            at = np.repeat(p1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            yield (
-                p,
-                which.astype("<u4").tobytes(),
-                (self.anchors["gram"][a] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                self.doc_id[a].tobytes(),
-                (self.anchors["c"][a] - p1).astype(np.uint8).tobytes(),
-                size.astype(np.uint8).tobytes(),
-                self.data[at].tobytes(),
-            )
+    def contexts(self, state: np.ndarray, parts: int) -> Iterator[tuple]:
+        """(part, entries, shifts, grams, ids, lengths, bytes) of the windows to be compared, for each part: whole contexts, or single windows of hot grams.
+
+        ``shifts`` has the number of each context's first window among its entry's.  Windows of hot grams that an earlier
+        document of this block has are settled here: part -1, and their entries and numbers.
+        """
+        p1, n = self.anchors["p1"][self.entry], self.anchors["p2"][self.entry] - self.anchors["p1"][self.entry] + 1
+        gram = (self.anchors["gram"][self.entry] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for p, cut in zip(self.part.tolist(), self.cuts, strict=True):
+            which = cut.start + np.flatnonzero(state[cut] == SEND)
+            if len(which):
+                yield p, *self._sent(which, np.zeros(len(which), np.int64), gram[which], n[which] + LENGTH - 1)
+        hot = np.flatnonzero(state == HOT)
+        if not len(hot):
+            return
+        which = np.repeat(hot, n[hot])
+        shift = np.arange(len(which)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+        lanes = window_lanes(self.data, p1[which] + shift)
+        sign = np.zeros(len(which), np.uint64)
+        for lane in lanes:
+            sign = (sign ^ lane) * _K[0]
+            sign ^= sign >> np.uint64(29)
+        ids = self.doc_id[self.entry[which]]
+        known = previous_factors(lanes, ids, LENGTH) >= LENGTH
+        yield -1, which[known].astype("<u4").tobytes(), shift[known].astype(np.uint8).tobytes(), b"", b"", b"", b""
+        which, shift, sign = which[~known], shift[~known], sign[~known]
+        to = ((sign >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+            yield int(to[own[0]]), *self._sent(which[own], shift[own], (sign[own] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.full(len(own), LENGTH))
+
+    def _sent(self, which: np.ndarray, shift: np.ndarray, gram: np.ndarray, size: np.ndarray) -> tuple:
+        a = self.entry[which]
+        at = np.repeat(self.anchors["p1"][a] + shift - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return which.astype("<u4").tobytes(), shift.astype(np.uint8).tobytes(), gram.tobytes(), self.doc_id[a].tobytes(), size.astype(np.uint8).tobytes(), self.data[at].tobytes()
 
     def removed(self, state: np.ndarray, masks: list[dict]) -> np.ndarray:
         """Whether each byte goes."""
@@ -163,7 +189,7 @@ class Block:
         np.add.at(change, a["p2"][gone] + LENGTH, -1)
         of_entry = np.zeros(len(self.entry), np.uint32)
         for m in masks:
-            of_entry[np.frombuffer(m["entries"], "<u4")] |= np.frombuffer(m["masks"], "<u4")
+            np.bitwise_or.at(of_entry, np.frombuffer(m["entries"], "<u4"), np.frombuffer(m["masks"], "<u4"))
         hit = np.flatnonzero(of_entry[self.of])  # all anchors of an entry, not only the one that was sent
         bits = of_entry[self.of[hit]]
         for i in range(LENGTH - GRAM + 1):
@@ -173,8 +199,8 @@ class Block:
         return np.cumsum(change[:-1]) > 0
 
 
-#: States of an entry: nothing earlier; all its windows are in an earlier document; to be compared in full.
-NOTHING, EARLIER, SEND = 0, 1, 2
+#: States of an entry: nothing earlier; all its windows are in an earlier document; to be compared in full, as a whole or window by window.
+NOTHING, EARLIER, SEND, HOT = 0, 1, 2, 3
 
 
 def settle(gram: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -190,35 +216,64 @@ def settle(gram: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray
     first = d[heads][of_content]
     low, high = (f.reduceat(d[heads], np.flatnonzero(new_gram[heads]))[of_gram] if len(g) else d for f in (np.minimum, np.maximum))
     several = low < high
-    found = np.where(d > first, EARLIER, np.where(several, SEND, NOTHING)).astype(np.uint8)
+    contents = np.bincount(of_gram[heads])[of_gram] if len(g) else d
+    found = np.where(d > first, EARLIER, np.where(~several, NOTHING, np.where(contents > HOT_CONTENTS, HOT, SEND))).astype(np.uint8)
     out = np.empty(len(g), np.uint8)
     out[order] = found
     return out
 
 
-def earlier_windows(gram: np.ndarray, ids: np.ndarray, lead: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each context, a bit for each of its windows that starts in an earlier document.
+def window_lanes(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ``LENGTH`` bytes from each place as big-endian numbers, of which the last overlaps."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    u8 = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    return [u8[at + k].astype(np.uint64) for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+
+
+def common_prefixes(lanes: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """LCP array: common bytes of each suffix and the next one in order, up to ``LENGTH``."""
+    out = np.full(max(0, len(order) - 1), LENGTH)
+    steps = np.array([1 << (8 * k) for k in range(1, 8)], np.uint64)
+    for k in range(len(lanes) - 1, -1, -1):
+        differ = lanes[k][order[1:]] ^ lanes[k][order[:-1]]
+        at = np.flatnonzero(differ)
+        out[at] = min(8 * k, LENGTH - 8) + 7 - np.searchsorted(steps, differ[at], side="right")
+    return out
+
+
+def nearest_smaller(lcp: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix the common prefix with the nearest suffix before it, in order, of a smaller document; what is under ``least`` may be any value under it.
 
-    Suffixes of one gram are put in order of (gram, place of the gram, ``LENGTH``
-    bytes, document).  Neighbours that share all but the document form a run, whose
-    first document is an earlier match of the rest.
+    A pointer to a suffix whose document isn't smaller jumps to where that one's own pointer leads, all at once.
     """
+    to, common = np.arange(len(doc)) - 1, np.concatenate([[0], lcp])[: len(doc)]
+    todo = np.flatnonzero(common >= least)
+    while len(todo := todo[(common[todo] >= least) & (doc[to[todo]] >= doc[todo])]):
+        via = to[todo]
+        to[todo], common[todo] = to[via], np.minimum(common[todo], common[via])
+    return common
+
+
+def previous_factors(lanes: list[np.ndarray], doc: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factor of each suffix, up to ``LENGTH``: its longest prefix that also starts in a smaller document.
+
+    The suffix array is sorted by the lanes; in it the longest match in smaller documents is next to a
+    suffix's previous or next smaller one.  Factors under ``least`` may come out as any value under it.
+    """
+    order = np.lexsort(lanes[::-1])
+    lcp, ranked = common_prefixes(lanes, order), doc[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(nearest_smaller(lcp, ranked, least), nearest_smaller(lcp[::-1], ranked[::-1], least)[::-1])
+    return out
+
+
+def earlier_windows(ids: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each context, a bit for each of its windows that starts in an earlier document."""
     n_windows = size.astype(np.int64) - LENGTH + 1
     ctx = np.repeat(np.arange(len(size)), n_windows)
     i = np.arange(n_windows.sum()) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     at = np.repeat(np.cumsum(size.astype(np.int64)) - size, n_windows) + i
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    u8 = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    lanes = [u8[at + k] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
-    place = (gram[ctx].astype(np.uint64) << np.uint64(8)) | (lead[ctx].astype(np.int64) - i).astype(np.uint64)
-    doc = ids[ctx]
-    order = np.lexsort((doc, *lanes[::-1], place))
-    same = np.ones(max(0, len(order) - 1), bool)
-    for lane in (place, *lanes):
-        same &= lane[order[1:]] == lane[order[:-1]]
-    run = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(order) else np.zeros(0, np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
-    hit = order[doc[order] > doc[order[heads]][run]]
+    hit = np.flatnonzero(previous_factors(window_lanes(text, at), ids[ctx], LENGTH) >= LENGTH)
     masks = np.zeros(len(size), np.uint32)
     np.bitwise_or.at(masks, ctx[hit], np.uint32(1) << i[hit].astype(np.uint32))
     return masks
@@ -260,7 +315,9 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     name = f"blocks_{uuid.uuid4().hex}"
     writer = blocks.write.bucketBy(buckets, "block").option("path", shared_dir(spark)).option("compression", "zstd")
     writer.saveAsTable(name)
-    return spark.table(name), buckets
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry alone: files of an external table stay, and what was looked up reads them
+    return found, buckets
 
 
 def _load(batch: pa.RecordBatch, i: int, parts: int) -> Block:
@@ -306,14 +363,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for i in range(batch.num_rows):
                 held, block = _load(batch, i, parts), batch.column("block")[i].as_py()
-                rows = [(p, block, *x) for p, *x in held.contexts(held.states(batch.column("answers")[i].as_py() or []))]
-                yield _batch(["part", "block", "entries", "gram", "ids", "lead", "size", "text"], rows, [pa.int32(), pa.int64(), *[pa.binary()] * 6])
+                rows = [(p, block, *x) for p, *x in held.contexts(held.states(batch.column("answers")[i].as_py() or []), parts)]
+                yield _batch(["part", "block", "entries", "shift", "gram", "ids", "size", "text"], rows, [pa.int32(), pa.int64(), *[pa.binary()] * 6])
 
     def compare(group: pa.Table) -> pa.Table:
-        kinds = {"entries": "<u4", "gram": "<u4", "ids": np.int64, "lead": np.uint8, "size": np.uint8, "text": np.uint8}
+        kinds = {"entries": "<u4", "shift": np.uint8, "gram": "<u4", "ids": np.int64, "size": np.uint8, "text": np.uint8}
+        settled = group.column("part")[0].as_py() < 0
         got = {c: np.frombuffer(b"".join(x.as_py() for x in group.column(c)), k) for c, k in kinds.items()}
         ends = np.cumsum([len(x.as_py()) // 4 for x in group.column("entries")])
-        masks = np.zeros(len(got["gram"]), "<u4")
+        masks = np.full(len(got["entries"]), int(settled), "<u4")
         # some thousand contexts at a time, whole grams together
         by_gram = np.argsort(got["gram"], kind="stable")
         at_text = np.cumsum(got["size"].astype(np.int64)) - got["size"]
@@ -325,18 +383,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             which = by_gram[a:b]
             size = got["size"][which].astype(np.int64)
             at = np.repeat(at_text[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            masks[which] = earlier_windows(got["gram"][which], got["ids"][which], got["lead"][which], got["size"][which], got["text"][at])
+            masks[which] = earlier_windows(got["ids"][which], got["size"][which], got["text"][at])
             a = b
+        masks = masks << got["shift"].astype(np.uint32)
         rows = []
         for block, x, y in zip(group.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
             hit = x + np.flatnonzero(masks[x:y])
             if len(hit):
-                rows.append((block, got["entries"][hit].tobytes(), masks[hit].tobytes()))
+                rows.append((block, got["entries"][hit].tobytes(), masks[hit].astype("<u4").tobytes()))
         return pa.Table.from_batches([_batch(["block", "entries", "masks"], rows, [pa.int64(), pa.binary(), pa.binary()])])
 
     answered = blocks.select(*columns).join(answers.hint("shuffle_hash"), "block", "left")
-    contexts = answered.mapInArrow(send_contexts, "part int, block long, entries binary, gram binary, ids binary, lead binary, size binary, text binary")
-    masks = contexts.repartition(parts, "part").groupBy("part").applyInArrow(compare, "block long, entries binary, masks binary")
+    contexts = answered.mapInArrow(send_contexts, "part int, block long, entries binary, shift binary, gram binary, ids binary, size binary, text binary")
+    salted = F.when(F.col("part") < 0, -1 - F.col("block") % parts).otherwise(F.col("part"))  # what a block settles itself goes back by block
+    masks = contexts.withColumn("part", salted.cast("int")).repartition(parts, "part").groupBy("part").applyInArrow(compare, "block long, entries binary, masks binary")
     masks = materialize(masks.groupBy("block").agg(F.collect_list(F.struct("entries", "masks")).alias("masks")))
 
     kept_columns = [c for c in docs.columns if c != text_col]

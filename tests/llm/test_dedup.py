@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -137,9 +138,10 @@ def cut(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [500, 8 << 20])
-def test_repeats_are_cut_as_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(500, 4096), (8 << 20, 4096), (500, 1), (8 << 20, 1), (2000, 6)])
+def test_repeats_are_cut_as_by_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substrings, "HOT_CONTENTS", hot)
     shared, line = prose(30, 9), "license line that many documents carry along, word for word, to their very end."
     texts = [None, "", "short", "x" * 49, "x" * 50, "x" * 400, "ab" * 300, line, line, "é" * 60, "é" * 61, shared, shared[:200], "z" + shared[20:150] + "q"]
     for s in range(25):
@@ -172,6 +174,32 @@ def test_repeats_within_a_document_are_cut_each_time(spark, monkeypatch, block):
     assert all(len(want[4 * n + 1][1]) == 2 for n in range(12))
 
 
+def test_longest_previous_factors_are_brute_force_s():
+    r = random.Random(6)
+    for letters in ("ab", "abcdefgh"):
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(50, 90))) for _ in range(14)]
+        texts += [texts[0][5:60], texts[3], "a" * 55, "a" * 60]
+        places = [(d, k) for d, t in enumerate(texts) for k in range(len(t) - 49)]
+        base = np.cumsum([0, *map(len, texts)])
+        doc = np.array([(d * 5) % 9 for d, _ in places])  # some documents of one id
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        lanes = substrings.window_lanes(data, np.array([base[d] + k for d, k in places]))
+        got = substrings.previous_factors(lanes, doc)
+        own = [texts[d][k : k + 50] for d, k in places]
+        for i, w in enumerate(own):
+            want = max((len(os.path.commonprefix([w, x])) for j, x in enumerate(own) if doc[j] < doc[i]), default=0)
+            assert got[i] == want
+        least = substrings.previous_factors(lanes, doc, 50)
+        assert ((least >= 50) == (got >= 50)).all()
+    none = [np.zeros(0, np.uint64)] * 7
+    assert len(substrings.previous_factors(none, np.zeros(0, np.int64))) == 0
+
+
+def test_no_table_is_left_in_the_catalog(spark, docs):
+    substrings.deduplicate(docs([(1, prose(40, 1)), (2, prose(40, 1))])).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
 def test_anchors_over_segments(monkeypatch):
     data = np.frombuffer((prose(400, 2)).encode(), np.uint8)
     ends = np.array([700, len(data)])
@@ -192,20 +220,26 @@ def test_no_documents_to_cut(spark, docs):
 
 def test_cartesian_bounds_are_the_nearest_smaller():
     r = random.Random(1)
-    values = r.sample(range(1000), 60)
-    left, right = passages.cartesian_bounds(list(range(60)), values, 0, 60)
-    for i, v in enumerate(values):
-        assert left[i] == max([j + 1 for j in range(i) if values[j] < v], default=0)
-        assert right[i] == min([j - 1 for j in range(i + 1, 60) if values[j] < v], default=59)
+    for documents in ([60], [1, 30, 7, 22], [2, 2]):
+        values = r.sample(range(1000), sum(documents))
+        limits = [sum(documents[:i]) for i in range(len(documents) + 1)]
+        starts, ends = (np.repeat(x, documents) for x in (limits[:-1], limits[1:]))
+        left, right = passages.cartesian_bounds(np.arange(len(values)), np.array(values), starts, ends)
+        for i, v in enumerate(values):
+            assert left[i] == max([j + 1 for j in range(starts[i], i) if values[j] < v], default=starts[i])
+            assert right[i] == min([j - 1 for j in range(i + 1, ends[i]) if values[j] < v], default=ends[i] - 1)
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in passages.cartesian_bounds(none, none, none, none)] == [0, 0]
 
 
 def test_window_minima_are_the_minima_of_windows():
-    v = np.random.default_rng(2).integers(0, 2**63, 500, dtype=np.uint64)
+    h = np.random.default_rng(2).integers(0, 2**63, 500, dtype=np.uint64)
+    v = passages.mixed(h, 3)
     starts = np.array([0, 180, 190])
     want = set()
     for a, b in ((0, 180), (180, 190), (190, 500)):
         want |= {p + int(np.argmin(v[p : p + 20])) for p in range(a, b - 19)}
-    assert set(passages.window_minima(v, starts, 20, 64).tolist()) == want
+    assert set(passages.window_minima(h, 3, passages.wide_starts(500, starts, 20), 20, 64).tolist()) == want
 
 
 def test_passages_link_their_documents(spark, docs):
@@ -272,6 +306,50 @@ def test_verified_as_by_brute_force():
     assert 100 < yes < 500
 
 
+def members(h, width, size):
+    """All stretches of ``width`` or more, as rows over the numbered shingles."""
+    n, out = len(h), []
+    for i in range(n):
+        for j in range(i + width, n + 1):
+            row = np.zeros(size, np.float32)
+            row[h[i:j]] = 1
+            out.append(row)
+    return np.array(out).reshape(-1, size)
+
+
+def test_recall_of_planted_passages_against_brute_force(spark, docs):
+    r, rows, true = random.Random(33), [], set()
+    width = passages.WORDS - passages.SHINGLE + 1
+    for n in range(90):
+        p = prose(r.randint(50, 68), 5000 + n).split()
+        q = list(p)
+        for _ in range(n % 4):  # changed, left out or put in
+            at = r.randrange(len(q))
+            q[at : at + r.randint(0, 1)] = [f"edit{n}"] * r.randint(0, 1)
+        rows += [(2 * n, f"{prose(30, 6000 + n)} {' '.join(p)} {prose(20, 6100 + n)}"), (2 * n + 1, f"{prose(25, 6200 + n)} {' '.join(q)}")]
+        a, b = ([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (p, q))
+        number = {x: i for i, x in enumerate(sorted({*a, *b}))}
+        a, b = (np.array([number[x] for x in w]) for w in (a, b))
+        size = int(max(a.max(), b.max())) + 1
+        x, y = (members(w, width, size) for w in (a, b))
+        common = x @ y.T
+        if len(x) and len(y) and (common / (x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - common)).max() >= passages.SIMILARITY - 1e-6:
+            true.add((2 * n, 2 * n + 1))
+    found = {(x.a_id, x.b_id) for x in passages.passage_links(docs(rows)).collect()}
+    assert len(true) > 50
+    assert len(found & true) / len(true) >= 0.98, true - found
+    assert all(b == a + 1 for a, b in found)
+
+
+def test_odd_passages(spark, docs):
+    """Very long texts, ties in ids, and columns of the operator's own names."""
+    long, passage = prose(60_000, 70), prose(60, 71)
+    rows = [(1, f"{long} {passage}"), (2, f"{passage} {prose(30, 72)}"), (2, prose(80, 73)), (5, "same line here " * 20_000), (6, "same line here " * 30), (7, None)]
+    table = docs(rows).selectExpr("*", "1 AS block", "2 AS part", "3 AS class_id", "'x' AS value")
+    got = [(r.doc_id, r.class_id) for r in passages.passage_classes(table).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (2, 1), (5, 5), (6, 5), (7, 7)]
+
+
 def test_passages_of_nothing(spark, docs):
     assert passages.passage_classes(docs([])).count() == 0
 
