@@ -1,6 +1,8 @@
 """Operator 10: WARC archives with an externally merged capture index.
 
-Archives are written by Spark's text sink, one WARC record per row, each file
+Archives are gzip files with a member a record, so the index's offset and length find one record
+without reading others.  They are written by Spark's text sink, whose rows are the members' bytes; its
+line ends are zero bytes, which gzip allows as padding between members.  Each file is
 sorted by (URL key, capture time, id), so the index entries read back from a
 file form a locally sorted run.  The runs are dealt by ranges of the sort key,
 and each range merges its runs with a loser tree, giving capture histories in
@@ -14,13 +16,16 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, table
 
 CRLF = "\r\n"
+#: Bytes of compressed records after which a file is closed, and index entries of a range.
+FILE_BYTES, RANGE_ROWS = 64 << 20, 200_000
 ENTRY = (
     "url_key string, capture_ts timestamp, page_id long, file string, offset long, length long, "
     "record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -56,23 +61,26 @@ def write_archives(
     payload_col: str = "html",
     ts_col: str | None = None,
     min_revisit_bytes: int = 0,
-    max_records_per_file: int = 20_000,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
-    """Write one WARC record per row of ``pages`` below ``path`` (gzip files of text records).
+    """Write one WARC record per row of ``pages`` below ``path``, in files of ``file_bytes`` and at most one record more.
 
     Of the records with equal payloads of at least ``min_revisit_bytes`` bytes the
     smallest id is the response; the others are revisits that refer to it and
     carry the HTTP headers alone.  Null payload: empty.  Null URL: ``urn:page:<id>``.
-    Rows with a null id can't be referred to and get no record.  A repeated row is
-    a record of its own.  Without ``ts_col`` the capture time derives from the id.
+    A row with a null id has the record id ``urn:page:null``; it counts as larger than any other, and where
+    all of a payload's ids are null, all are responses.  A repeated row is
+    a record of its own.  Without ``ts_col`` the capture time derives from the id.  An empty table gives no
+    record; other columns are left out, whatever their names.  A record of any length is one member.
     """
-    clean = F.regexp_replace(F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.col(id_col))), r"[\x00-\x20\x7f]+", "%20")
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    clean = F.regexp_replace(F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), name)), r"[\x00-\x20\x7f]+", "%20")
     ts = F.col(ts_col) if ts_col else F.timestamp_seconds(F.pmod(F.col(id_col), F.lit(4_000_000_000)))
-    rows = pages.filter(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         clean.alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-        F.coalesce(ts, F.timestamp_seconds(F.lit(0))).alias("ts"),
+        F.date_trunc("second", F.coalesce(ts, F.timestamp_seconds(F.lit(0)))).alias("ts"),  # as a record's date has it
     )
     rows = rows.withColumn("sha", F.sha1(F.encode("payload", "UTF-8")))
     # groups of one need no row here; written out, so the join knows its size and can split a hot digest
@@ -81,7 +89,7 @@ def write_archives(
     )
     rows = rows.join(firsts.hint("merge"), "sha", "left")
     size = F.octet_length("payload")
-    revisit = (size >= min_revisit_bytes) & F.col("first_id").isNotNull() & (F.col("first_id") != F.col("page_id"))
+    revisit = (size >= min_revisit_bytes) & F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     digest = base32_sha1(F.col("sha"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), size.cast("string"), F.lit(CRLF * 2)
@@ -91,7 +99,7 @@ def write_archives(
         F.lit("WARC/1.1" + CRLF + "WARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.lit(CRLF + "WARC-Record-ID: <urn:page:"),
-        F.col("page_id").cast("string"),
+        F.coalesce(F.col("page_id").cast("string"), F.lit("null")),
         F.lit(">" + CRLF + "WARC-Date: "),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(CRLF + "WARC-Target-URI: "),
@@ -110,16 +118,47 @@ def write_archives(
         F.octet_length(body).cast("string"),
         F.lit(CRLF * 2),
         body,
+        F.lit(CRLF * 2),
     )
-    (
-        rows.select(url_key(F.col("url")).alias("k"), "ts", "page_id", record.alias("value"))
-        .sortWithinPartitions("k", "ts", "page_id")
-        .select("value")
-        .write.option("lineSep", CRLF * 2)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .text(path)
-    )
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, seq, size = 0, 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for row in batch.column("record").slice(at, 256):
+                    if size >= file_bytes:
+                        archive, size = archive + 1, 0
+                    pack = zlib.compressobj(6, wbits=31)
+                    member = pack.compress(row.as_buffer()) + pack.flush()
+                    out.append((archive, seq, member))
+                    seq, size = seq + 1, size + len(member) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["archive", "seq", "member"])
+
+    ordered = rows.select(url_key(F.col("url")).alias("k"), "ts", "page_id", record.alias("record")).sortWithinPartitions("k", "ts", "page_id")
+    packed = ordered.select(F.encode("record", "UTF-8").alias("record")).mapInArrow(members, "archive int, seq long, member binary")
+    # in order already: the sort tells the writer so.  The bytes of a string are written as they are
+    packed = packed.sortWithinPartitions("archive", "seq").select("archive", F.col("member").cast("string").alias("value"))
+    packed.write.option("lineSep", "\0").partitionBy("archive").text(path)
+
+
+def members_of(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, bytes of the record) of each gzip member of an archive."""
+    at, view = 0, memoryview(blob)
+    while at < len(blob):
+        if not blob[at]:  # padding
+            at += 1
+            continue
+        unpack = zlib.decompressobj(31)
+        record, end = [unpack.decompress(view[at : at + (1 << 16)])], min(len(blob), at + (1 << 16))
+        while not unpack.eof:
+            if end == len(blob):
+                raise ValueError(f"the member at {at} is cut off")
+            record.append(unpack.decompress(view[end : end + (1 << 16)]))
+            end = min(len(blob), end + (1 << 16))
+        length = end - len(unpack.unused_data) - at
+        yield at, length, b"".join(record)
+        at += length
 
 
 def parse_records(blob: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -138,59 +177,49 @@ def parse_records(blob: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         at = start + size + 4
 
 
-def _number(urn: str) -> int:
-    return int(urn[len("<urn:page:") : -1])
+def _number(urn: str) -> int | None:
+    name = urn[len("<urn:page:") : -1]
+    return None if name == "null" else int(name)
 
 
-def _entry(file: str, at: int, length: int, head: dict[str, str], block: bytes) -> dict:
+def _entry(file: str, at: int, length: int, head: dict[str, str], block: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
     size = int(http.rpartition(b"Content-Length: ")[2])
     if head["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"{file}: the payload at {at} does not match its digest")
-    return {
-        "url": head["WARC-Target-URI"],
-        "date": head["WARC-Date"],
-        "page_id": _number(head["WARC-Record-ID"]),
-        "file": file,
-        "offset": at,
-        "length": length,
-        "record_type": head["WARC-Type"],
-        "refers_to": _number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None,
-        "payload_bytes": size,
-        "payload_digest": digest,
-    }
+    refers = _number(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
+    return head["WARC-Target-URI"], head["WARC-Date"], _number(head["WARC-Record-ID"]), file, at, length, head["WARC-Type"], refers, size, digest
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives below ``path``; those of one file, by offset, are a sorted run."""
+    """Index entries of all archives below ``path``; those of one file, by offset, are a sorted run.  A file is read whole, its records one by one."""
+    names = "url date page_id file offset length record_type refers_to payload_bytes payload_digest".split()
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                blob, rows = zlib.decompress(content, 31), []
-                for found in parse_records(blob):
-                    rows.append(_entry(file, *found))
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for at, length, record in members_of(content.as_py()):
+                    rows += [_entry(file, at, length, head, block) for _, _, head, block in parse_records(record)]
                     if len(rows) >= 5000:
-                        yield _frame(rows)
+                        yield batch_of(rows)
                         rows = []
-                yield _frame(rows)
+                if rows:
+                    yield batch_of(rows)
 
     schema = ENTRY.replace("url_key string, capture_ts timestamp", "url string, date string")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    found = raw.mapInPandas(parse, schema)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    found = raw.mapInArrow(parse, schema)
     return found.select(
         url_key(F.col("url")).alias("url_key"), F.to_timestamp("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("capture_ts"), *found.columns[2:]
     )
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    names = "url date page_id file offset length record_type refers_to payload_bytes payload_digest".split()
-    out = pd.DataFrame(rows, columns=names)
-    out["refers_to"] = out["refers_to"].astype("Int64")
-    return out
-
-
 class LoserTree:
     """Tournament tree over sorted runs: inner nodes keep losers, so each step replays one leaf-to-root path."""
 
@@ -227,28 +256,40 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Globally ordered capture index from the locally sorted runs.
 
-    Ranges of (URL key, time, id, file, offset) are dealt to tasks, so one hot URL spans many
+    Ranges of (URL key, time, id, file, offset) of some ``RANGE_ROWS`` rows are dealt to tasks, so one hot URL spans many
     tasks; inside a range each file's entries keep their run order and a loser
-    tree merges them.  Rows come back ordered within and across partitions.
+    tree merges them, a row of each run at a time.  Rows come back ordered within and across partitions; a null id comes first.
     """
     key = ["url_key", "capture_ts", "page_id"]
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # index entries of one range only
-        if not parts:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # index entries of one range only, as Arrow
+        if not held:
             return
-        all_rows = pd.concat(parts, ignore_index=True)
-        ordered, places = [], []
-        for _, run in all_rows.groupby("file", sort=True):
-            keys = zip(*(run[c].tolist() for c in key), strict=True)
-            ordered.append(iter(list(keys)))
-            places.append(iter(run.index.tolist()))
-        take = [next(places[r]) for r, _ in LoserTree(ordered)]
-        for i in range(0, len(take), 10_000):
-            yield all_rows.iloc[take[i : i + 10_000]]
-
-    dealt = runs.repartitionByRange(*key, "file", "offset").sortWithinPartitions("file", "offset")
-    return dealt.mapInPandas(merge, ENTRY)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        run = whole.column("file").combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.diff(run, prepend=-1)).tolist()  # sorted by file, so a file's rows adjoin
+        columns = [whole.column(c) for c in (key[0], key[1], key[2])]
+
+        def rows(start: int, end: int) -> Iterator[tuple]:
+            for at in range(start, end, 1024):
+                url, ts, ids = (c.slice(at, min(1024, end - at)) for c in columns)
+                stamps = ts.cast(pa.int64()).to_pylist()
+                for i, (u, t, n) in enumerate(zip(url.to_pylist(), stamps, ids.to_pylist(), strict=True)):
+                    yield (u is not None, u or ""), (t is not None, t or 0), (n is not None, n or 0), at + i
+
+        take = []
+        for _, (*_, at) in LoserTree([rows(a, b) for a, b in zip(cuts, [*cuts[1:], len(run)], strict=True)]):
+            take.append(at)
+            if len(take) == 10_000:
+                yield from whole.take(take).combine_chunks().to_batches()
+                take = []
+        if take:
+            yield from whole.take(take).combine_chunks().to_batches()
+
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, *key, "file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(merge, ENTRY)
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
@@ -269,10 +310,10 @@ _B32 = " || ".join(
 )
 
 ORACLE_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
      f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
 SELECT page_id, octet_length(encode(body)) AS payload_bytes, {_B32} AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM p JOIN f USING (h)
 """
