@@ -3,7 +3,8 @@
 Vectors are dealt by hash to shards; each shard is a KD-tree of median splits
 with tight bounding boxes.  Queries travel in packed blocks.  A block first
 searches one shard; the kth scores found there go along to all other shards and
-prune whole boxes before anything is multiplied.
+prune whole subtrees before anything is multiplied.  A task reads a shard's tree once
+and the blocks that search it after it, one by one.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SHARD_ROWS = 8_192
+#: Most rows of a shard (64 MB of 64 components), and the rows for which a further shard pays where there are idle tasks.
+SHARD_ROWS, LEAST_ROWS = 262_144, 8_192
 LEAF_ROWS = 256
+#: Most nodes of one query that a round of the traversal opens.
+ROUND_NODES = 64
 QUERY_ROWS = 1_024
 #: Stands for no row in lists of ids, and for their scores.  Scores beyond a long are cut to its range.
 NONE = -(2**63)
@@ -38,29 +42,34 @@ def unpacked(raw: bytes) -> dict[str, np.ndarray]:
 
 
 def build_tree(ids: np.ndarray, points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict[str, np.ndarray]:
-    """Rows in leaf order, and for each leaf its end, tight box and smallest id.  Splits halve the widest side of the box at its median."""
-    order, ends, low, high, first = [], [], [], [], []
-    stack = [np.argsort(ids, kind="stable")]
-    while stack:
-        rows = stack.pop()
-        x = points[rows]
+    """Rows in leaf order, and for each node its rows [start, end), tight box, smallest id and first child (the second is next to it), or -1.
+
+    Splits halve the widest side of the box at its median; a node's children come after it.
+    """
+    rows = np.argsort(ids, kind="stable")
+    start, end, low, high, child = [0], [len(ids)], [], [], []
+    node = 0
+    while node < len(start):
+        a, b = start[node], end[node]
+        x = points[rows[a:b]]
         lo, hi = x.min(axis=0), x.max(axis=0)
-        if len(rows) > leaf_rows:
-            half = len(rows) // 2
+        low.append(lo)
+        high.append(hi)
+        if b - a > leaf_rows:
+            half = (b - a) // 2
             # a box without extent is cut by id, which its rows are ordered by
             if points.shape[1] and (hi != lo).any():
                 parts = np.argpartition(x[:, int((hi - lo).argmax())], half)
-                stack += [np.sort(rows[parts[half:]]), np.sort(rows[parts[:half]])]
-            else:
-                stack += [rows[half:], rows[:half]]
-            continue
-        order.append(rows)
-        ends.append(len(rows))
-        low.append(lo)
-        high.append(hi)
-        first.append(ids[rows].min())
-    rows = np.concatenate(order)
-    return {"ids": ids[rows], "points": points[rows], "ends": np.cumsum(ends), "low": np.array(low), "high": np.array(high), "first": np.array(first)}
+                own = rows[a:b]
+                rows[a:b] = np.concatenate([np.sort(own[parts[:half]]), np.sort(own[parts[half:]])])
+            child.append(len(start))
+            start += [a, a + half]
+            end += [a + half, b]
+        else:
+            child.append(-1)
+        node += 1
+    first = np.array([ids[rows[a:b]].min() for a, b in zip(start, end, strict=True)])
+    return {"ids": ids[rows], "points": points[rows], "start": np.array(start), "end": np.array(end), "low": np.array(low), "high": np.array(high), "child": np.array(child), "first": first}
 
 
 def exact_type(d: int, a: np.ndarray, b: np.ndarray):
@@ -75,45 +84,61 @@ def as_kind(a: np.ndarray, kind) -> np.ndarray:
     return a.astype(kind)
 
 
-def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Improve each query's best list (ids, scores: (queries, k), ordered, ``NONE`` for none) by the rows of ``tree``.
+def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Improve each query's best list (ids, scores: (queries, k), ordered, ``NONE`` for none) by the rows of ``tree``; and the number of products formed.
 
-    Best first: leaves in the order of the most their box can score, more of them each
-    round, and only while that can still beat the kth score (or tie it with a smaller id).
-    A row doesn't meet a query of its own id.
+    Best first from the root: each query keeps a frontier of nodes; its nodes of the highest bound are opened, more of
+    them each round, inner ones into their children, leaves into their rows; nodes that can't beat the kth score any more
+    (or tie it with a smaller id) leave the frontier.  A row doesn't meet a query of its own id.
     """
     kind = exact_type(queries.shape[1], queries, tree["points"])
     q, x, low, high = (as_kind(a, kind) for a in (queries, tree["points"], tree["low"], tree["high"]))
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    starts = np.concatenate([[0], tree["ends"][:-1]])
-    ids, scores = ids.copy(), scores.copy()
-    at, step, n = 0, 1, len(starts)
-    while at < n:
-        leaves = order[:, at : at + step]
-        bound = np.take_along_axis(bounds, leaves, axis=1)
-        kth, kth_id = scores[:, -1:], ids[:, -1:]
-        open_ = (kth_id == NONE) | (bound > kth) | ((bound == kth) & (tree["first"][leaves] < kth_id))
-        if not open_.any():
-            break  # bounds only fall from here on
-        rows, columns = np.nonzero(open_)
-        visit = leaves[rows, columns]
-        by_leaf = np.argsort(visit, kind="stable")
-        rows, visit = rows[by_leaf], visit[by_leaf]
-        head = np.flatnonzero(np.diff(visit, prepend=-1))
-        for a, b in zip(head, np.append(head[1:], len(rows)), strict=True):
-            who, leaf = rows[a:b], visit[a]
-            span = slice(starts[leaf], tree["ends"][leaf])
-            found = q[who] @ x[span].T
-            found = np.clip(found, NONE + 1, -NONE - 1).astype(np.int64) if kind is object else found.astype(np.int64)
-            names = np.broadcast_to(tree["ids"][span], found.shape)
-            ids[who], scores[who] = best_of(
-                np.concatenate([ids[who], np.where(names == q_ids[who][:, None], NONE, names)], axis=1),
-                np.concatenate([scores[who], found], axis=1),
-                k,
-            )
-        at, step = at + step, step * 2
-    return ids, scores
+    above, below = np.maximum(q, 0), np.minimum(q, 0)
+    ids, scores, formed, step = ids.copy(), scores.copy(), 0, 1
+
+    def bounds(who: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The most that any point of a node's box can score."""
+        if kind is object:
+            return (above[who] * high[nodes] + below[who] * low[nodes]).sum(axis=1)
+        return np.einsum("ij,ij->i", above[who], high[nodes]) + np.einsum("ij,ij->i", below[who], low[nodes])
+
+    who, nodes = np.arange(len(q)), np.zeros(len(q), np.int64)
+    bound = bounds(who, nodes)
+    while len(who):
+        kth, kth_id = scores[who, -1], ids[who, -1]
+        open_ = (kth_id == NONE) | (bound > kth) | ((bound == kth) & (tree["first"][nodes] < kth_id))
+        who, nodes, bound = who[open_], nodes[open_], bound[open_]
+        if not len(who):
+            break
+        by_bound = np.argsort(-bound, kind="stable")
+        order = by_bound[np.argsort(who[by_bound], kind="stable")]
+        who, nodes, bound = who[order], nodes[order], bound[order]
+        new = np.flatnonzero(np.diff(who, prepend=-1))
+        place = np.arange(len(who)) - np.repeat(new, np.diff(np.append(new, len(who))))
+        now = place < step
+        leaf = now & (tree["child"][nodes] < 0)
+        inner = now & ~leaf
+        if leaf.any():
+            step = min(2 * step, ROUND_NODES)
+            visit, asking = nodes[leaf], who[leaf]
+            by_leaf = np.argsort(visit, kind="stable")
+            visit, asking = visit[by_leaf], asking[by_leaf]
+            head = np.flatnonzero(np.diff(visit, prepend=-1))
+            for a, b in zip(head, np.append(head[1:], len(visit)), strict=True):
+                rows, own = slice(tree["start"][visit[a]], tree["end"][visit[a]]), asking[a:b]
+                found = q[own] @ x[rows].T
+                formed += found.size
+                found = np.clip(found, NONE + 1, -NONE - 1).astype(np.int64) if kind is object else found.astype(np.int64)
+                names = np.broadcast_to(tree["ids"][rows], found.shape)
+                ids[own], scores[own] = best_of(
+                    np.concatenate([ids[own], np.where(names == q_ids[own][:, None], NONE, names)], axis=1),
+                    np.concatenate([scores[own], found], axis=1),
+                    k,
+                )
+        twice, children = np.repeat(who[inner], 2), np.repeat(tree["child"][nodes[inner]], 2) + np.tile([0, 1], int(inner.sum()))
+        found = bounds(twice, children)
+        who, nodes, bound = (np.concatenate([old[~now], more]) for old, more in ((who, twice), (nodes, children), (bound, found)))
+    return ids, scores, formed
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +171,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     Vectors and ids that are null, and vectors with a null or non-finite component, take
     no part.  Ties go to the smaller id.  Of rows that repeat an id the
-    smallest vector counts.  Vectors meet only those of their own length.
+    smallest vector counts.  Vectors meet only those of their own length.  An empty table gives no row; other
+    columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     good = vectors.select(
@@ -156,10 +182,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     sizes = good.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()  # a row for each vector length
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_shards = F.create_map(*(F.lit(x) for r in sizes for x in (r.dim, -(-r.n // shard_rows))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = {r.dim: max(-(-r.n // shard_rows), min(tasks, -(-r.n // LEAST_ROWS))) for r in sizes}
+    n_shards = F.create_map(*(F.lit(x) for dim, n in shards.items() for x in (dim, n)))
     n_blocks = F.create_map(*(F.lit(x) for r in sizes for x in (r.dim, max(1, -(-r.q // QUERY_ROWS)))))
     dealt = F.xxhash64("vec_id")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, points = _matrix(pdf)
@@ -176,22 +203,38 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     blocks = good.filter("is_query").withColumn("block", F.pmod(dealt, n_blocks[F.col("dim")]).cast("int")).groupBy("dim", "block")
     blocks = materialize(blocks.applyInPandas(block, "dim int, block int, state binary"))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree, s = unpacked(batch.column("tree")[i].as_py()), unpacked(batch.column("state")[i].as_py())
-                ids, scores = search(tree, s["q_ids"], s["queries"], k, s["ids"], s["scores"])
-                state = packed(q_ids=s["q_ids"], queries=s["queries"], ids=ids, scores=scores)
-                yield pa.RecordBatch.from_arrays([batch.column("dim").slice(i, 1), batch.column("block").slice(i, 1), pa.array([state])], ["dim", "block", "state"])
+    def searches(states: DataFrame, fn, schema: str) -> DataFrame:
+        """Rows of ``fn(dim, block, state of the block, its new ids and scores)`` for each (dim, shard, block, state): a shard's tree, then its blocks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, tree = None, None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    dim, shard_, block_, raw = (c[i].as_py() for c in batch.columns)
+                    if block_ < 0:
+                        key, tree = (dim, shard_), unpacked(raw)
+                        continue
+                    if key != (dim, shard_):
+                        raise RuntimeError("a block came before its shard's tree")
+                    s = unpacked(raw)
+                    ids, scores, _ = search(tree, s["q_ids"], s["queries"], k, s["ids"], s["scores"])
+                    yield fn(dim, block_, s, ids, scores)
+
+        rows = trees.select("dim", "shard", F.lit(-1).alias("block"), F.col("tree").alias("raw")).unionByName(states.select("dim", "shard", "block", F.col("state").alias("raw")))
+        return rows.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "block").mapInArrow(run, schema)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree, s = unpacked(batch.column("tree")[i].as_py()), unpacked(batch.column("state")[i].as_py())
-                ids, scores = search(tree, s["q_ids"], s["queries"], k, s["ids"], s["scores"])
-                # only what this shard adds: the home list is given once, below
-                new = ~(ids[:, :, None] == s["ids"][:, None, :]).any(axis=2) & (ids != NONE)
-                yield rows_of(s["q_ids"], ids, scores, new)
+    def rows_of(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        who = np.nonzero(which)[0]
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(ids[which]), pa.array(scores[which])], ["query_id", "vec_id", "score"])
+
+    def improved(dim: int, block_: int, s: dict, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        state = packed(q_ids=s["q_ids"], queries=s["queries"], ids=ids, scores=scores)
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block_], pa.int32()), pa.array([state])], ["dim", "block", "state"])
+
+    def candidates(dim: int, block_: int, s: dict, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        # only what this shard adds: the home list is given once, below
+        new = ~(ids[:, :, None] == s["ids"][:, None, :]).any(axis=2) & (ids != NONE)
+        return rows_of(s["q_ids"], ids, scores, new)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,18 +242,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 s = unpacked(raw.as_py())
                 yield rows_of(s["q_ids"], s["ids"], s["scores"], s["ids"] != NONE)
 
-    def rows_of(q_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
-        who = np.nonzero(which)[0]
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(ids[which]), pa.array(scores[which])], ["query_id", "vec_id", "score"])
-
     home = F.pmod(F.col("block"), n_shards[F.col("dim")]).cast("int")
-    pairs = blocks.withColumn("shard", home).repartition(tasks, "dim", "shard").join(trees.repartition(tasks, "dim", "shard").hint("merge"), ["dim", "shard"])
-    began = materialize(pairs.select("dim", "block", "state", "tree").mapInArrow(visit, "dim int, block int, state binary"))
+    began = materialize(searches(blocks.withColumn("shard", home), improved, "dim int, block int, state binary"))
     # a block is dealt to every other shard of its length: the stated query set against all rows, block by block
     others = began.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards[F.col("dim")].cast("int") - 1))).filter(F.col("shard") != home)
-    pairs = others.repartition(tasks, "dim", "shard").join(trees.repartition(tasks, "dim", "shard").hint("merge"), ["dim", "shard"])
     schema = "query_id long, vec_id long, score long"
-    found = pairs.select("state", "tree").mapInArrow(candidates, schema).union(began.select("state").mapInArrow(listed, schema))
+    found = searches(others, candidates, schema).union(began.select("state").mapInArrow(listed, schema))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
