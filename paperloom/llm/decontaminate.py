@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialize, table
 
 WINDOW = 13
-#: Rows up to which a table made from the benchmark is broadcast; beyond, it is joined by sort-merge.
-BROADCAST_ROWS = 500_000
+#: Bytes, as text, up to which a table made from the benchmark is broadcast; beyond, it is joined by sort-merge.
+BROADCAST_BYTES = 32 << 20
 #: Term of the posting that ends each document; no word is empty.
 END_MARK = ""
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,10 +27,15 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAPS), "")
 
 
+def small(df: DataFrame) -> bool:
+    """Whether a written table made from the benchmark may be broadcast, by the bytes it holds."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """A benchmark-sized table, written out, with the join strategy its counted size allows."""
+    """A table made from the benchmark, written out, with the join strategy its measured size allows."""
     df = materialize(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if small(df) else df.hint("merge")
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -50,14 +55,14 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """(wid, words, term, offset, term2, offset2) of every window all of whose terms occur: its rarest term, and the next rarest place."""
     distinct = windows.select("wid", "words").dropDuplicates(["wid"])
-    places = distinct.select("wid", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+    places = distinct.select("wid", F.posexplode("words").alias("offset", "term")).join(counts.hint("merge"), "term", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), F.col("offset").alias("offset"), F.col("term").alias("term"))))
     picked = places.groupBy("wid").agg(order.alias("o"))  # a window's words, so 13 rows at most
     first, second = F.col("o")[0], F.when(F.size("o") > 1, F.element_at("o", 2)).otherwise(F.col("o")[0])
     chosen = picked.filter(first["cf"] > 0).select(
         "wid", first["term"].alias("term"), first["offset"].alias("offset"), second["term"].alias("term2"), second["offset"].alias("offset2")
     )
-    return distinct.join(chosen, "wid")
+    return distinct.join(chosen.hint("merge"), "wid")
 
 
 def build_index(docs: DataFrame, anchors: DataFrame, reach: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,10 +73,18 @@ def build_index(docs: DataFrame, anchors: DataFrame, reach: int, id_col: str = "
     """
     first = anchors.select("term", F.lit(True).alias("rarest"))
     terms = first.union(anchors.select("term2", F.lit(False))).union(docs.sparkSession.sql(f"SELECT '{END_MARK}', false"))
-    terms = bounded(terms.groupBy("term").agg(F.max("rarest").alias("rarest")))
+    terms = materialize(terms.groupBy("term").agg(F.max("rarest").alias("rarest")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), raw_words(F.col(text_col)).alias("words"))
-    postings = rows.select("row", "doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit(END_MARK)))).alias("pos", "raw"))
-    postings = postings.withColumn("term", ascii_lower(F.col("raw"))).join(terms, "term")
+    places = F.posexplode(F.concat("words", F.array(F.lit(END_MARK)))).alias("pos", "raw")
+    if small(terms):
+        postings = rows.select("row", "doc_id", "words", places)
+        postings = postings.withColumn("term", ascii_lower(F.col("raw"))).join(F.broadcast(terms), "term")
+    else:
+        # words are shuffled alone and meet their text again a row at a time, so no text travels once for each of its words
+        rows = materialize(rows)
+        found = rows.select("row", places).select("row", "pos", ascii_lower(F.col("raw")).alias("term")).join(terms.hint("merge"), "term")
+        found = found.groupBy("row").agg(F.collect_list(F.struct("pos", "term", "rarest")).alias("found"))  # words of one text
+        postings = rows.join(found.hint("merge"), "row").select("row", "doc_id", "words", F.inline("found"))
     near_at = F.greatest(F.lit(0), F.col("pos") - reach)
     near = F.when(F.col("rarest"), F.slice("words", near_at + 1, F.col("pos") - near_at + 1 + reach))
     return materialize(postings.select("row", "doc_id", "term", "pos", near_at.alias("near_at"), near.alias("near")))
@@ -106,8 +119,10 @@ def index_for(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """One row for each of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    Null and empty texts have no words; items without words have no window; rows that
-    repeat a doc_id, or have none, are judged each on its own.
+    Null and empty texts have no words; items without words have no window; an item without an id
+    hits words but is not among the items; rows that
+    repeat a doc_id, or have none, are judged each on its own.  Empty tables: no row, or no hit.  Other columns are left
+    out, whatever their names.
     """
     windows, anchors, index = index_for(docs, benchmark, window)
     hits = materialize(phrase_hits(index, anchors).distinct())
