@@ -20,8 +20,8 @@ ORDERS = (2, 3)
 #: Features: n-grams are hashed to 2 ** HASH_BITS columns.
 HASH_BITS = 16
 ALPHA = 0.5
-#: Languages a model may hold: bounds the matrix that is broadcast (256 KB a language).
-MAX_LANGUAGES = 256
+#: Languages whose matrix is broadcast at once (256 KB a language); a model of more scores the texts in several passes.
+PASS_LANGUAGES = 256
 UNDETERMINED = "und"
 #: Characters handled in one numpy pass.
 CHUNK = 1 << 20
@@ -52,11 +52,11 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def features(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashed n-grams of lower-cased texts, an array for each order, each text's start in them, and its number of letters.
 
-    Whatever isn't a letter counts as a space; two spaces part texts, so no n-gram holds letters of two of them.
+    Whatever isn't a letter counts as a space; two spaces come before a text, so its n-grams hold its own letters alone.
     """
     low = [(t or "").lower() for t in texts]
     starts = np.cumsum([0, *(len(t) + 2 for t in low)])
-    points = np.frombuffer(("  ".join(low) + "    ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(("  " + "  ".join(low) + "    ").encode("utf-32-le", "surrogatepass"), np.uint32)
     alpha = letters()[points]
     chars = np.where(alpha, points, np.uint32(0x20))
     n = starts[-1]
@@ -98,9 +98,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", alp
     """Sorted languages, log priors, and the matrix of log probabilities (language, feature)."""
     counts = train_counts(labelled, text_col, lang_col)
     # at most one row a language, of at most 2 ** HASH_BITS + 1 pairs
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("pairs")).limit(MAX_LANGUAGES + 1).toArrow()
-    if rows.num_rows > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("pairs")).toArrow()
     names = rows.column("lang").to_pylist()
     order = sorted(range(len(names)), key=names.__getitem__)
     matrix, rows_of = np.zeros((len(names), (1 << HASH_BITS) + 1)), np.zeros(len(names))
@@ -118,35 +116,53 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     """``docs`` with lang_pred and score (posterior of that language, 0 to 1) from the whole text.
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages.  Ties go to the first language by name.
+    Columns of these two names are replaced, others stay; an empty table gives no row.
     """
+    names, prior, log = model
+    out = docs.drop("lang_pred", "score")
+    for at in range(0, max(1, len(names)), PASS_LANGUAGES):
+        own = slice(at, at + PASS_LANGUAGES)
+        out = _scored(out, (names[own], prior[own], log[own]), text_col)
+    return out.drop("_top").withColumn("score", F.when(F.col("lang_pred") == UNDETERMINED, 0.0).otherwise(1 / F.col("score")))
+
+
+def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str) -> DataFrame:
+    """``docs`` with the best language so far, its log score ``_top``, and the sum of all languages' scores as a multiple of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    place = kept.index(text_col)
-    schema = docs.select(*kept).schema
+    kept = [c for c in docs.columns if c not in ("lang_pred", "_top", "score")]
+    place, again = kept.index(text_col), "_top" in docs.columns
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("_top", "double").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, log = shared.value
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            pred, score = [], []
+            pred, tops, sums = [], [], []
             for at, to in chunks(texts):
                 orders, starts, n_letters = features(texts[at:to])
-                if not names:
-                    pred += [UNDETERMINED] * (to - at)
-                    score += [0.0] * (to - at)
-                    continue
                 total = np.repeat(prior[:, None], to - at, axis=1)
                 for f in orders:
                     for k in range(len(names)):
                         total[k] += np.add.reduceat(log[k][f], starts, dtype=np.float64)
-                best = total.argmax(axis=0)
-                posterior = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                pred += [names[b] if n else UNDETERMINED for b, n in zip(best.tolist(), n_letters.tolist(), strict=True)]
-                score += [p if n else 0.0 for p, n in zip(posterior.tolist(), n_letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
-
-    out = docs.select(*kept).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
-    return out
+                known = n_letters > 0 if names else np.zeros(to - at, bool)
+                best = total.argmax(axis=0) if names else np.zeros(to - at, np.int64)
+                top = total.max(axis=0, initial=-np.inf)
+                sums.append(np.exp(total - top).sum(axis=0))
+                tops.append(top)
+                pred += [names[b] if n else UNDETERMINED for b, n in zip(best.tolist(), known.tolist(), strict=True)]
+            top, total = (np.concatenate([np.zeros(0), *x]) for x in (tops, sums))
+            if again:
+                old, old_top, old_total = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_numpy(), batch.column(len(kept) + 2).to_numpy()
+                better = top > old_top
+                high = np.maximum(top, old_top)
+                total = total * np.exp(top - high) + old_total * np.exp(old_top - high)
+                pred = [new if b else x for new, b, x in zip(pred, better.tolist(), old, strict=True)]
+                top = high
+            arrays = [*batch.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "_top", "score"])
+
+    chosen = [*kept, "lang_pred", "_top", "score"] if again else kept
+    return docs.select(*chosen).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

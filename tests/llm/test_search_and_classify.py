@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -46,11 +49,31 @@ def test_kd_tree_search_is_exact(spark):
 def test_kd_tree_boxes_are_tight():
     points = np.random.default_rng(2).integers(-50, 50, (1000, 4))
     tree = kdtree.build_tree(np.arange(1000), points, 64)
-    starts = [0, *tree["ends"][:-1]]
     assert sorted(tree["ids"]) == list(range(1000))
-    for n, (a, b) in enumerate(zip(starts, tree["ends"], strict=True)):
-        assert b - a <= 64
+    leaves = []
+    for n, (a, b) in enumerate(zip(tree["start"].tolist(), tree["end"].tolist(), strict=True)):
         assert (tree["points"][a:b].min(axis=0) == tree["low"][n]).all() and (tree["points"][a:b].max(axis=0) == tree["high"][n]).all()
+        assert tree["first"][n] == tree["ids"][a:b].min()
+        if (c := int(tree["child"][n])) < 0:
+            assert b - a <= 64
+            leaves += range(a, b)
+        else:
+            assert (tree["start"][c], tree["end"][c], tree["end"][c + 1]) == (a, tree["start"][c + 1], b)
+    assert sorted(leaves) == list(range(1000))
+
+
+def test_traversal_passes_over_most_of_the_tree():
+    r = np.random.default_rng(4)
+    points, queries = r.integers(-500, 500, (20_000, 3)), r.integers(-500, 500, (40, 3))
+    tree, none = kdtree.build_tree(np.arange(20_000), points), np.full((40, 10), kdtree.NONE, np.int64)
+    ids, scores, formed = kdtree.search(tree, np.arange(40) + 10**6, queries, 10, none, none)
+    assert formed < 0.2 * 40 * 20_000
+    full = queries @ points.T
+    for i in range(40):
+        order = np.lexsort((np.arange(20_000), -full[i]))[:10]
+        assert ids[i].tolist() == order.tolist() and scores[i].tolist() == full[i][order].tolist()
+    again = kdtree.search(tree, np.arange(40) + 10**6, queries, 10, np.full_like(none, 10**7), np.repeat(full.max(axis=1)[:, None] + 1, 10, axis=1))
+    assert again[2] < formed  # the kth scores of another shard prune
 
 
 def test_kd_tree_of_nothing(spark):
@@ -63,22 +86,35 @@ PAGES = [
 ]
 
 
-def test_archives_are_read_back(spark):
-    table = spark.createDataFrame([(*r, "clash") for r in PAGES], "page_id long, url string, html string, sha string")
+@pytest.mark.parametrize("file_bytes", [1, 700, 64 << 20])
+def test_archives_are_read_back(spark, monkeypatch, file_bytes):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 3)
+    pages = [*PAGES, (None, "http://y", "<p>one</p>"), (None, "http://z", "lost"), (20, "http://long.example.com", "é" * 3_000_000)]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in pages], "page_id long, url string, html string, sha string, archive int")
     path = shared_dir(spark)
-    warc.write_archives(table, path, max_records_per_file=2)
+    warc.write_archives(table, path, file_bytes=file_bytes)
     rows = warc.capture_index(spark, path).collect()
-    assert len(rows) == len(PAGES) - 1
+    assert len(rows) == len(pages)
     first = {}
-    for i, _, html in sorted(r for r in PAGES if r[0] is not None):
+    for i, _, html in sorted((r for r in pages if r[0] is not None), key=lambda r: r[0]):
         first.setdefault(html or "", i)
-    for r in rows:
-        body = next(html or "" for i, _, html in PAGES if i == r.page_id)
-        raw = body.encode()
-        assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
-        assert (r.record_type, r.refers_to) == (("response", None) if first[body] == r.page_id else ("revisit", first[body]))
-    keys = [(r.url_key, r.capture_ts, r.page_id) for r in rows]
+    want = []
+    for i, _, html in pages:
+        raw, one = (html or "").encode(), first.get(html or "")
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want.append((i, len(raw), digest, *(("response", None) if one is None or one == i else ("revisit", one))))
+    by = lambda r: (r[0] is not None, r[0] or 0, *r[1:3])
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=by) == sorted(want, key=by)
+    keys = [(r.url_key, r.capture_ts, r.page_id is not None, r.page_id or 0) for r in rows]
     assert keys == sorted(keys)
+    for r in rows:  # any record is found by its offset and length alone
+        with open(r.file.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            record = zlib.decompress(f.read(r.length), 31)
+        assert f"WARC-Record-ID: <urn:page:{'null' if r.page_id is None else r.page_id}>".encode() in record
+        with gzip.open(r.file.removeprefix("file:")) as f:
+            assert record in f.read()
+    assert len({r.file for r in rows}) >= (len(rows) if file_bytes == 1 else 1)
     empty = shared_dir(spark)
     warc.write_archives(table.limit(0), empty)
     assert warc.capture_index(spark, empty).count() == 0
@@ -100,6 +136,43 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert sum(truth[r.doc_id].lang == r.lang_pred for r in out) >= 0.95 * len(out)
 
 
+def plain_bayes(train, text):
+    """Multinomial naive Bayes over the same hashed n-grams, counted one by one."""
+
+    def grams(t):
+        t = "  " + "".join(c if c.isalpha() else " " for c in t.lower())
+        out = []
+        for k in (2, 3):
+            for i in range(len(t)):
+                h = sum(ord((t + "    ")[i + j]) * int(langid._MULTIPLIERS[j]) for j in range(k)) % 2**32
+                out.append(((h * 0x9E3779B1 + k) % 2**32) >> (32 - langid.HASH_BITS))
+        return out
+
+    scores = {}
+    for lang in sorted({x for _, x in train}):
+        own = [t or "" for t, x in train if x == lang]
+        counts = Counter(g for t in own for g in grams(t))
+        total = sum(counts.values()) + langid.ALPHA * 2**langid.HASH_BITS
+        scores[lang] = math.log(len(own) / len(train)) + sum(math.log((counts[g] + langid.ALPHA) / total) for g in grams(text))
+    top = max(scores.values())
+    best = min(x for x, s in scores.items() if s == top)
+    return best, 1 / sum(math.exp(s - top) for s in scores.values())
+
+
+@pytest.mark.parametrize("languages", [256, 2, 1])
+def test_languages_are_those_of_plain_naive_bayes(spark, docs, monkeypatch, languages):
+    monkeypatch.setattr(langid, "PASS_LANGUAGES", languages)
+    train = [("the cat sat on the mat", "en"), ("a dog and the cat", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien é", "fr"), ("el gato y el perro", "es"), (None, "es"), ("gatto", "it")]
+    table = spark.createDataFrame(train, "text string, lang string")
+    texts = ["the dog", "die Hunde", "le", "perro gato", "zzz", "É chat", "Katze cat gatto", "a1b2", "the cat"]
+    got = {r.doc_id: r for r in langid.predict(docs(list(enumerate(texts))), langid.fit(table)).collect()}
+    for i, text in enumerate(texts):
+        lang, score = plain_bayes(train, text)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3, text
+    assert langid.predict(docs([]), langid.fit(table)).count() == 0
+    assert "_top" not in got[0].asDict()
+
+
 def test_language_of_odd_texts(spark, docs):
     train = docs([(i, "the cat and the dog went home") for i in range(5)]).unionByName(docs([(i, "der Hund und die Katze gehen nach Hause") for i in range(5)]).withColumn("lang", F.lit("de")))
     train = train.unionByName(docs([(9, "unlabelled")]).withColumn("lang", F.lit(None).cast("string")))
@@ -121,7 +194,9 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def test_contamination_is_brute_force_s(spark, docs):
+@pytest.mark.parametrize("broadcast", [32 << 20, -1])
+def test_contamination_is_brute_force_s(spark, docs, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(40)] + ["é", "Ünïcode", "ß9"]
     items = [(1, " ".join(r.choice(vocabulary) for _ in range(30))), (2, "Short item, of five words"), (3, None), (4, "!!!"), (5, "the the the the"), (10, "Short item, of five words"), (None, "no id item here")]
@@ -129,7 +204,7 @@ def test_contamination_is_brute_force_s(spark, docs):
     texts = [None, "", "...", long, long.upper().replace(" ", ", "), " ".join(long.split()[3:16]), " ".join(long.split()[3:15]), "x y z " * 50 + "SHORT ITEM of FIVE words", "the the the the the the", "no id item here", " lead " + long + " tail " + "pad " * 900]
     texts += [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(10)]
     table = docs([*enumerate(texts), (3, "repeated id"), (None, long)]).selectExpr("*", "1 AS row", "'c' AS term", "2 AS words")
-    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, wid int")
+    bench = spark.createDataFrame([(i, t, 1, 2) for i, t in items], "item_id long, text string, wid int, term int")
     got = decontaminate.contamination(table, bench).collect()
     assert len(got) == len(texts) + 2
     windows = {}
