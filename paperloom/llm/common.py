@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary folder set.
+    (tests on one machine) is a temporary folder set.  Raises where executors could not see one.  Folders
+    stay until the cluster clears that place: results are read from them as long as they are used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base}/loom-{uuid.uuid4().hex}"
