@@ -189,32 +189,52 @@ def strategies(rows: DataFrame, entity: Column | None = None) -> DataFrame:
     return have.select("query_id", strategy.alias("strategy"), F.col("person").alias("is_person"))
 
 
-def final_filter(rows: DataFrame, params: SearchParams = SEARCH) -> DataFrame:
-    """Rows (with rank, fused_score, is_person) that reach half the first row's similarity, 0.3 at least; 0.25 for a person with database rows; then the first ``max_results``."""
+def final_filter(rows: DataFrame, score: Column | None = None, params: SearchParams = SEARCH) -> DataFrame:
+    """Rows (with rank, fused_score, is_person) whose ``score`` reaches half the first row's similarity, 0.3 at least; 0.25 for a person with database rows; then the first ``max_results``.
+
+    ``score`` is the fused score where none is given.
+    """
     whole = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     least = F.greatest(F.lit(0.3), F.first("similarity_score").over(whole) * 0.5)
     with_db = F.max(is_database(F.col("source_method"))).over(whole)
-    kept = rows.withColumn("_least", F.when(F.col("is_person") & with_db, 0.25).otherwise(least)).filter(F.col("fused_score") >= F.col("_least")).drop("_least")
+    reached = F.col("fused_score") if score is None else score
+    kept = rows.withColumn("_least", F.when(F.col("is_person") & with_db, 0.25).otherwise(least)).filter(reached >= F.col("_least")).drop("_least")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= params.max_results)
 
 
-def fuse(rows: DataFrame, params: SearchParams = SEARCH) -> DataFrame:
-    """Dedup, choose each query's strategy, score, order and filter; all queries in one plan."""
-    unique = dedup_fused(rows)
-    chosen = unique.join(strategies(unique), "query_id")
-    no_entity, no_terms = F.lit(None).cast("string"), F.array().cast("array<string>")
-    s = F.col("strategy")
+def rank_merged(rows: DataFrame) -> DataFrame:
+    """Rows with ``fused_score`` by reciprocal ranks: of the rows of one result, told by file and first 100 characters, the one that came first."""
+    key = ["query_id", "file_name", "key"]
+    keyed = rows.withColumn("key", F.substring("full_content", 1, 100))
+    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("arrival_ord", "chunk_id"))).filter("_n = 1").drop("_n")
+    scores = reciprocal_rank(rows).select(*key, F.col("rrf_score").alias("fused_score"))
+    return first.join(scores.hint("merge"), key).drop("key")
+
+
+def fuse(rows: DataFrame, params: SearchParams = SEARCH, entity: Column | None = None, terms: Column | None = None) -> DataFrame:
+    """Dedup, choose each query's strategy, score, order and filter; all queries in one plan.
+
+    ``entity`` (string, may be null) and ``terms`` (array) are columns over ``rows``.  Only the weighted
+    strategy is filtered by its fused score; the others by similarity.
+    """
+    named = rows.withColumn("_entity", (F.lit(None) if entity is None else entity).cast("string"))
+    named = named.withColumn("_terms", F.coalesce((F.array() if terms is None else terms).cast("array<string>"), F.array().cast("array<string>")))
+    unique = dedup_fused(named)
+    chosen = unique.join(strategies(unique, F.col("_entity")).hint("merge"), "query_id")
+    name, s, method = F.col("_entity"), F.col("strategy"), F.col("source_method")
     score = (
-        F.when(s == "hybrid_person_priority", F.when(is_database(F.col("source_method")), person_score(no_entity)).when(is_vector(F.col("source_method")), semantic_score()).otherwise(F.col("similarity_score")))
+        F.when(s == "hybrid_person_priority", F.when(is_database(method), person_score(name)).when(is_vector(method), semantic_score()).otherwise(F.col("similarity_score")))
         .when(s == "database_priority", priority_score("database"))
         .when(s == "vector_priority", priority_score("vector"))
         .when(s == "single_result", F.col("similarity_score"))
-        .otherwise(weighted_score(no_entity, no_terms, params))
+        .otherwise(weighted_score(name, F.col("_terms"), params))
     )
-    block = F.when(s == "hybrid_person_priority", F.when(is_database(F.col("source_method")), 0).when(is_vector(F.col("source_method")), 1).otherwise(2)).otherwise(0)
-    scored = chosen.withColumn("fused_score", score).withColumn("_block", block)
-    ordered = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_block", F.desc("fused_score"), *tie_break()))).drop("_block")
-    return final_filter(ordered, params)
+    by_rank = s == "reciprocal_rank_fusion"
+    scored = chosen.filter(~by_rank).withColumn("fused_score", score).unionByName(rank_merged(chosen.filter(by_rank)))
+    block = F.when(s == "hybrid_person_priority", F.when(is_database(method), 0).when(is_vector(method), 1).otherwise(2)).otherwise(0)
+    order = Window.partitionBy("query_id").orderBy("_block", F.desc("fused_score"), *tie_break())
+    ordered = scored.withColumn("_block", block).withColumn("rank", F.row_number().over(order)).drop("_block", "_entity", "_terms")
+    return final_filter(ordered, F.when(s == "hybrid_weighted_fusion", F.col("fused_score")).otherwise(F.col("similarity_score")), params)
 
 
 def fusion_metrics(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -218,3 +218,27 @@ def key_sets(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Which keys of two map columns are in one alone or in both."""
     x, y = F.map_keys(a), F.map_keys(b)
     return rows.select(F.array_sort(F.array_except(x, y)).alias("only_a"), F.array_sort(F.array_except(y, x)).alias("only_b"), F.array_sort(F.array_intersect(x, y)).alias("both"))
+
+
+def inherit_registry(chunks: DataFrame, registry: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """Chunks with the registry id of their document, null where it has none."""
+    own = registry.select(F.col("id").alias(doc_col), F.col("id").cast("string").alias("registry_id"))
+    return chunks.join(own.hint("merge"), doc_col, "left")
+
+
+def merge_registry(chunks: DataFrame, registry: DataFrame, doc_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(chunks with their registry row's other columns, chunks refused for want of a registry row)."""
+    own = registry.withColumnRenamed("id", doc_col)
+    clash = [c for c in own.columns if c in chunks.columns and c != doc_col]
+    return chunks.join(own.drop(*clash).hint("merge"), doc_col), chunks.join(own.select(doc_col).hint("merge"), doc_col, "left_anti")
+
+
+def remove_deleted(scan: DataFrame, manifest: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next manifest, next chunks, removed paths): what the scan no longer has leaves both state and index."""
+    gone = manifest.join(scan.select("path").distinct().hint("merge"), "path", "left_anti").select("path").distinct()
+    return manifest.join(gone.hint("merge"), "path", "left_anti"), chunks.join(gone.hint("merge"), "path", "left_anti"), gone
+
+
+def extraction_picks(registry: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Documents whose identifiers are to be extracted: the given ids, else all processed ones."""
+    return registry.filter("status = 'processed'") if ids is None else registry.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")

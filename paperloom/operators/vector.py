@@ -126,6 +126,23 @@ def answer_confidence(found: DataFrame, top: int = 5) -> DataFrame:
     return found.filter(F.col("rank") <= top).groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("confidence"))
 
 
+def fit_for_index(vectors: DataFrame, dim: int, vector_col: str = "vec") -> tuple[DataFrame, DataFrame]:
+    """(rows fit for an index, others with their reason): no vector, another dimension, or a component that is null or not finite."""
+    v = F.col(vector_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    reason = F.when(v.isNull(), "null_vector").when(F.size(v) != dim, "wrong_dimension").when(~finite, "not_finite")
+    marked = vectors.withColumn("reason", reason)
+    return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
+
+
+def result_rows(found: DataFrame, chunks: DataFrame, preview: int = 200) -> DataFrame:
+    """Hits as result rows: ids as text, preview, and chunk index 0 where there is none."""
+    text = F.coalesce("text", F.lit(""))
+    shown = F.when(F.length(text) > preview, F.concat(F.substring(text, 1, preview), F.lit("..."))).otherwise(text)
+    own = chunks.select("id", shown.alias("preview"), F.coalesce(F.col("chunk_index").cast("int"), F.lit(0)).alias("chunk_index"))
+    return found.join(own.hint("merge"), "id", "left").select("query_id", F.col("id").cast("string").alias("id"), "preview", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "score", "rank")
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding without a model: signed counts of hashed words, scaled to length 1."""
     tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")

@@ -41,14 +41,14 @@ PREFIXES = ("tell me about ", "how many ", "who is John ", "insurance for 191-D-
 
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query): each user turn's first 60 characters after a phrase that depends on the conversation."""
+    """(query_id, query): each whole user turn after a phrase that depends on the conversation."""
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
     prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.pmod("conv_id", F.lit(len(PREFIXES))) + 1).cast("int"))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(prefix, F.substring("text", 1, 60)).alias("query"))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(prefix, "text").alias("query"))
 
 
 USER_QUERIES = f"""
-user_queries AS (SELECT conv_id * 1000 + turn AS query_id, [{", ".join(f"'{p}'" for p in PREFIXES)}][CAST(conv_id % {len(PREFIXES)} AS INTEGER) + 1] || substr(text, 1, 60) AS query
+user_queries AS (SELECT conv_id * 1000 + turn AS query_id, [{", ".join(f"'{p}'" for p in PREFIXES)}][CAST(conv_id % {len(PREFIXES)} AS INTEGER) + 1] || text AS query
                  FROM conversations WHERE role = 'user')
 """
 
@@ -64,7 +64,7 @@ SEARCH_QUERIES = f"search_queries AS (SELECT item_id AS query_id, array_to_strin
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked candidates of several methods, two for each document, for twenty queries in a hundred documents."""
-    base = documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.substring("text", 1, 300), "[^A-Za-z0-9 .,]", "").alias("full_content"))
+    base = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z0-9 .,]", "").alias("full_content"))
     rows = base.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.pmod(F.col("doc_id") * 37 + F.col("m") * 211, F.lit(1000)))
     methods = F.array(*map(F.lit, ("database_hybrid", "llamaindex_vector", "hybrid")))
     kinds = F.array(*map(F.lit, ("exact_phrase", "flexible_terms", "exact_match")))
@@ -86,7 +86,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES = """
-_base AS (SELECT doc_id, m, (doc_id * 37 + m * 211) % 1000 AS h, regexp_replace(substr(coalesce(text, ''), 1, 300), '[^A-Za-z0-9 .,]', '', 'g') AS full_content
+_base AS (SELECT doc_id, m, (doc_id * 37 + m * 211) % 1000 AS h, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', '', 'g') AS full_content
           FROM documents, (VALUES (0), (1)) AS t(m)),
 candidates AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS query_id, 'find ' || string_split(full_content, ' ')[1] AS query, doc_id || ':' || m AS chunk_id,
                       'doc_' || (doc_id % 50) || '.md' AS file_name, m AS chunk_index, full_content, h / 1000 AS similarity_score,
@@ -96,6 +96,28 @@ candidates AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS query_id, 'find ' ||
 """
 
 
+def mixed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of whole documents, whose queries differ in methods, number and words, so that every fusion strategy occurs."""
+    kind = F.pmod("query_id", F.lit(6))
+    rows = candidates(spark, sf_dir).withColumn("k", kind)
+    method = (
+        F.when(F.col("k") == 2, "database_hybrid")
+        .when(F.col("k") == 3, "llamaindex_vector")
+        .when(F.col("k") == 4, F.when(F.col("chunk_index") == 0, "hybrid").otherwise("fallback"))
+        .otherwise(F.col("source_method"))
+    )
+    query = F.when(F.col("k") == 0, "who is John").when(F.col("k") == 4, "count all rows that any of these many words give").otherwise("plain words")
+    one = (F.col("k") != 5) | ((F.pmod(F.floor(F.col("arrival_ord") / 2), F.lit(5)) == 0) & (F.col("chunk_index") == 0))
+    return rows.filter(one).withColumn("source_method", method).withColumn("query", query).drop("k")
+
+
+MIXED = CANDIDATES + """, mixed_candidates AS (
+  SELECT * REPLACE (CASE query_id % 6 WHEN 2 THEN 'database_hybrid' WHEN 3 THEN 'llamaindex_vector' WHEN 4 THEN CASE WHEN chunk_index = 0 THEN 'hybrid' ELSE 'fallback' END ELSE source_method END AS source_method,
+                    CASE query_id % 6 WHEN 0 THEN 'who is John' WHEN 4 THEN 'count all rows that any of these many words give' ELSE 'plain words' END AS query)
+  FROM candidates WHERE query_id % 6 <> 5 OR (arrival_ord // 2 % 5 = 0 AND chunk_index = 0))
+"""
+
+
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels as registry rows."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")

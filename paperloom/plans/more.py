@@ -134,9 +134,9 @@ def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", Q.expand_acronyms(F.concat(F.lit("NCT "), "query")).alias("expanded"))
 
 
-@register("f43_person_queries", f"{U} SELECT query_id, (contains(lower(query), 'who is') OR contains(lower(query), 'tell me about') OR contains(lower(query), 'show me') OR contains(lower(query), 'find') OR contains(lower(query), 'about')) AND regexp_matches(query, '\\b[A-Z][a-z]+\\b') AS person FROM user_queries WHERE regexp_matches(query, '^[ -~]*$')")
+@register("f43_person_queries", f"{U} SELECT query_id, (contains(lower(query), 'who is') OR contains(lower(query), 'tell me about') OR contains(lower(query), 'show me') OR contains(lower(query), 'find') OR contains(lower(query), 'about')) AND regexp_matches(query, '\\b[A-Z][a-z]+\\b') AS person FROM user_queries")
 def f43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.user_queries(spark, sf_dir).filter(F.regexp_like("query", F.lit("^[ -~]*$")))
+    rows = I.user_queries(spark, sf_dir)
     return rows.select("query_id", Q.is_person_query(F.col("query")).alias("person"))
 
 

@@ -24,13 +24,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _SQL[name]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _plans() -> None:
     """Import the modules that register queries."""
-    from .plans import corpus, lifecycle, more, queries, search  # noqa: F401
+    from .plans import corpus, extra, lifecycle, more, queries, search  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -210,6 +211,68 @@ def test_queries_agree_with_their_sql(spark, sf_dir, duck, name):
     assert a == b
 
 
+def test_every_strategy_occurs_and_is_applied(spark, sf_dir):
+    rows = registry.queries()["r15_fuse"](spark, sf_dir).collect()
+    assert {r.strategy for r in rows} == {"single_result", "hybrid_person_priority", "hybrid_weighted_fusion", "database_priority", "vector_priority", "reciprocal_rank_fusion"}
+    for q in {r.query_id for r in rows if r.strategy == "reciprocal_rank_fusion"}:
+        scores = [r.score for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])]
+        assert scores == sorted(scores, reverse=True) and all(s < 0.1 for s in scores)  # sums of 1 / (60 + rank)
+
+
+CANDIDATE = "query_id long, query string, chunk_id string, file_name string, chunk_index int, full_content string, similarity_score double, source_method string, match_type string, database_strategy string, query_occurrences int, n_metadata int, arrival_ord long"
+
+
+def test_reciprocal_ranks_merge_methods(spark):
+    query = "count all rows that any of these many words give"
+    make = lambda i, file, text, score, method: (1, query, str(i), file, 0, text, score, method, None, None, 0, 0, i)
+    rows = [make(1, "a", "x" * 120, 0.9, "hybrid"), make(2, "b", "y", 0.8, "hybrid"), make(3, "a", "x" * 100 + "z", 0.5, "fallback"), make(4, "c", "w", 0.1, "fallback")]
+    got = fusion.fuse(spark.createDataFrame(rows, CANDIDATE)).orderBy("rank").collect()
+    assert [r.file_name for r in got] == ["a", "b"]  # c is under half the first similarity
+    w = fusion.METHOD_WEIGHTS
+    part = lambda method, rank: w.get(method, 1.0) / (60 + rank)
+    assert math.isclose(got[0].fused_score, (part("hybrid", 1) + part("fallback", 1)) * 1.2, rel_tol=1e-6)
+    assert math.isclose(got[1].fused_score, part("hybrid", 2), rel_tol=1e-6)
+
+
+def test_entity_and_terms_weigh_in_fusion(spark):
+    rows = [(1, "plain words", str(i), f"f{i}", 0, text, 0.5, method, None, None, 0, 0, i) for i, (text, method) in enumerate([("holds nolan and van", "database_hybrid"), ("other text", "database_hybrid"), ("more text here", "llamaindex_vector")])]
+    table = spark.createDataFrame(rows, CANDIDATE)
+    without = {r.chunk_id: r.fused_score for r in fusion.fuse(table).collect()}
+    with_both = {r.chunk_id: r.fused_score for r in fusion.fuse(table, entity=F.lit("nolan"), terms=F.array(F.lit("van"), F.lit("nolan"))).collect()}
+    assert with_both["0"] > without["0"] * 1.2 and with_both["1"] == without["1"]
+
+
+def test_recall_of_the_registered_probe_search(spark):
+    near, exact = ({(r.query_id, r.id) for r in registry.queries()[n](spark, "/root/testdata/sf0.01").collect()} for n in ("v03_cell_probe", "v02_exact_cosine"))
+    assert all(q != i for q, i in near)
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_lifecycle_steps(spark):
+    chunks = spark.createDataFrame([(1, "a", "p1"), (1, "b", "p1"), (2, "c", "p2"), (None, "d", None)], "doc_id long, chunk_id string, path string")
+    registry_ = spark.createDataFrame([(1, "processed", "x"), (3, "failed", "y")], "id long, status string, path string")
+    merged, refused = lifecycle.merge_registry(chunks, registry_)
+    assert sorted(r.chunk_id for r in merged.collect()) == ["a", "b"] and sorted(r.chunk_id for r in refused.collect()) == ["c", "d"]
+    assert {r.chunk_id: r.registry_id for r in lifecycle.inherit_registry(chunks, registry_).collect()} == {"a": "1", "b": "1", "c": None, "d": None}
+    scan, manifest = spark.createDataFrame([("p1",)], "path string"), spark.createDataFrame([("p1",), ("p2",)], "path string")
+    state, left, gone = lifecycle.remove_deleted(scan, manifest, chunks)
+    assert [r.path for r in state.collect()] == ["p1"] and sorted(r.chunk_id for r in left.collect()) == ["a", "b", "d"] and [r.path for r in gone.collect()] == ["p2"]
+    assert [r.id for r in lifecycle.extraction_picks(registry_).collect()] == [1]
+    assert [r.id for r in lifecycle.extraction_picks(registry_, spark.createDataFrame([(3,)], "id long")).collect()] == [3]
+
+
+def test_vectors_fit_for_an_index(spark):
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [1.0, float("nan")])]
+    good, bad = vector.fit_for_index(spark.createDataFrame(rows, "id long, vec array<double>"), 2)
+    assert [r.id for r in good.collect()] == [1]
+    assert {r.id: r.reason for r in bad.collect()} == {2: "null_vector", 3: "wrong_dimension", 4: "not_finite", 5: "not_finite"}
+
+
+def test_chunk_types_are_counted_as_listed(spark, sf_dir):
+    want = Counter((r.doc_id, r.chunk_type) for r in registry.queries()["c02_structure_chunks"](spark, sf_dir).collect())
+    assert {(r.doc_id, r.chunk_type): r.n for r in registry.queries()["a42_chunk_types"](spark, sf_dir).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_other_queries_run(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
