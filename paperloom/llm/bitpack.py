@@ -10,12 +10,15 @@ whose commit survives lost executors and repeated tasks.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,14 +54,19 @@ def unpack_block(raw: bytes, n: int, width: int) -> np.ndarray:
 
 def pack(documents: list[np.ndarray], vocabulary: int, block: int = BLOCK) -> bytes:
     """One segment from the ids of whole documents, in order."""
-    width = width_of(vocabulary)
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
+    return pack_ids(ids, np.cumsum([len(d) for d in documents], dtype="<u8"), vocabulary, block)
+
+
+def pack_ids(ids: np.ndarray, ends: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
+    """One segment from the ids of all its documents and each one's end among them."""
+    width = width_of(vocabulary)
     if len(ids) and int(ids.max()) >= 1 << width:
         raise ValueError("an id does not fit the vocabulary's bits")
-    ends = np.cumsum([len(d) for d in documents], dtype="<u8")
+    ends = ends.astype("<u8")
     blocks = [pack_block(ids[i : i + block], width) for i in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, blocks)], dtype="<u8")
-    head = MAGIC + struct.pack("<IIQQ", width, block, len(documents), len(ids))
+    head = MAGIC + struct.pack("<IIQQ", width, block, len(ends), len(ids))
     return b"".join([head, ends.tobytes(), offsets.tobytes(), *blocks])
 
 
@@ -92,8 +100,14 @@ class Segment:
         return len(self.ends)
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a tokenizer file, one for all tasks of a worker process."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; a piece met before comes from a memo."""
+    """Ids of whole texts by the tokenizers library; a piece met before comes from a memo, as ids of ``size`` bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,49 +116,56 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        model, letters = self.tokenizer.model, pieces.byte_alphabet()
+        self.size = 2 if self.vocabulary <= 1 << 16 else 4
+        self.kind = f"<u{self.size}"
+        tokenize, letters, code = self.tokenizer.model.tokenize, pieces.byte_alphabet(), "H" if self.size == 2 else "I"
 
         def encode(piece: str) -> bytes:
             spelled = piece.encode().decode("latin-1").translate(letters)
-            return np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+            return array(code, [t.id for t in tokenize(spelled)]).tobytes()
 
-        self.memo = pieces.Memo(encode)
+        self.memo = pieces.Memo(encode, 250_000)
 
-    def __call__(self, text: str) -> np.ndarray:
-        if pieces.plain(text):
-            return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces.BYTE_LEVEL.findall(text))), "<u4")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def __call__(self, text: str) -> bytes:
+        if not pieces.plain(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.memo.__getitem__, pieces.BYTE_LEVEL.findall(text)))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write segments in ascending id order below ``path``.
 
-    Null text: empty, so the end id alone.  Null ids come first; equal ids are ordered by text.
+    Null text: empty, so the end id alone.  Null ids come first; equal ids are ordered by text.  An empty
+    table gives no segment; other columns are left out, whatever their names.  Rows of one id are one task's,
+    and a text of any length is encoded whole.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         part, seq, done = TaskContext.get().partitionId(), 0, 0
-        ids, documents, size = [], [], 0
-        end = np.array([end_id], "<u4")
+        ids, ends, held, tokens, size = [], [], [], 0, 0
+        end = np.array([end_id], encoder.kind).tobytes()
 
         def closed() -> pa.RecordBatch:
-            n = sum(map(len, documents))
-            row = {"part": [part], "segment": [seq], "start_in_part": [done], "n_tokens": [n], "doc_ids": [ids], "payload": [pack(documents, encoder.vocabulary)]}
+            packed = pack_ids(np.frombuffer(b"".join(held), encoder.kind), np.array(ends), encoder.vocabulary)
+            row = {"part": [part], "segment": [seq], "start_in_part": [done], "n_tokens": [tokens], "doc_ids": [ids], "payload": [packed]}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids.append(doc_id.as_py())
-                documents.append(np.concatenate([encoder(text), end]))
-                size += len(text)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for doc_id, text, n_bytes in zip(batch.column(0).to_pylist(), batch.column(1), sizes, strict=True):
+                found = encoder(text.as_py() or "") + end
+                ids.append(doc_id)
+                held.append(found)
+                tokens += len(found) // encoder.size
+                ends.append(tokens)
+                size += n_bytes
                 if size >= SEGMENT_BYTES:
                     yield closed()
-                    seq, done = seq + 1, done + sum(map(len, documents))
-                    ids, documents, size = [], [], 0
-        if documents:
+                    seq, done = seq + 1, done + tokens
+                    ids, ends, held, tokens, size = [], [], [], 0, 0
+        if ids:
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

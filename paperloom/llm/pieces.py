@@ -33,14 +33,23 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Piece -> value, bounded: it starts anew when full, so a task's memory does not grow with its input."""
+    """Piece -> value, bounded: when full, what it holds is kept aside once more and dropped unless asked for.
 
-    def __init__(self, make, limit: int = 300_000):
+    Long pieces aren't kept, so a worker's memory does not grow with its input.
+    """
+
+    def __init__(self, make, limit: int = 150_000, longest: int = 200):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, piece: str):
+        if len(piece) > self.longest:
+            return self.make(piece)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[piece] = self.make(piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self[piece] = value
         return value
