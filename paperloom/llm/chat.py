@@ -8,16 +8,20 @@ border, and texts can't hold a mark: control strings inside are escaped.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import pieces
+from .common import materialize, table
 
 #: Marks of the template.  Inside texts each of these strings, and the escape itself, is escaped.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|done|>"
@@ -28,6 +32,7 @@ ESCAPE = "␛"  # symbol for escape
 LETTERS = {ESCAPE: "e", "<": "l", "[": "b"}
 _ESCAPED = re.compile("|".join(re.escape(c) for c in CONTROL) + "|" + ESCAPE)
 _UNESCAPED = re.compile(ESCAPE + "([" + "".join(LETTERS.values()) + "])")
+_MARKS = re.compile("(" + "|".join(re.escape(m) for m in (TURN, BODY, END)) + ")")
 _BACK = {v: k for k, v in LETTERS.items()}
 #: Characters of rendered text after which a conversation goes on in a further piece, at a turn's start.
 PIECE_CHARS = 1 << 20
@@ -72,15 +77,14 @@ def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return (k >= 0) & (offsets[:, 1] <= ends[np.maximum(k, 0)])
 
 
-def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> list[str]:
-    """Text under the mask, a string for each run of adjoining tokens; tokens that share a character count once."""
-    runs: list[list[int]] = []
-    for a, b in offsets[mask].tolist():
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [unescape(formatted[a:b]) for a, b in runs]
+def masked_runs(offsets: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """[start, end) of the text under the mask, a row for each run of adjoining tokens; tokens that share a character count once."""
+    own = offsets[mask]
+    if not len(own):
+        return np.zeros((0, 2), np.int64)
+    ends = np.maximum.accumulate(own[:, 1])
+    new = np.concatenate([[True], own[1:, 0] > ends[:-1]])
+    return np.stack([own[new, 0], ends[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)]], axis=1)
 
 
 def chat_encoder(path: str):
@@ -94,7 +98,56 @@ def chat_encoder(path: str):
     return tokenizer
 
 
-FORMATTED = "conv_id long, piece int, n_turns int, formatted string, spans array<array<int>>, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
+@functools.cache
+def encoder_of(path: str) -> ChatEncoder:
+    """The encoder of a tokenizer file, one for all tasks of a worker process."""
+    return ChatEncoder(path)
+
+
+class ChatEncoder:
+    """Encodes rendered conversations with offsets, as ``chat_encoder``'s tokenizer does; a piece met before comes from a memo."""
+
+    def __init__(self, path: str):
+        self.tokenizer = chat_encoder(path)
+        self.marks = {m: array("i", (self.tokenizer.token_to_id(m), 0, len(m))).tobytes() for m in (TURN, BODY, END)}
+        tokenize, letters = self.tokenizer.model.tokenize, pieces.byte_alphabet()
+
+        def encode(piece: str) -> bytes:
+            """(id, start, end) of each token, in characters of the piece."""
+            raw, out, at = piece.encode(), array("i"), 0
+            # the character of each byte: a token that holds part of a character covers it
+            char = range(len(raw)) if piece.isascii() else [i for i, c in enumerate(piece) for _ in c.encode()]
+            for t in tokenize(raw.decode("latin-1").translate(letters)):
+                end = at + len(t.value)
+                out.extend((t.id, char[at], char[end - 1] + 1))
+                at = end
+            return out.tobytes()
+
+        self.memo = pieces.Memo(encode, 150_000)
+
+    def __call__(self, formatted: str) -> np.ndarray:
+        """(id, start, end) of every token of a rendered conversation."""
+        cut, values = [], []
+        for part in _MARKS.split(formatted):
+            if part in self.marks:
+                cut.append(part)
+                values.append(self.marks[part])
+            elif pieces.plain(part):
+                own = pieces.BYTE_LEVEL.findall(part)
+                cut += own
+                values += map(self.memo.__getitem__, own)
+            else:
+                found = self.tokenizer.encode(part, add_special_tokens=False)
+                cut.append(part)
+                values.append(np.column_stack([np.array(found.ids, np.int32), np.array(found.offsets, np.int32).reshape(-1, 2)]).tobytes())
+        rows = np.frombuffer(b"".join(values), np.int32).reshape(-1, 3).copy()
+        if cut:
+            rows[:, 1:] += np.repeat(np.cumsum([0, *map(len, cut[:-1])], dtype=np.int32), [len(v) // 12 for v in values])[:, None]
+        return rows
+
+
+FORMATTED = "conv_id long, part int, piece int, n_turns int, formatted string, spans array<array<int>>, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.int32()))]
 
 
 def format_conversations(
@@ -106,32 +159,37 @@ def format_conversations(
     text_col: str = "text",
     piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
-    """One row for each conversation: formatted text, token ids with offsets, and loss mask.
+    """Formatted text, token ids with offsets, and loss mask of each conversation, in one or more pieces.
 
     Turns are ordered by turn (null first), then role and text; a null role or
     text is empty; repeated rows are turns of their own; a null conversation id
-    is a conversation.  A conversation of over ``piece_chars`` characters goes on in
-    further pieces (``piece`` 0, 1, ...), cut between turns where the marks
-    isolate the encoding anyway, so a task holds one piece at a time whatever
-    the size of a conversation.
+    is a conversation; an empty table gives no row; other columns are left out, whatever their names.
+    Rows are dealt by ranges of that order, so a conversation of any share of all rows spans tasks.  It is cut between turns, where the
+    marks isolate the encoding anyway, after ``piece_chars`` characters and where its range ends;
+    ``part`` and ``piece`` order its pieces.  A turn is never cut.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = chat_encoder(tokenizer_path)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
         names = [x.split()[0] for x in FORMATTED.split(", ")]
         held, turns, chars, piece, began = None, [], 0, 0, False
 
-        def whole() -> list:
+        def whole() -> tuple:
             formatted, spans = render(turns)
-            found = tokenizer.encode(formatted, add_special_tokens=False)
-            offsets = np.array(found.offsets, np.int32).reshape(-1, 2)
-            mask = token_mask(offsets, spans)
-            return [held, piece, len(turns), formatted, [list(s) for s in spans], found.ids, offsets[:, 0], offsets[:, 1], mask]
+            tokens = encoder(formatted)
+            return held, part, piece, len(turns), formatted, [list(s) for s in spans], tokens, token_mask(tokens[:, 1:], spans)
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            *columns, tokens, masks = zip(*done, strict=True)
+            ends = pa.array(np.cumsum([0, *map(len, masks)]), pa.int32())
+            joined, mask = np.concatenate(tokens), np.concatenate(masks)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in (*joined.T, mask)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)), *lists], names)
 
         for batch in batches:
             out, size = [], 0
-            for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                role, text = role.as_py(), text.as_py()
                 if began and conv != held:
                     out.append(whole())
                     turns, chars, piece = [], 0, 0
@@ -143,59 +201,76 @@ def format_conversations(
                 chars += len(text)
                 size += len(text)
                 if size >= piece_chars and out:
-                    yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                    yield batch_of(out)
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield batch_of(out)
         if began:
-            yield pd.DataFrame([whole()], columns=names).astype({"conv_id": "Int64"})
+            yield batch_of([whole()])
 
     chosen = rows.select(
         F.col(conv_col).cast("long").alias("conv_id"),
-        F.col(turn_col).alias("turn"),
         F.coalesce(role_col, F.lit("")).alias("role"),
         F.coalesce(text_col, F.lit("")).alias("text"),
-    )
-    dealt = chosen.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInPandas(encode, FORMATTED)
+        F.col(turn_col).alias("turn"),
+    ).withColumn("head", F.substring("text", 1, 32))
+    dealt = chosen.repartitionByRange("conv_id", "turn", "role", "head").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(encode, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation from what ``format_conversations`` wrote: turns parsed out of the text, loss text from mask and offsets.
+    """Digests of each conversation from what ``format_conversations`` gave: turns parsed out of the text, loss text from mask and offsets.
 
-    The pieces of a conversation adjoin in one task, in order, and are digested one by one.
+    The pieces of a conversation adjoin in one task, in order, and are digested one by one: a digest is
+    sequential, so this, unlike the formatting, takes one task a conversation, which holds one piece at a time.
     """
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, masks = (batch.column(n) for n in ("token_starts", "token_ends", "loss_mask"))
+            runs = []
+            for i in range(batch.num_rows):
+                a, b = starts[i].values.to_numpy(), ends[i].values.to_numpy()
+                runs.append(masked_runs(np.column_stack([a, b]), masks[i].values.to_numpy(zero_copy_only=False).astype(bool)).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(runs, pa.list_(pa.int32()))], ["conv_id", "part", "piece", "formatted", "runs"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-        def closed() -> list:
+        def closed() -> tuple:
             conv, n, turns, chars, loss, size = state
-            return [conv, n, turns.hexdigest(), chars, loss.hexdigest(), size]
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             out = []
-            for conv, piece, text, a, b, mask in zip(*(batch[c] for c in ("conv_id", "piece", "formatted", "token_starts", "token_ends", "loss_mask")), strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                if piece == 0:
+            for conv, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text, runs = text.as_py(), runs.as_py()
+                if state is None or conv != state[0]:
                     if state:
                         out.append(closed())
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, said in parse(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())
-                for said in masked_text(text, np.column_stack([a, b]).reshape(-1, 2), np.asarray(mask, bool)):
+                for a, b in zip(runs[::2], runs[1::2], strict=True):
+                    said = unescape(text[a:b])
                     state[3] += len(said)
                     state[4].update(said.encode())
                 state[5] += len(text)
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield batch_of(out)
         if state:
-            yield pd.DataFrame([closed()], columns=names).astype({"conv_id": "Int64"})
+            yield batch_of([closed()])
 
-    columns = formatted.select("conv_id", "piece", "formatted", "token_starts", "token_ends", "loss_mask")
-    return columns.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    columns = formatted.select("conv_id", "part", "piece", "formatted", "token_starts", "token_ends", "loss_mask")
+    marked = columns.mapInArrow(mark, "conv_id long, part int, piece int, formatted string, runs array<int>")
+    dealt = marked.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece").select("conv_id", "formatted", "runs")
+    return dealt.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +279,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return read_back(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return read_back(materialize(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))))
 
 
 def _sql_escape(c: str) -> str:

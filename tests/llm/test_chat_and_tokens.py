@@ -51,6 +51,30 @@ def test_conversations_are_read_back(spark, piece_chars):
         assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+chats, chat_library = chat.ChatEncoder(BYTE), chat.chat_encoder(BYTE)
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "rôle"]), st.text(alphabet=" \n\ta'sSé.,1_<|😀²</s>[INST]", max_size=25)), max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_rendered_conversations_are_encoded_as_the_library_does(turns):
+    formatted, _ = chat.render(turns)
+    got, want = chats(formatted), chat_library.encode(formatted, add_special_tokens=False)
+    assert got[:, 0].tolist() == want.ids
+    assert [tuple(x) for x in got[:, 1:].tolist()] == want.offsets
+
+
+def test_a_hot_conversation_and_a_long_turn_span_tasks(spark):
+    rows = [(9, i, ("user", "assistant")[i % 2], f"turn {i} said") for i in range(3000)] + [(i, 0, "assistant", "x") for i in range(10, 200)] + [(5, 0, "assistant", "long words " * 150_000)]
+    table = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, part int")
+    done = chat.format_conversations(table, BYTE, piece_chars=2000).cache()
+    assert done.filter("conv_id = 9").select("part").distinct().count() > 1
+    found = {r.conv_id: r for r in chat.read_back(done).collect()}
+    assert len(found) == 192
+    loss = "".join(f"turn {i} said" for i in range(1, 3000, 2))
+    assert (found[9].n_turns, found[9].loss_chars, found[9].loss_sha256) == (3000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert found[5].loss_chars == len("long words " * 150_000)
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_conversations(empty, BYTE)).count() == 0
@@ -86,6 +110,28 @@ def test_byte_bpe_files_hold_the_library_s_ids(spark, docs):
         start += len(ids)
 
 
+encoder, library = bitpack.Encoder(BYTE), Tokenizer.from_file(BYTE)
+
+
+@given(st.text(alphabet=" \n\ta'sSé.,1_<|😀²", max_size=30))
+@settings(max_examples=600, deadline=None)
+def test_texts_are_encoded_as_the_library_does(text):
+    assert np.frombuffer(encoder(text), encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts_and_no_texts(spark, docs):
+    texts = ["x" * 50_000, "word " * 60_000, "line\n" * 30_000, "a  b\n\n\nc\td " * 5_000]
+    path = shared_dir(spark)
+    bitpack.write_tokens(docs(list(enumerate(texts))), path, BYTE, end_id=0)
+    found = {r.doc_id: r for r in bitpack.document_digests(bitpack.read_tokens(spark, path)).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (found[i].n_tokens, found[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    path = shared_dir(spark)
+    bitpack.write_tokens(docs([]), path, BYTE, end_id=0)
+    assert bitpack.document_digests(bitpack.read_tokens(spark, path)).count() == 0
+
+
 def test_word_bpe_is_the_library_s(spark, docs):
     table = docs([*enumerate(TEXTS), (None, "no id"), (3, "plain words")])
     tokenizer = Tokenizer.from_file(WORD)
