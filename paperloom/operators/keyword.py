@@ -1,9 +1,9 @@
 """Keyword search of a table of queries against a table of chunks.
 
 Queries carry query_id and query; chunks carry chunk_id, file_name, chunk_index and
-text.  Candidates come from an equi join on tokens; the predicate is verified on
-the pair.  In ``substring`` mode, the wider test of plain containment, the
-queries must be few: they are counted and then broadcast, or refused.
+text.  Candidates come from an equi join on tokens, or on three-character grams where a
+phrase has no whole token; the predicate is verified on the pair.  The queries' keys are
+broadcast if the queries' text is small, so chunks aren't shuffled; beyond that, ids alone are.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from ..functions import query as Q
 from ..functions import text as T
 from ..params import SEARCH, SearchParams
 
-#: Queries that may be broadcast for the substring mode.
-MAX_BROADCAST_QUERIES = 10_000
+#: Characters of query text up to which the queries are broadcast; beyond it, joins are by sorting and merging.
+BROADCAST_CHARS = 4 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -28,26 +28,57 @@ def token_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token"))
 
 
-def few(queries: DataFrame) -> DataFrame:
-    n = queries.count()
-    if n > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries are too many for the substring mode; use mode='token'")
-    return F.broadcast(queries)
+def grams(text: Column, sizes=(1, 2, 3)) -> Column:
+    """Distinct stretches of ``sizes`` characters of the lower-case text."""
+    chars = F.split(F.lower(text), "")
+    found = {1: chars}
+    for n in range(2, max(sizes) + 1):
+        found[n] = F.zip_with(found[n - 1], F.slice(chars, n, F.size(chars)), lambda a, b: F.concat(a, b))  # null past the end
+    return F.array_compact(F.array_distinct(F.concat(*(found[n] for n in sizes))))
+
+
+def inner_tokens(query: Column) -> Column:
+    """Tokens with a border on both sides inside the query: whole tokens wherever it occurs."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0)))
+
+
+def strategy(queries: DataFrame) -> str:
+    """The join hint for tables of ``queries``' keys, by the measured size of their text."""
+    chars = queries.agg(F.sum(F.length("query") + 16)).first()[0] or 0
+    return "broadcast" if chars <= BROADCAST_CHARS else "merge"
+
+
+def meet(queries: DataFrame, chunks: DataFrame, asked: Column, held: Column, hint: str) -> DataFrame:
+    """Pairs of a query and a chunk that hold the rarest key of the query; ``asked`` and ``held`` are the keys of each."""
+    keys = queries.select("query_id", F.explode(asked).alias("_key"))
+    index = chunks.select("chunk_id", F.explode(held).alias("_key"))
+    counts = index.join(keys.select("_key").distinct().hint(hint), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    order = F.struct(F.coalesce("_n", F.lit(0)), "_key")
+    rarest = keys.join(counts.hint(hint), "_key", "left").groupBy("query_id").agg(F.min_by("_key", order).alias("_key"))
+    keyed = queries.join(rarest.hint(hint), "query_id")
+    if hint == "broadcast":  # the text stays in its row until a key is met
+        return chunks.withColumn("_key", F.explode(held)).join(keyed.hint("broadcast"), "_key").drop("_key")
+    return keyed.hint("merge").join(index, "_key").drop("_key").hint("merge").join(chunks, "chunk_id")
 
 
 def phrase_pairs(queries: DataFrame, chunks: DataFrame, mode: str = "token") -> DataFrame:
-    """Pairs whose chunk holds the query's phrase.
+    """Pairs whose chunk holds the query's phrase; an empty phrase has none.
 
-    ``token``: at token borders; pairs meet on the query's longest token, the others are verified.
-    ``substring``: anywhere in the text.
+    ``token``: at token borders; pairs meet on the query's rarest token, the others are verified.
+    ``substring``: anywhere in the text; pairs meet on the rarest token inside the phrase, or the rarest gram where it has none.
     """
-    named = chunks.filter("file_name IS NOT NULL")
+    named, hint = chunks.filter("file_name IS NOT NULL"), strategy(queries)
     low_text, low_query = F.lower("text"), F.lower("query")
     if mode == "substring":
-        return few(queries).hint("broadcast").join(named, low_text.contains(low_query))
-    key = F.try_element_at(F.sort_array(F.transform(tokens(F.col("query")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), F.lit(-1))["t"]
-    keyed = queries.withColumn("token", key).filter("token IS NOT NULL")
-    met = keyed.join(token_index(named), "token").drop("token").join(named, "chunk_id")
+        whole = F.size(inner_tokens(F.col("query"))) > 0
+        by_token = meet(queries.filter(whole), named, inner_tokens(F.col("query")), tokens(F.col("text")), hint)
+        loose = queries.filter(~whole & (F.length("query") > 0))
+        sizes = sorted(r[0] for r in loose.select(F.least(F.lit(3), F.length("query"))).distinct().collect())  # three values at most
+        if not sizes:
+            return by_token.filter(low_text.contains(low_query))
+        short = F.filter(grams(F.col("query"), sizes), lambda g: F.length(g) == F.least(F.lit(3), F.length("query")))
+        return by_token.unionByName(meet(loose, named, short, grams(F.col("text"), sizes), hint)).filter(low_text.contains(low_query))
+    met = meet(queries, named, tokens(F.col("query")), tokens(F.col("text")), hint)
     return met.filter(F.regexp_like(low_text, F.concat(F.lit("(?<![a-z0-9])"), T.quoted(low_query), F.lit("(?![a-z0-9])"))))
 
 
@@ -72,27 +103,31 @@ def terms_score(found: Column, terms: Column, occurrences: Column, params: Searc
 def terms_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, exclude: DataFrame | None = None, params: SearchParams = SEARCH) -> DataFrame:
     """The ``limit`` shortest chunks that hold any term of each query as a token, without the pairs of ``exclude``; scored by the terms found.
 
-    One equi join on tokens, whose matches are summed by pair; common words are no terms.
+    Tokens that no query asks for are dropped by the join before anything is shuffled; matches
+    are counted by pair, ranked without the texts, and the best alone meet their texts.
     """
-    named = chunks.filter("file_name IS NOT NULL")
-    terms = queries.select("query_id", F.explode(F.array_distinct(Q.search_terms(F.col("query")))).alias("token"), F.size(F.array_distinct(Q.search_terms(F.col("query")))).alias("n_terms"))
-    places = named.select("chunk_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
-    met = terms.join(places, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum("n").alias("occurrences"))
+    named, hint = chunks.filter("file_name IS NOT NULL"), strategy(queries)
+    words = F.array_distinct(Q.search_terms(F.col("query")))
+    terms = queries.select("query_id", F.explode(words).alias("token"), F.size(words).alias("n_terms"))
+    order_columns = ["n_chars", "file_name", "chunk_index", "chunk_id"]
+    places = named.select(F.length("text").alias("n_chars"), *order_columns[1:], F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token"))
+    by_term = places.join(terms.hint(hint), "token").groupBy("query_id", "token", *order_columns).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    met = by_term.groupBy("query_id", *order_columns).agg(F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum("n").alias("occurrences"))
     if exclude is not None:
-        met = met.join(exclude.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    pairs = met.join(named, "chunk_id")
-    order = Window.partitionBy("query_id").orderBy(F.length("text"), "file_name", "chunk_index", "chunk_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.withColumn("score", terms_score(F.col("found"), F.col("n_terms"), F.col("occurrences"), params)).withColumn("match_type", F.lit("flexible_terms"))
+        met = met.join(exclude.select("query_id", "chunk_id").hint(hint), ["query_id", "chunk_id"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(*order_columns)
+    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "found", "n_terms", "occurrences")
+    pairs = named.join(ranked.hint(hint), "chunk_id")
+    return pairs.withColumn("score", terms_score(F.col("found"), F.col("n_terms"), F.col("occurrences"), params)).withColumn("match_type", F.lit("flexible_terms"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = 20, params: SearchParams = SEARCH) -> DataFrame:
-    """Exact phrase first; terms make up what a query lacks to ``top_k``."""
+def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = 20, params: SearchParams = SEARCH, mode: str = "substring") -> DataFrame:
+    """The phrase first, anywhere in the text; terms make up what a query lacks to ``top_k``."""
     columns = ["query_id", "chunk_id", "file_name", "chunk_index", "text", "score", "match_type", "occurrences"]
-    exact = exact_search(queries, chunks, top_k, params=params).select(*columns)
+    exact = exact_search(queries, chunks, top_k, mode, params).select(*columns)
     loose = terms_search(queries, chunks, top_k, exact, params).select(*columns, "rank")
     held = exact.groupBy("query_id").agg(F.count("*").alias("held"))
-    loose = loose.join(held, "query_id", "left").filter(F.col("rank") <= top_k - F.coalesce("held", F.lit(0)))
+    loose = loose.join(held.hint("merge"), "query_id", "left").filter(F.col("rank") <= top_k - F.coalesce("held", F.lit(0)))
     return exact.unionByName(loose.select(*columns))
 
 

@@ -51,7 +51,21 @@ def p03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", "found", F.round("score", 6).alias("score"), "rank")
 
 
-@register("r02_keyword_search")
+_SUBSTRING = """
+held AS (SELECT s.query_id, c.chunk_id, CAST((length(lower(text)) - length(replace(lower(text), lower(query), ''))) / length(query) AS INTEGER) AS occurrences,
+         row_number() OVER (PARTITION BY query_id ORDER BY length(text), file_name, chunk_index, chunk_id) AS rank
+         FROM search_queries s JOIN chunks c ON contains(lower(text), lower(query)) AND query <> ''),
+best AS (SELECT * FROM held WHERE rank <= 20),
+n AS (SELECT query_id, count(*) AS n FROM best GROUP BY 1),
+rest AS (SELECT l.query_id, l.chunk_id, l.score, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS rank FROM loose l LEFT JOIN best b USING (query_id, chunk_id) WHERE b.rank IS NULL)
+"""
+
+
+@register(
+    "r02_keyword_search",
+    f"{K}, {_TERMS}, {_SUBSTRING} SELECT query_id, chunk_id, 'exact_phrase' AS match_type, round(least(0.95, 0.6 + 0.05 * occurrences), 6)::DOUBLE AS score FROM best "
+    "UNION ALL SELECT query_id, chunk_id, 'flexible_terms' AS match_type, round(score, 6)::DOUBLE AS score FROM rest LEFT JOIN n USING (query_id) WHERE rank <= 20 - coalesce(n, 0)",
+)
 def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyword.keyword_search(I.search_queries(spark, sf_dir), I.chunks(spark, sf_dir))
     return rows.select("query_id", "chunk_id", "match_type", F.round("score", 6).alias("score"))

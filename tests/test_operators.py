@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -77,6 +78,21 @@ def test_keyword_modes(spark):
     assert (best.chunk_id, best.occurrences, round(best.score, 2)) == ("c", 2, 0.7)
 
 
+@pytest.mark.parametrize("limit", [keyword.BROADCAST_CHARS, 0])
+def test_substrings_agree_with_plain_search(spark, monkeypatch, limit):
+    monkeypatch.setattr(keyword, "BROADCAST_CHARS", limit)
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab é-.") for _ in range(r.randint(0, 30))) for _ in range(60)] + ["", "x", "Á b", "b" * 3000]
+    asked = ["a", "é", "ab", "a b", "b a b", "-a-", ". ", "bbb", "aba", "", "Á", "zzz", " a b.", "abab"]
+    chunks = spark.createDataFrame([(str(i), "f", i, t) for i, t in enumerate(texts)] + [("none", "f", 0, None)], CHUNKS)
+    queries = spark.createDataFrame(list(enumerate(asked)) + [(99, None)], "query_id long, query string")
+    got = [(r.query_id, r.chunk_id) for r in keyword.phrase_pairs(queries, chunks, "substring").collect()]
+    assert sorted(got) == sorted((q, str(i)) for q, w in enumerate(asked) for i, t in enumerate(texts) if w and w.lower() in t.lower())
+    found = {(r.query_id, r.chunk_id): (r.found, r.occurrences) for r in keyword.terms_search(spark.createDataFrame([(1, "bbb aba zzz")], queries.schema), chunks, 100).collect()}
+    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if w in ("bbb", "aba")] for i, t in enumerate(texts)}
+    assert found == {(1, str(i)): (len(set(w)), len(w)) for i, w in words.items() if w}
+
+
 def test_terms_make_up_the_shortfall(spark):
     chunks = spark.createDataFrame([(str(i), "f", i, f"blue van number {i}") for i in range(9)] + [("x", "g", 0, "blue van")], CHUNKS)
     queries = spark.createDataFrame([(1, "blue van number 3"), (2, "the green van")], "query_id long, query string")
