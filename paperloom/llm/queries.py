@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, chat, decontaminate, kdtree, langid, lexicon, passages, simhash, substrings, warc
+from . import bitpack, chat, decontaminate, fim, kdtree, langid, lexicon, passages, quality, simhash, substrings, trie, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_langid": langid.op9_langid,
     "op10_warc": warc.op10_warc,
+    "op11_quality_rff": quality.op11_quality_rff,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE_SQL,
     "op2_kdtree_topk": kdtree.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op12_fill_in_middle": fim.ORACLE_SQL,
+    "op13_prefix_trie": trie.ORACLE_SQL,
 }
