@@ -56,13 +56,17 @@ def _spans(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, rows of the most frequent one) of each document."""
-    order = np.lexsort((h, doc))
-    d, h = doc[order], h[order]
-    new = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(h, prepend=~h[:1]) != 0))
+    """(distinct values, rows of the most frequent one) of each of ``n`` documents; values are told apart by the hash bits that the document's number leaves."""
+    if not len(doc):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bits = np.uint64(64 - max(1, n.bit_length()))
+    key = np.sort((doc.astype(np.uint64) << bits) | (h >> (np.uint64(64) - bits)))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    d = (key[new] >> bits).astype(np.int64)
+    first = np.flatnonzero(np.diff(d, prepend=-1))
     most = np.zeros(n, np.int64)
-    np.maximum.at(most, d[new], np.diff(np.append(new, len(d))))
-    return np.bincount(d[new], minlength=n), most
+    most[d[first]] = np.maximum.reduceat(np.diff(np.append(new, len(key))), first)
+    return np.bincount(d, minlength=n), most
 
 
 def statistics(raws: list[bytes]) -> np.ndarray:
@@ -85,7 +89,11 @@ def statistics(raws: list[bytes]) -> np.ndarray:
     doc, length = doc_of(a), b - a
     words = count(doc)
     many = np.maximum(words, 1)
-    within = lambda flag: running(flag)[b] - running(flag)[a]
+
+    def within(flag: np.ndarray) -> np.ndarray:
+        total = running(flag)
+        return total[b] - total[a]
+
     upper, odd = within(kind == UPPER), within((kind == SYMBOL) | (kind == PIPE) | (kind == STOP))
     letters = within((kind == LOWER) | (kind == UPPER) | (kind == HIGH))
     h = slice_hashes(data, a, length) if len(a) else np.zeros(0, np.uint64)
