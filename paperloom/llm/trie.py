@@ -179,8 +179,8 @@ def _poly(turns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the sorted turns of a task: each of one conversation and of at most ``PIECE`` turns."""
+def _cut(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the sorted turns of a task: each of one conversation and of at most ``piece`` turns."""
     task, names = TaskContext.get().partitionId() << 32, [x.split()[0] for x in _PIECES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
     made, held = 0, None  # held: conversation, sections, turns, chars
@@ -206,9 +206,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = (own[0], *(np.concatenate(x) for x in zip(held[1:], own[1:], strict=True)))
             elif held:
                 rows.append(closed(*held))
-            while len(own[1]) > PIECE:
-                rows.append(closed(own[0], *(x[:PIECE] for x in own[1:])))
-                own = (own[0], *(x[PIECE:] for x in own[1:]))
+            while len(own[1]) > piece:
+                rows.append(closed(own[0], *(x[:piece] for x in own[1:])))
+                own = (own[0], *(x[piece:] for x in own[1:]))
             held = own
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -257,7 +257,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[Piece, bool, bool]]:
         yield Piece(get["conv_id"][i], get["fid"][i], start, sums, chars), get["opens"][i], get["last"][i]
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tries(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """Expanded nodes of the task's tries, each of about ``held`` turns, and a row for the root."""
     trie, opened, least = ZFastTrie(), 0, None
     for batch in batches:
         own, size = [], 0
@@ -267,7 +268,7 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if opens:
                 opened += 1
                 least = min(least or (piece.conv, piece.fid), (piece.conv, piece.fid))
-            if trie.turns + size > HELD:
+            if trie.turns + size > held:
                 trie.insert(own)
                 yield trie.expanded()
                 trie, own, size = ZFastTrie(), [], 0
@@ -348,7 +349,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)) for r in rows], names)
 
 
-def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece: int = PIECE, held: int = HELD) -> DataFrame:
     """Every node of the trie of rebuilt conversations, a row each.
 
     A conversation c is rebuilt: the first h turns of the first one of its block (c - c % 100), h = crc32(c) % 6, then its own after its first h.
@@ -366,13 +367,13 @@ def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     turns = materialize(turns)
     order = ["conv_id", "section", "turn", "t"]
     dealt = _rebuilt(turns).repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "section", "t", "chars")
-    cut = materialize(dealt.mapInArrow(_cut, _PIECES))
+    cut = materialize(dealt.mapInArrow(lambda batches: _cut(batches, piece), _PIECES))
     scalars = cut.select("conv_id", "fid", "base_n", "own_n", "sums", "heads").repartition("conv_id").sortWithinPartitions("conv_id", "fid")
     carried = scalars.mapInArrow(_carry, _CARRIED)
     placed = cut.drop("own_n", "sums", "heads").join(carried.hint("merge"), "fid")
     placed = materialize(placed.repartitionByRange("conv_id", "fid").sortWithinPartitions("conv_id", "fid"))
 
-    found = placed.mapInArrow(_tries, _EXPANDED)
+    found = placed.mapInArrow(lambda batches: _tries(batches, held), _EXPANDED)
     nodes = found.groupBy(*KEY).agg(
         F.min(F.struct("conv_id", "fid")).alias("own"), F.sum("n").alias("n_convs"), F.max("chars").alias("chars"), F.max("q0").alias("q0"), F.max("q1").alias("q1")
     )
@@ -386,11 +387,11 @@ def prefix_trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     # at most one node for each depth of a piece, so at most PIECE + 1 of them
     owned = named.select(F.col("own.fid").alias("fid"), "depth", "leaf", "saved").groupBy("fid")
     owned = owned.agg(F.collect_list(F.struct("depth", "leaf", "saved")).alias("owned"), F.sum("leaf").alias("leaves"), F.sum("saved").alias("saved"))
-    held = placed.join(owned.hint("merge"), "fid", "left")
+    valued = placed.join(owned.hint("merge"), "fid", "left")
     after = Window.partitionBy("conv_id").orderBy(F.desc("fid")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.select("conv_id", "fid", F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce("saved", F.lit(0)).alias("saved"))
+    totals = valued.select("conv_id", "fid", F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce("saved", F.lit(0)).alias("saved"))
     later = totals.select("fid", *(F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"later_{c}") for c in ("leaves", "saved")))
-    below = held.drop("leaves", "saved").join(later.hint("merge"), "fid").mapInArrow(_sums, "depth long, p0 long, p1 long, n_leaves long, saved_tokens long")
+    below = valued.drop("leaves", "saved").join(later.hint("merge"), "fid").mapInArrow(_sums, "depth long, p0 long, p1 long, n_leaves long, saved_tokens long")
 
     ended = placed.filter("last").mapInArrow(_ends, "depth long, p0 long, p1 long, conv_id long")
     packed = ended.repartitionByRange(*KEY, "conv_id").sortWithinPartitions(*KEY, "conv_id").mapInArrow(_packed, "depth long, p0 long, p1 long, conv_id long, ids string")

@@ -61,7 +61,7 @@ def made_conversations(seed, convs=60, longest=9):
     return rows
 
 
-def test_trie_agrees_with_brute_force(spark, monkeypatch):
+def test_trie_agrees_with_brute_force(spark):
     rows = made_conversations(1)
     rows += [(300, None, None, None), (300, None, None, None), (300, 0, "user", "x" * 100_000), (-7, 0, "user", "a"), (None, 0, "user", "lost"), (150, 0, "user", "a"), (150, 0, "user", "b")]
     assert nodes_of(spark, rows) == brute_trie(rows)
@@ -73,12 +73,7 @@ def test_hot_conversations_span_pieces(spark):
     rows += [(200, t, "user", "t" * (t % 3)) for t in range(150)] + [(207, t, "user", "t" * (t % 3)) for t in range(153)]
     rows += [(c, t, "user", f"same {t}") for c in range(400, 440) for t in range(6)]
     table = spark.createDataFrame(rows, CONV).repartition(3)
-    before, trie.PIECE, trie.HELD, trie.PACK = (trie.PIECE, trie.HELD, trie.PACK), 7, 40, 3
-    try:  # the local workers are forked from this process or read the module anew; either way the result is the same
-        got = {tuple(r) for r in trie.prefix_trie(table).collect()}
-    finally:
-        trie.PIECE, trie.HELD, trie.PACK = before
-    assert got == brute_trie(rows)
+    assert {tuple(r) for r in trie.prefix_trie(table, piece=7, held=40).collect()} == brute_trie(rows)
 
 
 def placed(pieces):
@@ -114,7 +109,6 @@ def test_carry_joins_pieces_anywhere():
     """Cutting conversations at other places, heads and dropped turns included, changes no prefix's name."""
     import pyarrow as pa
 
-    r = random.Random(5)
     names = []
     for cut in (1, 2, 3, 50):
         rng, found, pieces = random.Random(9), {}, []
@@ -133,7 +127,7 @@ def test_carry_joins_pieces_anywhere():
             for d in range(piece.start, piece.end + 1):
                 found[piece.conv, d] = piece.name(d)
         names.append(found)
-    assert all(n == names[0] for n in names) and r
+    assert all(n == names[0] for n in names)
 
 
 def test_empty_trie(spark):
