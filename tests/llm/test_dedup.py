@@ -341,6 +341,50 @@ def test_recall_of_planted_passages_against_brute_force(spark, docs):
     assert all(b == a + 1 for a, b in found)
 
 
+def similar_stretches(p, q, width):
+    """Whether two word lists hold stretches of ``width`` or more shingles at the least similarity, by trying all of them."""
+    a, b = ([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (p, q))
+    number = {x: i for i, x in enumerate(sorted({*a, *b}))}
+    x, y = (members(np.array([number[v] for v in w], int), width, max(1, len(number))) for w in (a, b))
+    if not len(x) or not len(y):
+        return False
+    common = x @ y.T
+    return (common / (x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - common)).max() >= passages.SIMILARITY - 1e-6
+
+
+@pytest.mark.parametrize("decoys", [[(0, 42), (6, 48), (12, 54)], [(k, k + 42) for k in range(0, 13, 2)] * 2])
+def test_copies_meet_past_holders_of_parts(spark, docs, decoys):
+    """Two documents hold a passage whole; others of smaller id hold parts below the threshold."""
+    rows, groups = [], 100
+    for g in range(groups):
+        p = prose(54, 20_000 + g).split()
+        parts = [" ".join(p[a:b]) for a, b in decoys] + [" ".join(p)] * 2
+        rows += [(100 * g + i, f"{prose(30, 30_000 + 100 * g + i)} {x} {prose(20, 60_000 + 100 * g + i)}") for i, x in enumerate(parts)]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(docs(rows)).collect()}
+    n = len(decoys)
+    assert sum(got[100 * g + n] == got[100 * g + n + 1] for g in range(groups)) == groups
+
+
+def test_classes_of_drifting_families_against_brute_force(spark, docs):
+    """Passages drift from member to member, so a class hangs together by some pairs alone; ids are dealt at random."""
+    r, rows, true = random.Random(8), [], []
+    width = passages.WORDS - passages.SHINGLE + 1
+    ids = r.sample(range(10_000), 240)
+    for family in range(20):
+        p, own = prose(58, 40_000 + family).split(), []
+        for _ in range(12):
+            own.append((ids.pop(), list(p)))
+            p[r.randrange(len(p))] = f"edit{r.random()}"
+        rows += [(i, f"{prose(30, 41_000 + i)} {' '.join(w)} {prose(25, 52_000 + i)}") for i, w in own]
+        true += [(i, j) for i, p in own for j, q in own if i < j and similar_stretches(p, q, width)]
+    want = reachable([i for i, _ in rows], true)
+    got = {x.doc_id: x.class_id for x in passages.passage_classes(docs(rows)).collect()}
+    pairs = [(i, j) for i in want for j in want if i < j and want[i] == want[j]]
+    assert len(true) > 300 and len(pairs) > len(true)
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
+
+
 def test_odd_passages(spark, docs):
     """Very long texts, ties in ids, and columns of the operator's own names."""
     long, passage = prose(60_000, 70), prose(60, 71)
