@@ -1,8 +1,8 @@
 """Keyword search of a table of queries against a table of chunks.
 
-Queries carry query_id and query; chunks carry chunk_id, file_name, chunk_index and
-text.  Candidates come from an equi join on tokens, or on three-character grams where a
-phrase has no whole token; the predicate is verified on the pair.  The queries' keys are
+Queries carry query_id and query; chunks carry chunk_id, file_name, chunk_index and text.  The shortest chunks that
+hold a phrase or a term come from a stored gram index.  Where all pairs are asked for, candidates come from an equi join on
+tokens, or on grams where a phrase has no whole token, and are verified on the pair; the queries' keys are
 broadcast if the queries' text is small, so chunks aren't shuffled; beyond that, ids alone are.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import text as T
 from ..params import SEARCH, SearchParams
+from ..storage import written
+from . import grams
 
 #: Characters of query text up to which the queries are broadcast; beyond it, joins are by sorting and merging.
 BROADCAST_CHARS = 4 << 20
@@ -28,7 +30,7 @@ def token_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token"))
 
 
-def grams(text: Column, sizes=(1, 2, 3)) -> Column:
+def stretches(text: Column, sizes=(1, 2, 3)) -> Column:
     """Distinct stretches of ``sizes`` characters of the lower-case text."""
     chars = F.split(F.lower(text), "")
     found = {1: chars}
@@ -76,18 +78,38 @@ def phrase_pairs(queries: DataFrame, chunks: DataFrame, mode: str = "token") ->
         sizes = sorted(r[0] for r in loose.select(F.least(F.lit(3), F.length("query"))).distinct().collect())  # three values at most
         if not sizes:
             return by_token.filter(low_text.contains(low_query))
-        short = F.filter(grams(F.col("query"), sizes), lambda g: F.length(g) == F.least(F.lit(3), F.length("query")))
-        return by_token.unionByName(meet(loose, named, short, grams(F.col("text"), sizes), hint)).filter(low_text.contains(low_query))
+        short = F.filter(stretches(F.col("query"), sizes), lambda g: F.length(g) == F.least(F.lit(3), F.length("query")))
+        return by_token.unionByName(meet(loose, named, short, stretches(F.col("text"), sizes), hint)).filter(low_text.contains(low_query))
     met = meet(queries, named, tokens(F.col("query")), tokens(F.col("text")), hint)
     return met.filter(F.regexp_like(low_text, F.concat(F.lit("(?<![a-z0-9])"), T.quoted(low_query), F.lit("(?![a-z0-9])"))))
 
 
-def exact_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, mode: str = "token", params: SearchParams = SEARCH) -> DataFrame:
-    """The ``limit`` shortest chunks with the phrase for each query, scored by its occurrences."""
-    pairs = phrase_pairs(queries, chunks, mode).withColumn("occurrences", T.occurrences(F.col("text"), F.col("query")))
-    order = Window.partitionBy("query_id").orderBy(F.length("text"), "file_name", "chunk_index", "chunk_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.withColumn("score", exact_score(F.col("occurrences"), params)).withColumn("match_type", F.lit("exact_phrase"))
+def exact_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, mode: str = "token", params: SearchParams = SEARCH, index: grams.GramIndex | None = None) -> DataFrame:
+    """The ``limit`` shortest chunks with the phrase for each query, scored by its occurrences.
+
+    Phrases of three characters or more are looked up in ``index``, which is built where none is given; each phrase once, whatever queries ask
+    for it.  Shorter ones are joined by ``phrase_pairs``.
+    """
+    index = index or grams.build(chunks)
+    asked = queries.withColumn("string", F.lower("query"))
+    border = F.regexp_like("low", F.concat(F.lit("(?<![a-z0-9])"), T.quoted(F.col("string")), F.lit("(?![a-z0-9])")))
+    long = asked.filter(F.length("string") >= grams.SIZE)
+    if mode == "token":
+        long = long.filter(F.size(tokens(F.col("query"))) > 0)
+    hits = written(long.join(grams.shortest_holding(index, long, limit, border if mode == "token" else None).hint("merge"), "string"))
+    found = index.chunks.join(hits.hint(small(hits)), "ord").drop("ord", "n_chars", "string")
+    short = queries.filter(F.length(F.lower("query")) < grams.SIZE)
+    if not short.isEmpty():
+        order = Window.partitionBy("query_id").orderBy(F.length("text"), "file_name", "chunk_index", "chunk_id")
+        pairs = phrase_pairs(short, chunks, mode).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        found = found.unionByName(pairs)
+    scored = found.withColumn("occurrences", T.occurrences(F.col("text"), F.col("query")))
+    return scored.withColumn("score", exact_score(F.col("occurrences"), params)).withColumn("match_type", F.lit("exact_phrase"))
+
+
+def small(rows: DataFrame) -> str:
+    """The join hint for written rows of some numbers and short strings, by their count."""
+    return "broadcast" if rows.count() <= grams.BROADCAST_PAIRS else "merge"
 
 
 def exact_score(occurrences: Column, params: SearchParams = SEARCH) -> Column:
@@ -100,34 +122,40 @@ def terms_score(found: Column, terms: Column, occurrences: Column, params: Searc
     return F.when(found == 0, 0.1).otherwise(F.least(F.lit(params.base_score), score))
 
 
-def terms_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, exclude: DataFrame | None = None, params: SearchParams = SEARCH) -> DataFrame:
-    """The ``limit`` shortest chunks that hold any term of each query as a token, without the pairs of ``exclude``; scored by the terms found.
+def terms_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, exclude: DataFrame | None = None, params: SearchParams = SEARCH, index: grams.GramIndex | None = None) -> DataFrame:
+    """The ``limit`` shortest chunks that contain any term of each query, anywhere in the text, without the pairs of ``exclude``; scored by the terms found.
 
-    Tokens that no query asks for are dropped by the join before anything is shuffled; matches
-    are counted by pair, ranked without the texts, and the best alone meet their texts.
+    A query's shortest chunks are among the shortest of its terms, so each distinct term is looked up once in ``index`` for as many
+    chunks as may be asked of it, and only those meet the query.  A term that a query repeats counts each time.
     """
-    named, hint = chunks.filter("file_name IS NOT NULL"), strategy(queries)
-    words = F.array_distinct(Q.search_terms(F.col("query")))
-    terms = queries.select("query_id", F.explode(words).alias("token"), F.size(words).alias("n_terms"))
-    order_columns = ["n_chars", "file_name", "chunk_index", "chunk_id"]
-    places = named.select(F.length("text").alias("n_chars"), *order_columns[1:], F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token"))
-    by_term = places.join(terms.hint(hint), "token").groupBy("query_id", "token", *order_columns).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-    met = by_term.groupBy("query_id", *order_columns).agg(F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.sum("n").alias("occurrences"))
+    index = index or grams.build(chunks)
+    asked = queries.withColumn("terms", Q.search_terms(F.col("query"))).filter(F.size("terms") > 0)
+    by_term = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("string"))
+    gone = 0 if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    hits = grams.shortest_holding(index, by_term, limit + gone)
+    met = written(by_term.join(hits.hint("merge"), "string").select("query_id", "ord").distinct())
+    pairs = index.chunks.join(met.hint(small(met)), "ord")
     if exclude is not None:
-        met = met.join(exclude.select("query_id", "chunk_id").hint(hint), ["query_id", "chunk_id"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy(*order_columns)
-    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "chunk_id", "rank", "found", "n_terms", "occurrences")
-    pairs = named.join(ranked.hint(hint), "chunk_id")
-    return pairs.withColumn("score", terms_score(F.col("found"), F.col("n_terms"), F.col("occurrences"), params)).withColumn("match_type", F.lit("flexible_terms"))
-
-
-def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = 20, params: SearchParams = SEARCH, mode: str = "substring") -> DataFrame:
-    """The phrase first, anywhere in the text; terms make up what a query lacks to ``top_k``."""
+        pairs = pairs.join(exclude.select("query_id", "chunk_id").hint("merge"), ["query_id", "chunk_id"], "left_anti")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).filter(F.col("rank") <= limit)
+    low = F.lower("text")
+    rows = ranked.join(asked.select("query_id", "query", "terms").hint("merge"), "query_id").drop("ord", "n_chars")
+    rows = rows.withColumn("found", F.size(F.filter("terms", lambda t: low.contains(t))))
+    count = lambda t: ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("long")
+    rows = rows.withColumn("occurrences", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + count(t))).withColumn("n_terms", F.size("terms")).drop("terms")
+    return rows.withColumn("score", terms_score(F.col("found"), F.col("n_terms"), F.col("occurrences"), params)).withColumn("match_type", F.lit("flexible_terms"))
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, top_k: int = 20, params: SearchParams = SEARCH, mode: str = "substring", index: grams.GramIndex | None = None) -> DataFrame:
+    """The phrase first, anywhere in the text; terms make up what a query lacks to ``top_k``.  One index serves both."""
     columns = ["query_id", "chunk_id", "file_name", "chunk_index", "text", "score", "match_type", "occurrences"]
-    exact = exact_search(queries, chunks, top_k, mode, params).select(*columns)
-    loose = terms_search(queries, chunks, top_k, exact, params).select(*columns, "rank")
+    index = index or grams.build(chunks)
+    exact = written(exact_search(queries, chunks, top_k, mode, params, index).select(*columns))  # at most top_k rows a query
     held = exact.groupBy("query_id").agg(F.count("*").alias("held"))
-    loose = loose.join(held.hint("merge"), "query_id", "left").filter(F.col("rank") <= top_k - F.coalesce("held", F.lit(0)))
+    lacking = queries.join(held.hint("merge"), "query_id", "left").withColumn("held", F.coalesce("held", F.lit(0))).filter(F.col("held") < top_k)
+    lacking = written(lacking)
+    loose = terms_search(lacking.select("query_id", "query"), chunks, top_k, exact, params, index)
+    loose = loose.join(lacking.select("query_id", "held").hint("merge"), "query_id").filter(F.col("rank") <= top_k - F.col("held"))
     return exact.unionByName(loose.select(*columns))
 
 

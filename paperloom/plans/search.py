@@ -36,19 +36,22 @@ def p02s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in Q.SEARCH_STOP_WORDS) + "]"
+_COUNTED = "list_sum(list_transform(t, lambda w: (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w)))"
 _TERMS = f"""
-terms AS (SELECT query_id, unnest(t) AS token, len(t) AS n_terms FROM (SELECT query_id, list_distinct(list_filter({sql_words("lower(query)")}, lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))) AS t FROM search_queries)),
-places AS (SELECT chunk_id, token, count(*) AS n FROM (SELECT chunk_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM chunks) WHERE token <> '' GROUP BY ALL),
-met AS (SELECT query_id, chunk_id, count(*) AS found, max(n_terms) AS n_terms, sum(n) AS occurrences FROM terms JOIN places USING (token) GROUP BY ALL),
-loose AS (SELECT m.*, c.file_name, c.chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY length(text), file_name, chunk_index, m.chunk_id) AS rank,
-          least(0.6, 0.6 * 0.8 + found / n_terms * 0.2 + least(0.2, occurrences * 0.02)) AS score FROM met m JOIN chunks c ON m.chunk_id = c.chunk_id)
+terms AS (SELECT query_id, list_filter({sql_words("lower(query)")}, lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS t FROM search_queries),
+by_term AS (SELECT DISTINCT query_id, unnest(t) AS term FROM terms),
+met AS (SELECT DISTINCT query_id, chunk_id FROM by_term JOIN chunks ON contains(lower(text), term)),
+loose AS (SELECT m.query_id, m.chunk_id, len(list_filter(t, lambda w: contains(lower(text), w))) AS found, CAST({_COUNTED} AS BIGINT) AS occurrences,
+          row_number() OVER (PARTITION BY m.query_id ORDER BY length(text), file_name, chunk_index, m.chunk_id) AS rank,
+          least(0.6, 0.6 * 0.8 + len(list_filter(t, lambda w: contains(lower(text), w))) / len(t) * 0.2 + least(0.2, {_COUNTED} * 0.02)) AS score
+          FROM met m JOIN terms USING (query_id) JOIN chunks c ON m.chunk_id = c.chunk_id)
 """
 
 
-@register("p03_any_term", f"{K}, {_TERMS} SELECT query_id, chunk_id, CAST(found AS BIGINT) AS found, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM loose WHERE rank <= 20")
+@register("p03_any_term", f"{K}, {_TERMS} SELECT query_id, chunk_id, CAST(found AS INTEGER) AS found, occurrences, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM loose WHERE rank <= 20")
 def p03(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyword.terms_search(I.search_queries(spark, sf_dir), I.chunks(spark, sf_dir))
-    return rows.select("query_id", "chunk_id", "found", F.round("score", 6).alias("score"), "rank")
+    return rows.select("query_id", "chunk_id", "found", "occurrences", F.round("score", 6).alias("score"), "rank")
 
 
 _SUBSTRING = """

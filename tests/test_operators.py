@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import registry
-from paperloom.operators import chunking, evaluate, fusion, keyword, lifecycle, validate, vector
+from paperloom.operators import chunking, evaluate, fusion, grams, keyword, lifecycle, validate, vector
 from paperloom.params import ChunkParams
 
 CHUNKS = "chunk_id string, file_name string, chunk_index int, text string"
@@ -89,8 +89,35 @@ def test_substrings_agree_with_plain_search(spark, monkeypatch, limit):
     got = [(r.query_id, r.chunk_id) for r in keyword.phrase_pairs(queries, chunks, "substring").collect()]
     assert sorted(got) == sorted((q, str(i)) for q, w in enumerate(asked) for i, t in enumerate(texts) if w and w.lower() in t.lower())
     found = {(r.query_id, r.chunk_id): (r.found, r.occurrences) for r in keyword.terms_search(spark.createDataFrame([(1, "bbb aba zzz")], queries.schema), chunks, 100).collect()}
-    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if w in ("bbb", "aba")] for i, t in enumerate(texts)}
-    assert found == {(1, str(i)): (len(set(w)), len(w)) for i, w in words.items() if w}
+    count = {i: [t.lower().count(w) for w in ("bbb", "aba", "zzz")] for i, t in enumerate(texts)}
+    assert found == {(1, str(i)): (sum(map(bool, n)), sum(n)) for i, n in count.items() if any(n)}
+
+
+def test_terms_are_found_inside_words(spark):
+    """Accents, hyphens and full stops belong to a term; a term within a word counts; one that a query repeats counts each time."""
+    chunks = spark.createDataFrame([("a", "f", 0, "Car 191-D-12345 was dafür"), ("b", "f", 1, "x191-d-123456, de. für für"), ("c", "g", 0, "191 D 12345 fur"), ("d", "g", 1, None), ("e", None, 0, "für")], CHUNKS)
+    queries = spark.createDataFrame([(1, "191-D-12345"), (2, "für für"), (3, "the of in"), (4, "de."), (5, ""), (6, None)], "query_id long, query string")
+    rows = {(r.query_id, r.chunk_id): (r["rank"], r.found, r.occurrences, round(r.score, 6)) for r in keyword.terms_search(queries, chunks).collect()}
+    assert rows == {(1, "a"): (1, 1, 1, 0.6), (1, "b"): (2, 1, 1, 0.6), (2, "a"): (1, 2, 2, 0.6), (2, "b"): (2, 2, 4, 0.6), (4, "b"): (1, 1, 1, 0.6)}
+
+
+@pytest.mark.parametrize("pairs", [grams.BROADCAST_PAIRS, 0])
+def test_shortest_holders_agree_with_plain_search(spark, monkeypatch, tmp_path, pairs):
+    """Strings whose grams are all there but not in a row need candidates beyond the first; the index is read back from its folder."""
+    monkeypatch.setattr(grams, "BROADCAST_PAIRS", pairs)
+    monkeypatch.setattr(grams, "BROADCAST_CHARS", pairs)
+    r = random.Random(11)
+    texts = ["".join(r.choice("abÉ-") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", None, "😀 abab", "ab"] + ["aab abb baa bab"] * 60 + ["x" * 200 + "aabbaabab"]
+    chunks = spark.createDataFrame([(str(i), f"f{i % 3}", i, t) for i, t in enumerate(texts)], CHUNKS)
+    grams.build(chunks, f"file://{tmp_path}/index")
+    index = grams.load(spark, f"file://{tmp_path}/index")
+    asked = ["aba", "aabbaabab", "é-é", "bbbb", "😀 a", "zzz", "abéab", "a" * 70]
+    rows = grams.shortest_holding(index, spark.createDataFrame([(s,) for s in asked * 2], "string string"), 5).join(index.chunks, "ord").collect()
+    got = {s: [x.chunk_id for x in sorted((x for x in rows if x.string == s), key=lambda x: x["rank"])] for s in asked}
+    ranked = sorted((i for i, t in enumerate(texts) if t), key=lambda i: (len(texts[i]), f"f{i % 3}", i, str(i)))
+    assert got == {s: [str(i) for i in ranked if s in texts[i].lower()][:5] for s in asked}
+    n = index.postings.selectExpr("sum(n)").first()[0]
+    assert n == sum(len({t.lower()[k : k + 3] for k in range(len(t) - 2)}) for t in texts if t)
 
 
 def test_terms_make_up_the_shortfall(spark):
