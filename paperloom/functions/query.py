@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import SEARCH, SearchParams
 from . import vrn
-from .text import words
+from .text import bordered, words
 
 #: Words without search value, in two variants.
 STOP_WORDS = tuple(
@@ -31,7 +31,7 @@ ACRONYMS = {
 }
 #: Patterns of attacks.
 SQL_ATTACKS = (r"\b(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|EXEC|EXECUTE)\b", r"(--|;|/\*|\*/)", r"(\bOR\b.*=.*|AND\b.*=.*)", r"(UNION\s+SELECT)")
-SCRIPT_ATTACKS = (r"<script[^>]*>.*?</script>", r"javascript:", r"on[A-Za-z0-9_]+\s*=", r"<iframe")
+SCRIPT_ATTACKS = (r"<script[^>]*>.*?</script>", r"javascript:", r"on\w+\s*=", r"<iframe")
 #: Phrases that ask for documents, for counts, and about the system.
 DOCUMENT_PHRASES = ("tell me about", "show me", "all information", "complete information", "full document", "all details", "everything about", "all chunks", "entire document")
 COUNT_PHRASES = ("how many", "count", "total number", "number of", "all cars", "all vehicles", "all our", "list all", "show all", "tell me about our", "tell me about all")
@@ -72,7 +72,7 @@ def any_phrase(text: Column, phrases) -> Column:
 
 
 def any_form(text: Column, forms, flags: str = "(?i)") -> Column:
-    return vrn.any_of([F.regexp_like(text, F.lit(flags + f)) for f in forms])
+    return vrn.any_of([F.regexp_like(text, F.lit(flags + bordered(f))) for f in forms])
 
 
 def squeeze(text: Column) -> Column:
@@ -159,7 +159,7 @@ def intent(query: Column) -> Column:
         (F.length(q) < 2, "invalid", 1.0),
         ((F.size(tokens) == 1) & F.lower(q).isin(*SINGLE_STOP_WORDS), "invalid", 0.95),
         (F.regexp_like(q, F.lit(r"\d{2,3}-[A-Z]-\d{4,5}")), "vehicle_search", 0.95),
-        (F.regexp_like(q, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")), "person_search", 0.85),
+        (F.regexp_like(q, F.lit(bordered(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"))), "person_search", 0.85),
         (has(VEHICLE_WORDS), "vehicle_search", 0.75),
         (has(PERSON_WORDS), "person_search", 0.75),
         (has(DOCUMENT_WORDS), "document_search", 0.75),
@@ -184,7 +184,7 @@ def entity(query: Column) -> Column:
             c = c + F.when(place >= 0, (F.lit(1.0) - place / F.length(query)) * 0.1).otherwise(0.0)
             return F.struct(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 9).alias("confidence"), (-F.lit(rank) * 10_000 - i).alias("order"), m.alias("entity"))
 
-        found = F.filter(F.regexp_extract_all(query, F.lit(form), F.lit(group)), lambda m: ~m.isin(*QUESTION_WORDS))
+        found = F.filter(F.regexp_extract_all(query, F.lit(bordered(form)), F.lit(group)), lambda m: ~m.isin(*QUESTION_WORDS))
         return F.transform(found, one)
 
     every = F.concat(*(candidates(f, g, b, i) for i, (f, g, b) in enumerate(ENTITY_FORMS)))
@@ -285,8 +285,8 @@ def search_strategy(query: Column, has_entity: Column) -> Column:
 
 
 def is_person_query(query: Column, name: Column | None = None) -> Column:
-    asked = any_phrase(query, PERSON_PHRASES) & F.regexp_like(query, F.lit(r"\b[A-Z][a-z]+\b"))
-    return asked if name is None else F.coalesce(F.regexp_like(name, F.lit(r"(?i)\b[A-Z][a-z]+\s+[A-Z][a-z]+\b")), F.lit(False)) | asked
+    asked = any_phrase(query, PERSON_PHRASES) & F.regexp_like(query, F.lit(bordered(r"\b[A-Z][a-z]+\b")))
+    return asked if name is None else F.coalesce(F.regexp_like(name, F.lit(bordered(r"(?i)\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"))), F.lit(False)) | asked
 
 
 def complexity(query: Column) -> Column:

@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRUNCATED = " [TRUNCATED]"
+#: A place between a letter, digit or underscore of any script and anything else: what ``\\b`` means to the forms here, whatever the Java version.
+BORDER = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def bordered(form: str) -> str:
+    """A form with its word borders spelled out."""
+    return form.replace(r"\b", BORDER)
+
 
 #: File types of converted documents.
 MIME_TO_EXTENSION = {
@@ -51,6 +59,11 @@ def clean_map(values: Column, limit: int = 1000) -> Column:
     return F.transform_values(values, lambda _, v: F.substring(clean(v), 1, limit))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """White-space words; none for an empty text."""
     return F.array_remove(F.split(text, r"\s+"), "")
@@ -70,17 +83,21 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+#: Words at a text's start that tell of a failed conversion.
+FAILURE_WORDS = ("error", "could not", "unable to", "failed", "corrupted")
+
+
 def quality_score(text: Column) -> Column:
-    """0 to 100 for a converted document: short texts, few words and an early error word cost; headings and lists give."""
+    """0 to 100 for a converted document: short texts, few words and an early word of failure cost; headings, and lists of one kind of mark, give."""
     n, w = F.length(text), F.size(words(text))
     early = F.lower(F.substring(text, 1, 200))
     score = (
         F.lit(100)
         - F.when(n < 100, 30).when(n < 500, 15).otherwise(0)
-        - F.when(w < 20, 20).when(w < 100, 10).otherwise(0)
-        - F.when(early.contains("error") | early.contains("failed"), 15).otherwise(0)
+        - F.when(w < 20, 20).when(w < 50, 10).otherwise(0)
+        - F.when(F.exists(F.array(*map(F.lit, FAILURE_WORDS)), early.contains), 15).otherwise(0)
         + F.when(F.regexp_count(text, F.lit("#")) >= 2, 5).otherwise(0)
-        + F.when(F.regexp_count(text, F.lit(r"(?m)^[ ]*[-*] ")) >= 3, 5).otherwise(0)
+        + F.when((F.regexp_count(text, F.lit("\n-")) >= 3) | (F.regexp_count(text, F.lit(r"\n\*")) >= 3), 5).otherwise(0)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("double")
 
@@ -103,7 +120,7 @@ def quoted(phrase: Column) -> Column:
 
 def word_match(phrase: Column, text: Column) -> Column:
     """Whether the phrase occurs in the text at word borders, in any case; False for an empty phrase."""
-    return F.when(F.trim(phrase) == "", F.lit(False)).otherwise(F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), quoted(F.lower(phrase)), F.lit(r"\b"))))
+    return F.when(F.trim(phrase) == "", F.lit(False)).otherwise(F.regexp_like(F.lower(text), F.concat(F.lit(BORDER), quoted(F.lower(phrase)), F.lit(BORDER))))
 
 
 def output_path(path: Column, out_dir: str, stamp: Column | None = None) -> Column:

@@ -155,15 +155,18 @@ def person_priority(rows: DataFrame, entity: Column) -> DataFrame:
 def reciprocal_rank(rows: DataFrame, k: int = SEARCH.rrf_k) -> DataFrame:
     """query_id, file_name, key, rrf_score, methods, rank.
 
-    Each method ranks its own rows; a result (file and first 100 characters) gets the weighted sum of 1 / (k + rank),
-    x 1.4 if database and vector both have it, else x (1 + 0.2 for each further method).
+    Each method ranks its own rows, ties by arrival.  A result (file and first 100 characters) has the weight of the row that came first, whatever
+    the method of the others; each of its rows adds weight / (k + the result's best rank in that row's method).
+    The sum is x 1.4 if database and vector both have it, else x (1 + 0.2 for each further method).
     """
-    by_method = Window.partitionBy("query_id", "source_method").orderBy(F.desc("similarity_score"), *tie_break())
+    arrival = ["arrival_ord", "chunk_id"]
+    by_method = Window.partitionBy("query_id", "source_method").orderBy(F.desc("similarity_score"), "arrival_ord", *tie_break())
     keyed = rows.withColumn("method_rank", F.row_number().over(by_method)).withColumn("key", F.substring("full_content", 1, 100))
-    part = _lookup(METHOD_WEIGHTS, F.col("source_method")) / (k + F.col("method_rank"))
-    summed = keyed.groupBy("query_id", "file_name", "key").agg(
-        F.sum(part).alias("sum"),
-        F.countDistinct("source_method").alias("methods"),
+    first = F.struct(*arrival, _lookup(METHOD_WEIGHTS, F.col("source_method")).alias("weight"))
+    ranked = keyed.groupBy("query_id", "file_name", "key", "source_method").agg(F.min("method_rank").alias("best"), F.count("*").alias("n"), F.min(first).alias("first"))
+    summed = ranked.groupBy("query_id", "file_name", "key").agg(
+        (F.sum(F.col("n") / (k + F.col("best"))) * F.min("first")["weight"]).alias("sum"),
+        F.count("*").alias("methods"),
         F.max(is_database(F.col("source_method"))).alias("db"),
         F.max(is_vector(F.col("source_method"))).alias("vec"),
     )

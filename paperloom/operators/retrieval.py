@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query as Q
+from ..functions import text as T
+from ..storage import written
 
 Search = Callable[[DataFrame], DataFrame]
 
@@ -29,24 +31,36 @@ def execute(planned: DataFrame, keyword: Search, vector: Search, enough: int = E
     Keyword search is for all; a query of strategy database_priority with ``enough`` hits is done.
     Vector search gets the others alone; queries without any row get a second
     vector search with twice their top_k (50 at most) and no threshold.  Each search takes queries and gives rows with
-    query_id; the queries it is given are decided by joins, so nothing is searched in vain.
+    query_id; the queries it is given are decided by joins, so nothing is searched in vain.  Queries and hits are written between the steps.
     """
-    planned = planned.persist()  # a row for each query
-    hits = keyword(planned).persist()  # used by the counts, the union and the rest; the caller may unpersist by clearing the cache
+    planned = written(planned)  # a row for each query
+    hits = written(keyword(planned))
     counts = hits.groupBy("query_id").agg(F.count("*").alias("_hits"))
-    judged = planned.join(counts, "query_id", "left")
+    judged = planned.join(counts.hint("merge"), "query_id", "left")
     open_ = judged.filter((F.col("strategy") != "database_priority") | (F.coalesce("_hits", F.lit(0)) < enough)).drop("_hits")
-    found = hits.unionByName(vector(open_), allowMissingColumns=True)
-    empty = planned.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    found = hits.unionByName(written(vector(written(open_))), allowMissingColumns=True)
+    empty = written(planned.join(found.select("query_id").distinct().hint("merge"), "query_id", "left_anti"))
     wider = empty.withColumn("top_k", F.least(F.lit(50), F.col("top_k") * 2)).withColumn("threshold", F.lit(0.0))
     return found.unionByName(vector(wider), allowMissingColumns=True)
 
 
-def cleaned_extraction(text: Column) -> Column:
-    """Struct (entity, confidence) of an external extractor's reply: labels, quotes and end marks go; no name gives 0.1."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^(entity|name|answer|result)\s*:\s*", ""), "^[\"'`]+|[\"'`.,;:!?]+$", ""))
-    none = (bare == "") | F.lower(bare).isin("none", "null", "n/a", "unknown")
-    return F.struct(F.when(none, "").otherwise(bare).alias("entity"), F.when(none, 0.1).when(F.size(F.split(bare, r"\s+")) > 6, 0.4).otherwise(0.9).alias("confidence"))
+#: Words of a question that are no name.
+QUESTION_WORDS = "question query extract name tell about who is find show".split()
+
+
+def cleaned_extraction(text: Column, query: Column) -> Column:
+    """Struct (entity, confidence) of an external extractor's reply to ``query``: a label before, a filler word behind, and quotes go."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?i)^(name|answer|result)[:=]\s*", ""), r"(?i)\s*(is|the|answer|result)$", "")
+    name = T.stripped(F.regexp_replace(F.regexp_replace(bare, "^[\"']+|[\"']+$", ""), r"\s+", " "))
+    confidence = (
+        F.when(F.length(name) < 2, 0.0)
+        .when(F.arrays_overlap(T.words(F.lower(name)), F.array(*map(F.lit, QUESTION_WORDS))), 0.2)
+        .when(F.length(name) > F.length(query), 0.1)
+        .when(F.regexp_like(name, F.lit("^[A-Z][a-z]+(?: [A-Z][a-z]+)*$")), 0.9)
+        .when(F.size(T.words(name)) <= 3, 0.7)
+        .otherwise(0.5)
+    )
+    return F.struct(name.alias("entity"), confidence.alias("confidence"))
 
 
 def first_value(values: Column, *keys: str) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def document_reason(text: Column, min_chars: int = 50, min_words: int = 5) -> Column:
-    return F.when(text.isNull() | (F.trim(text) == ""), "empty").when(F.length(text) < min_chars, "too_short").when(F.size(T.words(text)) < min_words, "too_few_words")
+def document_reason(text: Column, min_chars: int = 50, min_words: int = 3) -> Column:
+    """Null for a valid document; sizes are those of the text without white space at its ends."""
+    bare = T.stripped(text)
+    return F.when(text.isNull() | (bare == ""), "empty").when(F.length(bare) < min_chars, "too_short").when(F.size(T.words(bare)) < min_words, "too_few_words")
 
 
 def chunk_reason(text: Column, min_chars: int = 50, max_few_words: int = 5) -> Column:
@@ -23,14 +25,17 @@ def chunk_reason(text: Column, min_chars: int = 50, max_few_words: int = 5) -> C
     )
 
 
+#: Characters that no text has: controls but tab and line ends, and, of any script, format, private and unassigned ones.
+BINARY = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{80}-\x{84}\x{86}-\x{9F}\p{Cf}\p{Co}\p{Cn}]"
+
+
 def embedding_reason(text: Column, sample: int = 1000) -> Column:
-    """Null for a text fit for an embedder: long enough, printable, with letters and words."""
+    """Null for a text fit for an embedder: long enough, not binary, with letters or digits of any script, and words."""
     head = F.substring(text, 1, sample)
-    share = lambda keep: F.length(F.regexp_replace(head, keep, "")) / F.length(head)
     return (
-        F.when(text.isNull() | (F.length(F.trim(text)) < 10), "too_short")
-        .when(share(r"[^\x00-\x1F\x7F]") > 0.9, "unprintable")
-        .when(share(r"[^A-Za-z0-9À-ɏ]") < 0.1, "few_letters")
+        F.when(text.isNull() | (F.length(T.stripped(text)) < 10), "too_short")
+        .when(F.regexp_count(head, F.lit(BINARY)) / F.length(head) > 0.9, "unprintable")
+        .when(F.regexp_count(head, F.lit(r"[\p{L}\p{N}]")) / F.length(head) < 0.1, "few_letters")
         .when(F.size(T.words(text)) < 3, "too_few_words")
     )
 

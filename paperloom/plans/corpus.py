@@ -165,7 +165,7 @@ def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "p04_document_reasons",
-    f"SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) < 50 THEN 'too_short' WHEN len({sql_words('text')}) < 5 THEN 'too_few_words' ELSE 'valid' END AS reason, count(*) AS n FROM documents GROUP BY 1",
+    f"WITH d AS (SELECT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents) SELECT CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(text) < 50 THEN 'too_short' WHEN len({sql_words('text')}) < 3 THEN 'too_few_words' ELSE 'valid' END AS reason, count(*) AS n FROM d GROUP BY 1",
 )
 def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.reason_counts(read(spark, sf_dir, "documents"), validate.document_reason(F.col("text")))
@@ -174,8 +174,9 @@ def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "p06_embedding_reasons",
     f"""{W}, s AS (SELECT text, substr(text, 1, 1000) AS h FROM chunks)
-SELECT CASE WHEN length(trim(text)) < 10 THEN 'too_short' WHEN length(regexp_replace(h, '[^\\x00-\\x1F\\x7F]', '', 'g')) / length(h) > 0.9 THEN 'unprintable'
- WHEN length(regexp_replace(h, '[^A-Za-z0-9À-ɏ]', '', 'g')) / length(h) < 0.1 THEN 'few_letters' WHEN len({sql_words('text')}) < 3 THEN 'too_few_words' ELSE 'valid' END AS reason, count(*) AS n FROM s GROUP BY 1""",
+SELECT CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 10 THEN 'too_short'
+ WHEN len(regexp_extract_all(h, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9F}}\\p{{Cf}}\\p{{Co}}]')) / length(h) > 0.9 THEN 'unprintable'
+ WHEN len(regexp_extract_all(h, '[\\p{{L}}\\p{{N}}]')) / length(h) < 0.1 THEN 'few_letters' WHEN len({sql_words('text')}) < 3 THEN 'too_few_words' ELSE 'valid' END AS reason, count(*) AS n FROM s GROUP BY 1""",
 )
 def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.reason_counts(I.chunks(spark, sf_dir), validate.embedding_reason(F.col("text")))
@@ -224,9 +225,9 @@ def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "f07_quality_score",
     f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, t, len({sql_words('t')}) AS w, lower(substr(t, 1, 200)) AS e FROM d)
-SELECT doc_id, CAST(greatest(0, least(100, 100 - CASE WHEN length(t) < 100 THEN 30 WHEN length(t) < 500 THEN 15 ELSE 0 END - CASE WHEN w < 20 THEN 20 WHEN w < 100 THEN 10 ELSE 0 END
- - CASE WHEN contains(e, 'error') OR contains(e, 'failed') THEN 15 ELSE 0 END + CASE WHEN len(regexp_extract_all(t, '#')) >= 2 THEN 5 ELSE 0 END
- + CASE WHEN len(regexp_extract_all(t, '(?m)^[ ]*[-*] ')) >= 3 THEN 5 ELSE 0 END)) AS DOUBLE) AS score FROM m""",
+SELECT doc_id, CAST(greatest(0, least(100, 100 - CASE WHEN length(t) < 100 THEN 30 WHEN length(t) < 500 THEN 15 ELSE 0 END - CASE WHEN w < 20 THEN 20 WHEN w < 50 THEN 10 ELSE 0 END
+ - CASE WHEN contains(e, 'error') OR contains(e, 'could not') OR contains(e, 'unable to') OR contains(e, 'failed') OR contains(e, 'corrupted') THEN 15 ELSE 0 END + CASE WHEN len(regexp_extract_all(t, '#')) >= 2 THEN 5 ELSE 0 END
+ + CASE WHEN len(string_split(t, chr(10) || '-')) > 3 OR len(string_split(t, chr(10) || '*')) > 3 THEN 5 ELSE 0 END)) AS DOUBLE) AS score FROM m""",
 )
 def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.documents(spark, sf_dir).select("doc_id", T.quality_score(F.col("text")).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import text as T
 from ..functions import vrn
-from ..operators import evaluate, fusion, keyword, lifecycle, vector
+from ..operators import evaluate, fusion, keyword, lifecycle, retrieval, vector
 from ..registry import read, register
 from ..sources import files
 from . import inputs as I
@@ -128,13 +128,15 @@ def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.candidates(spark, sf_dir).select("chunk_id", F.round(keyword.exact_score(n), 6).alias("exact"), F.round(keyword.terms_score(f, F.lit(7), n), 6).alias("terms"))
 
 
-@register("f31_acronyms", f"{U} SELECT query_id, 'national car test ' || array_to_string({sql_words('query')}, ' ') AS expanded FROM user_queries WHERE NOT regexp_matches(lower(query), '\\b(vrn|nct|cvrt|ncr|vin)\\b')")
+_ACRONYMS = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.ACRONYMS.items()) + " ELSE w END"
+
+
+@register("f31_acronyms", f"{U} SELECT query_id, array_to_string(list_transform({sql_words(chr(39) + 'NCT ' + chr(39) + ' || query')}, lambda w: {_ACRONYMS}), ' ') AS expanded FROM user_queries")
 def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.user_queries(spark, sf_dir).filter(~F.regexp_like(F.lower("query"), F.lit(r"\b(vrn|nct|cvrt|ncr|vin)\b")))
-    return rows.select("query_id", Q.expand_acronyms(F.concat(F.lit("NCT "), "query")).alias("expanded"))
+    return I.user_queries(spark, sf_dir).select("query_id", Q.expand_acronyms(F.concat(F.lit("NCT "), "query")).alias("expanded"))
 
 
-@register("f43_person_queries", f"{U} SELECT query_id, (contains(lower(query), 'who is') OR contains(lower(query), 'tell me about') OR contains(lower(query), 'show me') OR contains(lower(query), 'find') OR contains(lower(query), 'about')) AND regexp_matches(query, '\\b[A-Z][a-z]+\\b') AS person FROM user_queries")
+@register("f43_person_queries", f"{U} SELECT query_id, (contains(lower(query), 'who is') OR contains(lower(query), 'tell me about') OR contains(lower(query), 'show me') OR contains(lower(query), 'find') OR contains(lower(query), 'about')) AND regexp_matches(query, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+($|[^\\p{{L}}\\p{{N}}_])') AS person FROM user_queries")
 def f43(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.user_queries(spark, sf_dir)
     return rows.select("query_id", Q.is_person_query(F.col("query")).alias("person"))
@@ -182,10 +184,12 @@ def f59(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", T.is_iso_time(text).alias("ok"))
 
 
-@register("f62_conversion_verdicts", "SELECT CASE WHEN length(trim(substr(html, 1, CAST(page_id % 30 AS INTEGER)), ' ')) < 10 THEN 'rejected' ELSE 'accepted' END AS verdict, count(*) AS n FROM pages GROUP BY 1")
+@register(
+    "f62_conversion_verdicts",
+    """SELECT page_id, CASE WHEN length(trim(coalesce(html, ''), ' ')) < 10 THEN 'rejected' WHEN contains(html, '```json') AND (contains(html, '"point') OR contains(html, '"bbox')) AND contains(html, '"text') THEN 'extract_again' ELSE 'accepted' END AS verdict FROM pages""",
+)
 def f62(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("html", F.lit(1), (F.col("page_id") % 30).cast("int"))
-    return read(spark, sf_dir, "pages").groupBy(T.conversion_verdict(head).alias("verdict")).agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "pages").select("page_id", T.conversion_verdict(F.coalesce("html", F.lit(""))).alias("verdict"))
 
 
 @register("j07_registry_ids", "WITH k AS (SELECT doc_id, 'docs/d_' || doc_id || '.md' AS path FROM documents) SELECT doc_id, doc_id % 3 = 0 AS is_known FROM k")
@@ -378,13 +382,23 @@ def a39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.join(F.broadcast(vectors)).join(F.broadcast(kinds))
 
 
-@register("f34_cleaned_extractions", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang || ' ' || source ELSE source END AS entity FROM documents")
-def f34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.retrieval import cleaned_extraction
+_REPLY = "CASE turn % 5 WHEN 0 THEN 'Name: ' || text WHEN 1 THEN 'ANSWER=\"' || array_to_string(ws[1:2], ' ') || '\"' WHEN 2 THEN array_to_string(ws[1:3], ' ') || ' is' WHEN 3 THEN text || ' ' || text ELSE 'who ' || text END"
+_NAME = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply, '(?i)^(name|answer|result)[:=]\\s*', ''), '(?i)\\s*(is|the|answer|result)$', ''), '^[\"'']+|[\"'']+$', '', 'g'), '\\s+', ' ', 'g'))"
 
-    n = F.col("doc_id") % 3
-    reply = F.when(n == 0, " none. ").when(n == 1, F.concat(F.lit('Entity: "'), "lang", F.lit(" "), "source", F.lit('"'))).otherwise(F.concat("source", F.lit("!")))
-    return read(spark, sf_dir, "documents").select("doc_id", cleaned_extraction(reply)["entity"].alias("entity"))
+
+@register(
+    "f34_cleaned_extractions",
+    f"""WITH w AS (SELECT conv_id, turn, text, {sql_words("text")} AS ws FROM conversations), r AS (SELECT conv_id, turn, text, {_REPLY} AS reply FROM w), n AS (SELECT *, {_NAME} AS entity FROM r)
+SELECT conv_id, turn, entity, CASE WHEN length(entity) < 2 THEN 0.0 WHEN list_has_any({sql_words("lower(entity)")}, [{", ".join(f"'{w}'" for w in retrieval.QUESTION_WORDS)}]) THEN 0.2 WHEN length(entity) > length(text) THEN 0.1
+ WHEN regexp_full_match(entity, '[A-Z][a-z]+(?: [A-Z][a-z]+)*') THEN 0.9 WHEN len({sql_words("entity")}) <= 3 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence FROM n""",
+)
+def f34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of an extractor, made from each turn: with a label, quotes or a filler word, twice as long as the query, or with a question word."""
+    ws, n = T.words(F.col("text")), F.col("turn") % 5
+    few = lambda k: F.array_join(F.slice(ws, 1, k), " ")
+    reply = F.when(n == 0, F.concat(F.lit("Name: "), "text")).when(n == 1, F.concat(F.lit('ANSWER="'), few(2), F.lit('"'))).when(n == 2, F.concat(few(3), F.lit(" is")))
+    reply = reply.when(n == 3, F.concat_ws(" ", "text", "text")).otherwise(F.concat(F.lit("who "), "text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.cleaned_extraction(reply, F.col("text")).alias("e")).select("conv_id", "turn", "e.*")
 
 
 @register("f54_first_values", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS owner FROM documents")
@@ -398,8 +412,6 @@ def f54(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r05_strategy_search")
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search for all queries of the benchmark, then hashed-embedding search for those that need it."""
-    from ..operators import retrieval
-
     chunks = I.chunks(spark, sf_dir)
     vectors = vector.embed(chunks.filter("chunk_index = 0").select(F.col("doc_id").alias("id"), "text"), "text", dim=16).drop("text")
 

@@ -80,7 +80,7 @@ def _has(values) -> str:
     "f32_intent",
     f"""{U}, t AS (SELECT query_id, trim(query) AS q, query, len({sql_words("lower(query)")}) AS n FROM user_queries)
 SELECT query_id, CASE WHEN q = '' OR length(q) < 2 THEN 'invalid' WHEN n = 1 AND list_contains({_list(Q.SINGLE_STOP_WORDS)}, lower(q)) THEN 'invalid'
- WHEN regexp_matches(q, '\\d{{2,3}}-[A-Z]-\\d{{4,5}}') THEN 'vehicle_search' WHEN regexp_matches(q, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\\b') THEN 'person_search'
+ WHEN regexp_matches(q, '\\d{{2,3}}-[A-Z]-\\d{{4,5}}') THEN 'vehicle_search' WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+(?: [A-Z][a-z]+)+($|[^\\p{{L}}\\p{{N}}_])') THEN 'person_search'
  WHEN {_has(Q.VEHICLE_WORDS)} THEN 'vehicle_search' WHEN {_has(Q.PERSON_WORDS)} THEN 'person_search' WHEN {_has(Q.DOCUMENT_WORDS)} THEN 'document_search' WHEN {_has(Q.DATE_WORDS)} THEN 'date_search'
  WHEN n >= 2 THEN 'unknown' ELSE 'invalid' END AS intent FROM t""",
 )

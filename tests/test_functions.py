@@ -154,3 +154,27 @@ def test_text_functions(spark):
     assert one(spark, T.quality_score(F.col("t")), t="") == 50.0
     got = one(spark, T.metrics(F.col("t")), t="a b\n\nc")
     assert tuple(got) == (6, 3, 3, 2)
+
+
+def test_reasons_and_scores_keep_to_their_rules(spark):
+    from paperloom.operators import retrieval
+
+    reason = lambda t: one(spark, validate.embedding_reason(F.col("t")), t=t)
+    assert reason("это обычный русский текст") is None and reason("这是 一段 中文 文本 在 这里 写") is None
+    assert reason("a\tb\nc\rd e f g h") is None and reason("\x01\x02" * 40 + " a b") == "unprintable" and reason("!? " * 30 + "a b") == "few_letters"
+    document = lambda t: one(spark, validate.document_reason(F.col("t")), t=t)
+    assert document("w" * 30 + " " + "x" * 30 + " y") is None and document("w" * 60 + " y") == "too_few_words"
+    assert document("  short  " + " " * 80) == "too_short" and document(" \n\t ") == "empty"
+    score = lambda t: one(spark, T.quality_score(F.col("t")), t=t)
+    sixty = " ".join(["wordword"] * 60)
+    assert score(sixty) == 100.0 and score("could not " + sixty) == 85.0 and score(" ".join(["longerwords"] * 49)) == 90.0
+    assert score(sixty + "\n- a\n* b\n- c") == 100.0 and score("failed " + sixty + "\n- a\n- b\n- c") == 90.0 and score("failed " + sixty + "\n- a\n* b\n- c") == 85.0
+    clean = lambda t, q="who is the one we look for": tuple(one(spark, retrieval.cleaned_extraction(F.col("t"), F.lit(q)), t=t))
+    assert clean("Name: John Nolan") == ("John Nolan", 0.9) and clean("answer= \"van 12\"") == ("van 12", 0.7)
+    assert clean("John is") == ("John", 0.9) and clean("x") == ("x", 0.0) and clean("who that was") == ("who that was", 0.2)
+    assert clean("a b c d e", "abc") == ("a b c d e", 0.1) and clean("one two three four") == ("one two three four", 0.5)
+
+
+def test_word_borders_know_all_scripts(spark):
+    assert not one(spark, Q.is_person_query(F.col("t")), t="find Enchö") and one(spark, Q.is_person_query(F.col("t")), t="find Ench, now")
+    assert not one(spark, T.word_match(F.lit("f"), F.col("t")), t="für") and one(spark, T.word_match(F.lit("für"), F.col("t")), t="das ist für.")
