@@ -26,14 +26,20 @@ def normal_path(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
+def latest(rows: DataFrame, key: str, newest: list[Column]) -> DataFrame:
+    """Of the rows of each key the first by ``newest``."""
+    order = Window.partitionBy(key).orderBy(*newest)
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, newest: list[Column]) -> DataFrame:
     """Rows of both by key, incoming before current; of incoming rows of one key the first by ``newest``.
 
-    Two anti/aggregate steps instead of a window over all rows: only the incoming rows are ranked.
+    Two anti/aggregate steps instead of a window over all rows: only the incoming rows are ranked.  A table that is to be changed
+    in place is kept as a ``BucketTable``, which reads and writes no more than the buckets of the incoming keys.
     """
-    order = Window.partitionBy(key).orderBy(*newest)
-    fresh = incoming.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return current.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    fresh = latest(incoming, key, newest)
+    return current.join(fresh.select(key).hint("merge"), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_chunks(current: DataFrame, incoming: DataFrame, newest: list[Column]) -> tuple[DataFrame, DataFrame]:

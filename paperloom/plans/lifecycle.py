@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, lifecycle
 from ..registry import read, register
+from ..sources.bucket_table import BucketTable
+from ..storage import shared_dir
 from ..sources import files
 from ..streaming.ingest import error_rates
 from . import inputs as I
@@ -82,9 +84,12 @@ def l03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("l01_upsert", f"{RC}, inc AS (SELECT chunk_id, reverse(text) AS text, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_index) AS o FROM chunks WHERE doc_id % 3 = 0) SELECT chunk_id, sha256(text) AS hash FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM inc) UNION ALL SELECT chunk_id, sha256(text) FROM inc WHERE o = 1")
 def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed table after two versions: all chunks, then those of some documents with other texts."""
     rows = I.chunks(spark, sf_dir).select("chunk_id", "doc_id", "text")
-    merged = lifecycle.upsert(rows, rows.filter("doc_id % 3 = 0").withColumn("text", F.reverse("text")), "chunk_id", [F.desc("doc_id")])
-    return merged.select("chunk_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
+    table = BucketTable(spark, shared_dir(spark), rows.schema, "chunk_id", 16)
+    table.upsert(rows, [F.desc("doc_id")])
+    table.upsert(rows.filter("doc_id % 3 = 0").withColumn("text", F.reverse("text")), [F.desc("doc_id")])
+    return table.read().select("chunk_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
 
 
 @register(

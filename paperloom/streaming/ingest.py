@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators import chunking, lifecycle, validate
 from ..params import CHUNK, ChunkParams
+from ..sources.bucket_table import BucketTable
 
 
 def prepare(docs: DataFrame, params: ChunkParams = CHUNK) -> DataFrame:
@@ -33,6 +34,19 @@ def ingest(spark: SparkSession, source: str, schema, checkpoint: str, read_curre
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(spark: SparkSession, source: str, schema, checkpoint: str, table: BucketTable) -> StreamingQuery:
+    """Start the ingest of parquet documents below ``source`` into a bucket table of chunks: a batch rewrites the buckets of its chunks alone.
+
+    A batch is the version of its number, so one that is repeated after a failure is written once.  The table is changed by this stream only.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        table.upsert(prepare(batch), [F.desc("chunk_text")], version=number)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def new_uploads(stream: DataFrame, registry: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Uploads (ts, file_hash, …) whose content neither came within ``delay`` nor is in the registry."""
     fresh = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_hash"])

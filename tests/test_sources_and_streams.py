@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
 from paperloom.sources import files
+from paperloom.sources.bucket_table import BucketTable
 from paperloom.streaming import ingest
 
 
@@ -84,6 +86,56 @@ def test_stream_of_documents_equals_batch(spark, tmp_path):
     assert len(versions) == 1
 
 
+def files_of(table, bucket):
+    return sorted(p.name for p in pathlib.Path(table.manifest()[bucket].removeprefix("file://")).glob("*.parquet"))
+
+
+def test_bucket_table_rewrites_touched_buckets_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", i, "old") for i in range(60)], "k string, n long, text string")
+    table = BucketTable(spark, f"file://{tmp_path}/t", rows.schema, "k", 8)
+    assert table.read().count() == 0 and table.upsert(rows, [F.desc("n")]) == 0
+    before = {b: (p, files_of(table, b)) for b, p in table.manifest().items()}
+    fresh = spark.createDataFrame([("k3", 1, "a"), ("k3", 2, "b"), ("new", 1, "c"), (None, 1, "lost")], rows.schema)
+    assert table.upsert(fresh, [F.desc("n")]) == 1
+    touched = {r.b for r in fresh.filter("k IS NOT NULL").select(table.bucket().alias("b")).collect()}
+    after = {b: (p, files_of(table, b)) for b, p in table.manifest().items()}
+    assert 0 < len(touched) < 8 and {b for b in after if after[b] != before.get(b)} == touched
+    want = {f"k{i}": (i, "old") for i in range(60)} | {"k3": (2, "b"), "new": (1, "c")}
+    assert {r.k: (r.n, r.text) for r in table.read().collect()} == want and table.read().count() == 61
+    assert {r.text for r in table.read(version=0).collect()} == {"old"}  # older versions stay readable
+    assert table.upsert(fresh.withColumn("text", F.lit("again")), [F.desc("n")], version=1) == 1  # committed already
+    assert {r.k: (r.n, r.text) for r in table.read().collect()} == want
+    table.delete(spark.createDataFrame([("k3",), ("k5",), ("absent",)], "k string"))
+    assert {r.k for r in table.read().collect()} == set(want) - {"k3", "k5"} and table.versions() == [0, 1, 2]
+
+
+def test_a_failed_change_leaves_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(9)], "k string, n long")
+    table = BucketTable(spark, f"file://{tmp_path}/t", rows.schema, "k", 4)
+    table.upsert(rows, [F.desc("n")])
+    # data of a next version, and a manifest without its mark, as a lost driver leaves them
+    rows.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"file://{tmp_path}/t/data/v=00000001")
+    (tmp_path / "t/manifest/v=00000001").mkdir()
+    assert table.versions() == [0] and table.read().count() == 9
+    assert table.upsert(spark.createDataFrame([("k1", 100)], rows.schema), [F.desc("n")]) == 1
+    assert {r.k: r.n for r in table.read().collect()} == {f"k{i}": i for i in range(9)} | {"k1": 100}
+
+
+def test_stream_into_a_bucket_table(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}{j}" for j in range(30))) for i in range(6)], "doc_id long, text string")
+    docs.repartition(2).write.parquet(str(tmp_path / "in"))
+    table = BucketTable(spark, f"file://{tmp_path}/t", ingest.prepare(docs).schema, "chunk_id", 4)
+    run = lambda: ingest.ingest_into(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "check"), table).awaitTermination(60)
+    run()
+    assert {tuple(r) for r in table.read().collect()} == {tuple(r) for r in ingest.prepare(docs).collect()}
+    changed = docs.filter("doc_id = 2").withColumn("text", F.regexp_replace("text", "word", "term"))
+    changed.write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    run()  # nothing new
+    assert {tuple(r) for r in table.read().collect()} == {tuple(r) for r in ingest.prepare(docs.filter("doc_id <> 2").unionByName(changed)).collect()}
+    assert table.versions() == [0, 1]
+
+
 def test_upload_dedupe_and_windows_on_streams(spark, tmp_path):
     at = dt.datetime(2024, 5, 1, 10, 0)
     rows = [(at + dt.timedelta(minutes=m), h, e) for m, h, e in ((0, "a", "x"), (1, "a", "x"), (2, "b", "y"), (70, "c", "x"))]
