@@ -11,6 +11,9 @@ from ..functions import vrn
 from ..operators import evaluate, fusion, keyword, lifecycle, retrieval, vector
 from ..registry import read, register
 from ..sources import files
+from ..sources.bucket_table import BucketTable
+from ..storage import shared_dir, written
+from ..streaming import ingest
 from . import inputs as I
 from .inputs import CANDIDATES, CHUNKS, REGISTRY, SEARCH_QUERIES, USER_QUERIES, VEHICLES, WITH_VRNS, sql_words
 
@@ -319,10 +322,32 @@ def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.answer_checks(rows)
 
 
-@register("t02_new_uploads", f"{R} SELECT min(id) AS id FROM registry GROUP BY file_hash")
+@register("t02_new_uploads", f"{R} SELECT min(id) AS id FROM registry WHERE file_hash IS NOT NULL GROUP BY file_hash UNION ALL SELECT id FROM registry WHERE file_hash IS NULL")
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch form of the upload dedupe: the first row of each content."""
-    return I.registry_rows(spark, sf_dir).groupBy("file_hash").agg(F.min("id").alias("id")).select("id")
+    """Registry rows written as upload files, read as a stream, and told from copies by its state; the sink's rows."""
+    folder = shared_dir(spark)
+    rows = written(I.registry_rows(spark, sf_dir).select("id", "file_hash", "uploaded_at"), f"{folder}/uploads")
+    ingest.run_uploads(spark, f"{folder}/uploads", rows.schema, f"{folder}/sink", f"{folder}/checkpoint")
+    return spark.read.schema("id long, file_hash string").parquet(f"{folder}/sink").select("id")
+
+
+_CLEANED = r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+
+
+@register(
+    "t01_ingest",
+    f"""WITH w AS (SELECT doc_id, {sql_words(_CLEANED)} AS ws FROM documents),
+n AS (SELECT *, unnest(range(CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(ws) - 128) / 384) AS BIGINT)) END)) AS i FROM w),
+c AS (SELECT doc_id, i, array_to_string(ws[384 * i + 1:384 * i + 512], ' ') AS t, len(ws[384 * i + 1:384 * i + 512]) AS n FROM n)
+SELECT doc_id || ':' || i AS chunk_id, sha256(t) AS hash FROM c WHERE length(t) >= 50 AND n > 5 AND NOT regexp_full_match(replace(t, ' ', ''), '[0-9]+')""",
+)
+def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, streamed into a bucket table of their valid chunks; the committed table."""
+    folder = shared_dir(spark)
+    docs = written(I.documents(spark, sf_dir).select("doc_id", "text"), f"{folder}/documents")
+    table = BucketTable(spark, f"{folder}/chunks", ingest.prepare(docs).schema, "chunk_id", 16)
+    ingest.ingest_into(spark, f"{folder}/documents", docs.schema, f"{folder}/checkpoint", table).awaitTermination()
+    return table.read().select("chunk_id", T.sha256(F.col("chunk_text")).alias("hash"))
 
 
 @register("r04_vector_variants")

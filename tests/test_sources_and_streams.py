@@ -136,6 +136,20 @@ def test_stream_into_a_bucket_table(spark, tmp_path):
     assert table.versions() == [0, 1]
 
 
+def test_first_uploads_outlive_restarts(spark, tmp_path):
+    schema = "id long, file_hash string, uploaded_at long"
+    at = lambda name: f"file://{tmp_path}/{name}"
+    run = lambda: ingest.run_uploads(spark, at("in"), spark.createDataFrame([], schema).schema, at("sink"), at("check"))
+    kept = lambda: sorted((r.id, r.file_hash or "") for r in spark.read.schema("id long, file_hash string").parquet(at("sink")).collect())
+    spark.createDataFrame([(5, "a", 1), (1, "a", 2), (7, "b", 9), (6, "b", 9), (8, None, 1), (9, None, 1)], schema).repartition(3).write.parquet(at("in"))
+    run()
+    assert kept() == [(5, "a"), (6, "b"), (8, ""), (9, "")]
+    spark.createDataFrame([(0, "a", 0), (10, "c", 0), (11, "c", None)], schema).write.mode("append").parquet(at("in"))
+    run()
+    run()  # nothing new
+    assert kept() == [(5, "a"), (6, "b"), (8, ""), (9, ""), (11, "c")]
+
+
 def test_upload_dedupe_and_windows_on_streams(spark, tmp_path):
     at = dt.datetime(2024, 5, 1, 10, 0)
     rows = [(at + dt.timedelta(minutes=m), h, e) for m, h, e in ((0, "a", "x"), (1, "a", "x"), (2, "b", "y"), (70, "c", "x"))]
