@@ -113,7 +113,7 @@ def chunk_type(kinds: Column) -> Column:
 
 def with_fallback(docs: DataFrame, chunks: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``chunks``, and window chunks of the documents that have none there."""
-    missing = docs.join(chunks.select(key).distinct(), key, "left_anti")
+    missing = docs.join(chunks.select(key).distinct().hint("merge"), key, "left_anti")
     return chunks.unionByName(word_windows(missing, text_col=text_col), allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vrn
 from ..operators import chunking, lifecycle, validate, vector
+from ..params import ChunkParams
 from ..registry import oracle_sql_of, read, register
 from . import inputs as I
 from .corpus import REASON_SQL, _html_sql
@@ -129,11 +130,14 @@ def o07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("chunks"), F.lower("file_name")).limit(50)
 
 
-@register("c03_fallback_chunks", f"WITH d AS (SELECT doc_id, len({sql_words(chr(34) + 'text' + chr(34))}) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(1, CAST(ceil((n - 128) / 384) AS INTEGER)) END AS chunks FROM d WHERE n > 0")
+@register(
+    "c03_fallback_chunks",
+    f"WITH d AS (SELECT doc_id, lang, len({sql_words(chr(34) + 'text' + chr(34))}) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN lang = 'en' THEN greatest(1, CAST(ceil((n - 20) / 80) AS INTEGER)) ELSE greatest(1, CAST(ceil((n - 128) / 384) AS INTEGER)) END AS chunks FROM d WHERE n > 0",
+)
 def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language have chunks already; the rest fall back."""
+    """Documents of one language have chunks of a smaller size already; the rest fall back."""
     docs = I.documents(spark, sf_dir).select("doc_id", "text", "lang")
-    done = chunking.word_windows(docs.filter("lang = 'en'").drop("lang"))
+    done = chunking.word_windows(docs.filter("lang = 'en'").drop("lang"), ChunkParams(size=100, overlap=20))
     return chunking.with_fallback(docs.drop("lang"), done).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
 
 

@@ -270,7 +270,13 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.run_metrics(rows, ["click", "view"])
 
 
-@register("l17_retention")
+@register(
+    "l17_retention",
+    """WITH t AS (SELECT event_id AS task_id, CAST(ts AS TIMESTAMP) AS ended, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS state FROM events),
+a AS (SELECT *, (floor(epoch((SELECT max(ended) FROM t))) - floor(epoch(ended))) / 3600 AS age FROM t WHERE ended IS NOT NULL)
+SELECT task_id, state FROM (SELECT task_id, state FROM a WHERE age <= CASE WHEN state = 'completed' THEN 24 ELSE 72 END ORDER BY ended DESC, task_id LIMIT 100)
+UNION ALL SELECT task_id, state FROM t WHERE ended IS NULL""",
+)
 def l17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), F.col("ts").alias("finished_at"), F.when(F.pmod("event_id", F.lit(3)) == 0, "failed").otherwise("completed").alias("state"))
     latest = rows.agg(F.max("finished_at").alias("as_of"))

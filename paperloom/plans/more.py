@@ -9,7 +9,7 @@ from ..functions import query as Q
 from ..functions import text as T
 from ..functions import vrn
 from ..operators import evaluate, fusion, keyword, lifecycle, retrieval, vector
-from ..registry import read, register
+from ..registry import oracle_sql_of, read, register
 from ..sources import files
 from ..sources.bucket_table import BucketTable
 from ..storage import shared_dir, written
@@ -224,6 +224,38 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean"), F.count_if(n < 1500).alias("small"))
 
 
+_QUALITY = f"q AS (SELECT d.doc_id, score, lang AS format, n_chars AS size FROM ({oracle_sql_of('f07_quality_score')}) f JOIN documents d ON d.doc_id = f.doc_id)"
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as conversions: quality of the whole text, format and size."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.quality_score(F.coalesce("text", F.lit(""))).alias("score"), F.col("lang").alias("format"), F.col("n_chars").alias("size"))
+
+
+@register(
+    "a24_quality_bands",
+    f"WITH {_QUALITY} SELECT format, count(*) AS total, count(*) FILTER (score >= 90) AS excellent, count(*) FILTER (score >= 75 AND score < 90) AS good, count(*) FILTER (score >= 50 AND score < 75) AS acceptable, "
+    "count(*) FILTER (score < 50) AS poor, count(*) FILTER (score < 75) AS problems, round(avg(score), 6) AS average_quality, CAST(sum(size) AS BIGINT) AS total_size FROM q GROUP BY 1",
+)
+def a24_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("score")
+    bands = {"excellent": s >= 90, "good": (s >= 75) & (s < 90), "acceptable": (s >= 50) & (s < 75), "poor": s < 50, "problems": s < 75}
+    return _rated(spark, sf_dir).groupBy("format").agg(F.count("*").alias("total"), *(F.count_if(test).alias(name) for name, test in bands.items()), F.round(F.avg(s), 6).alias("average_quality"), F.sum("size").alias("total_size"))
+
+
+@register("a24_problem_files", f"WITH {_QUALITY} SELECT doc_id, score, format, size FROM q WHERE score < 75")
+def a24_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversion of a quality below 75."""
+    return _rated(spark, sf_dir).filter("score < 75")
+
+
+@register("a36_distinct_text", f"{K} SELECT file_name, sha256(string_agg(DISTINCT text, ' ' ORDER BY text)) AS hash, count(DISTINCT text) AS n FROM chunks GROUP BY 1")
+def a36_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct texts of each file, sorted and joined; a group is one file."""
+    texts = F.array_sort(F.collect_set("text"))
+    return I.chunks(spark, sf_dir).groupBy("file_name").agg(texts.alias("t")).select("file_name", T.sha256(F.array_join("t", " ")).alias("hash"), F.size("t").cast("long").alias("n"))
+
+
 @register("a26_failure_codes", "SELECT regexp_extract(line, ' - ([A-Z_]+)', 1) AS code, count(*) AS n FROM (SELECT 'd_' || doc_id || ' - ' || upper(lang) || '_FAIL at line ' || n_chars AS line FROM documents) GROUP BY 1")
 def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("d_"), "doc_id", F.lit(" - "), F.upper("lang"), F.lit("_FAIL at line "), "n_chars")
@@ -350,7 +382,14 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select("chunk_id", T.sha256(F.col("chunk_text")).alias("hash"))
 
 
-@register("r04_vector_variants")
+@register(
+    "r04_vector_variants",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+q AS (SELECT CAST(floor(vec_id / 100) AS BIGINT) AS query_id, vec_id % 100 AS variant, v, count(*) OVER (PARTITION BY floor(vec_id / 100)) AS n FROM v WHERE vec_id % 100 < 2),
+s AS (SELECT query_id, variant, n, vec_id AS id, round(list_cosine_similarity(q.v, v.v), 12) AS score FROM q, v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, variant, id, round(score, 6) AS score FROM r WHERE rank <= floor(10 / n) + 2""",
+)
 def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = rows.filter("id % 100 < 2").select(F.floor(F.col("id") / 100).alias("query_id"), (F.col("id") % 100).cast("int").alias("variant"), "vec")

@@ -66,9 +66,17 @@ def f29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("s.kept").alias("kept"), F.size("s.removed").alias("removed"))
 
 
-@register("f30_needs_enhancement")
+_TRIPLE = "len(list_filter(range(1, length(t) - 1), lambda i: substr(t, i, 1) = substr(t, i + 1, 1) AND substr(t, i, 1) = substr(t, i + 2, 1))) > 0"
+_EXPANDED = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Q.ACRONYMS.items()) + " ELSE w END"
+
+
+@register(
+    "f30_needs_enhancement",
+    f"""{U}, w AS (SELECT query_id, query, {sql_words("lower(query)")} AS ws FROM user_queries)
+SELECT query_id, (len(ws) = 1 AND length(ws[1]) <= 4) OR list_has_any(ws, {_list(Q.ACRONYMS)}) OR len(list_filter(ws, lambda t: length(t) > 3 AND {_TRIPLE})) > 0 AS needed,
+ array_to_string(list_transform({sql_words("query")}, lambda w: {_EXPANDED}), ' ') AS expanded FROM w""",
+)
 def f30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: its pattern needs a back reference."""
     return I.user_queries(spark, sf_dir).select("query_id", Q.needs_enhancement(F.col("query")).alias("needed"), Q.expand_acronyms(F.col("query")).alias("expanded"))
 
 

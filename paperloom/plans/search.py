@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions.text import sha256
 from ..operators import evaluate, fusion, keyword, vector
-from ..registry import read, register
+from ..registry import oracle_sql_of, read, register
 from . import inputs as I
 from .inputs import CANDIDATES, CHUNKS, SEARCH_QUERIES, sql_words
 
@@ -160,7 +160,10 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(ranked, queries.filter("vec IS NOT NULL").select("query_id", F.lit(3).alias("min_relevant")))
 
 
-@register("e04_summary")
+@register(
+    "e04_summary",
+    f"WITH m AS ({oracle_sql_of('e01_retrieval_metrics')}) SELECT count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(CASE WHEN precision >= 0.4 THEN 1 ELSE 0 END), 6) AS pass_rate FROM m",
+)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(e01(spark, sf_dir), F.lit(0.5))
 
