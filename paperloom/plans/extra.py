@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vrn
-from ..operators import chunking, lifecycle, validate, vector
+from ..operators import chunking, evaluate, lifecycle, search, validate, vector
 from ..params import ChunkParams
 from ..registry import oracle_sql_of, read, register
 from . import inputs as I
@@ -160,3 +160,17 @@ def f22(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select("doc_id", F.array_join(vrn.loose_in_text(F.col("text")), ",").alias("numbers"))
+
+
+@register("r20_search")
+def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage from the benchmark's phrases to response rows, on what the searches find in all chunks; tested against brute force."""
+    chunks = I.chunks(spark, sf_dir).select("chunk_id", "file_name", "chunk_index", "text")
+    return search.responses(search.search(I.search_queries(spark, sf_dir), chunks))
+
+
+@register("e04_search_summary")
+def e04_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, reciprocal rank and pass rate of that search."""
+    chunks = I.chunks(spark, sf_dir).select("chunk_id", "file_name", "chunk_index", "text")
+    return evaluate.summary(search.measured(search.search(I.search_queries(spark, sf_dir), chunks)), F.lit(0.5))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import registry
-from paperloom.operators import chunking, evaluate, fusion, grams, keyword, lifecycle, validate, vector
+from paperloom.functions import query as Q
+from paperloom.operators import chunking, evaluate, fusion, grams, keyword, lifecycle, search, validate, vector
 from paperloom.params import ChunkParams
 
 CHUNKS = "chunk_id string, file_name string, chunk_index int, text string"
@@ -332,6 +333,52 @@ def test_recall_with_a_tenth_of_the_rows_scored(spark):
     assert len(near & exact) >= 0.9 * len(exact), len(near & exact) / len(exact)
 
 
+def test_search_from_text_to_response_against_brute_force(spark):
+    """Plain Python goes through the stages on the same rows: which chunks each search finds, dedup, strategy, order and filter of database queries."""
+    r = random.Random(21)
+    words = "blue van river John Nolan insurance für 191-D-12345 of the test".split()
+    texts = {f"c{i}": " ".join(r.choice(words) for _ in range(r.randint(1, 40))) for i in range(120)} | {"t0": "who is John Nolan", "t1": "John Nolan"}
+    chunks = spark.createDataFrame([(c, f"f{i % 7}", i, t) for i, (c, t) in enumerate(texts.items())] + [("n", "f0", 999, None)], CHUNKS)
+    asked = {1: "blue van", 2: "John Nolan", 3: "für 191-D-12345", 4: "nowhere", 5: "", 6: "DROP TABLE x", 7: "tell me about John Nolan"}
+    found = search.search(spark.createDataFrame(list(asked.items()), "query_id long, query string"), chunks)
+    planned = {x.query_id: x for x in found.planned.collect()}
+    assert set(planned) == {1, 2, 3, 4, 7}
+    hits = found.hits.collect()
+    rank = {c: k for k, c in enumerate(sorted(texts, key=lambda c: (len(texts[c]), f"f{list(texts).index(c) % 7}", list(texts).index(c))))}
+    stop = set(Q.SEARCH_STOP_WORDS)
+    by_word = {}
+    for q, p in planned.items():
+        low = p.query.lower()
+        exact = sorted((c for c in texts if low in texts[c].lower()), key=rank.get)[:20]
+        terms = [t for t in low.split() if len(t) > 2 and t not in stop]
+        loose = sorted((c for c in texts if c not in exact and any(t in texts[c].lower() for t in terms)), key=rank.get)[: 20 - len(exact)]
+        by_word[q] = set(exact) | set(loose)
+        assert {h.chunk_id for h in hits if h.query_id == q and h.source_method == "database_hybrid"} == by_word[q]
+    assert not by_word[4] and any(h.query_id == 4 for h in hits)  # the wider second search
+    done = {q for q, p in planned.items() if p.strategy == "database_priority" and len(by_word[q]) >= 10}
+    assert done and not any(h.query_id in done and h.source_method != "database_hybrid" for h in hits)
+    fused = found.fused.collect()
+    for q in planned:
+        own = sorted((x for x in fused if x.query_id == q), key=lambda x: x["rank"])
+        mine = [h for h in hits if h.query_id == q]
+        assert len({x.full_content[:200] for x in own}) == len(own) and {x.chunk_id for x in own} <= {h.chunk_id for h in mine}
+        assert [x["rank"] for x in own] == list(range(1, len(own) + 1))
+        for x in own:  # of equal texts a database row stays
+            same = [h for h in mine if h.full_content[:200] == x.full_content[:200]]
+            assert x.source_method == "database_hybrid" or all(h.source_method != "database_hybrid" for h in same)
+    shown = search.responses(found).collect()
+    assert all(x["rank"] <= planned[x.query_id].top_k for x in shown if x.query_id not in (3, 7))
+    kind = {(x.query_id, x["rank"]): x for x in fused}
+    for x in shown:  # an exact phrase is shown at 0.95, anything else at its similarity
+        row = kind[x.query_id, x["rank"]]
+        assert x.display_score == pytest.approx(0.95 if row.match_type == "exact_phrase" else min(1.0, max(0.0, row.similarity_score)), abs=1e-6)
+    measured = {x.query_id: x for x in search.measured(found).collect()}
+    for q in planned:
+        own = sorted((x for x in fused if x.query_id == q), key=lambda x: x["rank"])
+        good = [planned[q].query.lower() in x.full_content.lower() for x in own]
+        assert measured[q].precision == pytest.approx(sum(good[:5]) / 5) and measured[q].reciprocal_rank == pytest.approx(round(1 / (good.index(True) + 1), 6) if any(good) else 0)
+
+
 def test_lifecycle_steps(spark):
     chunks = spark.createDataFrame([(1, "a", "p1"), (1, "b", "p1"), (2, "c", "p2"), (None, "d", None)], "doc_id long, chunk_id string, path string")
     registry_ = spark.createDataFrame([(1, "processed", "x"), (3, "failed", "y")], "id long, status string, path string")
