@@ -4,9 +4,10 @@ import datetime as dt
 import json
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom.sources import files
+from paperloom.sources import files, tree
 from paperloom.sources.bucket_table import BucketTable
 from paperloom.streaming import ingest
 
@@ -162,3 +163,28 @@ def test_upload_dedupe_and_windows_on_streams(spark, tmp_path):
     assert sorted(r.file_hash for r in spark.table("uploads").collect()) == ["a", "c"]
     batch = {tuple(r) for r in ingest.error_rates(table).collect()}
     assert {tuple(r) for r in spark.table("rates").collect()} >= batch
+
+
+def test_tree_sink_and_its_scans(spark, tmp_path):
+    """Texts, sidecars and totals are written once, however often; a root with a scheme hides no folder; new folders of a stream are read alone."""
+    root = f"file://{tmp_path}/tmp/tree"  # a blacklisted name above the root doesn't count
+    rows = [("2024/1", "a.md", "für\nall", '{"author": "Ann"}'), ("2024/1", "b.md", None, None), ("Cache/x", "c.md", "left out", None), ("2024/2", "d.md", " ", None)]
+    schema = "folder string, file_name string, text string, metadata string"
+    for _ in range(2):
+        tree.write_tree(spark.createDataFrame(rows, schema), root)
+    assert json.loads((tmp_path / "tmp/tree/_SUCCESS").read_text()) == {"files": 4, "sidecars": 1, "size": 17}
+    found = sorted(p.name for p in (tmp_path / "tmp/tree").rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert found == ["_SUCCESS", "a.json", "a.md", "b.md", "c.md", "d.md"]
+    scan = {r.file_name: (r.text, r.reason) for r in files.scan_markdown(spark, f"{root}/markdown").collect()}
+    assert scan == {"a.md": ("für\nall", None), "d.md": (" ", "empty_file")}
+
+    def run():
+        stream = files.stream_markdown(spark, f"{root}/markdown", files_a_batch=1).select("file_name", "text")
+        stream.writeStream.format("parquet").option("path", f"{root}/sink").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.file_name for r in spark.read.parquet(f"{root}/sink").collect())
+
+    assert run() == ["a.md", "d.md"]
+    tree.write_tree(spark.createDataFrame([("2025/1", "e.md", "new", None)], schema), root)
+    assert run() == ["a.md", "d.md", "e.md"]
+    with pytest.raises(ValueError, match="metadata"):
+        tree.DocumentTree({"path": root}).writer(spark.createDataFrame([], "folder string, file_name string, text string").schema, False)
