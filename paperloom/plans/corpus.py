@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, validate
+from ..operators import chunking, token_chunks, validate
 from ..registry import read, register
 from . import inputs as I
 from .inputs import CHUNKS, sql_words
@@ -259,6 +259,26 @@ def c01_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "total_chunks", F.size(T.words(F.col("chunk_text"))).alias("words"))
 
 
+def _tokens(name: str):
+    import public_tokenizers
+
+    return token_chunks.tokenizer_counter(public_tokenizers.path(name))
+
+
+@register("c01_token_sentences")
+def c01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in chunks of up to 512 tokens; tested by encoding the chunks and against a plain fold."""
+    rows = token_chunks.token_sentences(I.documents(spark, sf_dir).select("doc_id", "text"), _tokens("byte_bpe_50k.json"))
+    return rows.select("doc_id", "chunk_index", "total_chunks", "tokens", T.sha256(F.col("chunk_text")).alias("hash"))
+
+
+@register("c02_token_blocks")
+def c02_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = chunking.convert_pages(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
+    rows = token_chunks.token_blocks(pages, _tokens("byte_bpe_50k.json"), 256)
+    return rows.select("doc_id", "chunk_index", "total_chunks", "parent_heading", "chunk_type", "tokens", T.sha256(F.col("chunk_text")).alias("hash"))
+
+
 @register("c02_structure_chunks")
 def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = chunking.convert_pages(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("markdown").alias("text"))
