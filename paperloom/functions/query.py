@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import SEARCH, SearchParams
 from . import vrn
-from .text import bordered, words
+from .text import bordered, stripped, words
 
 #: Words without search value, in two variants.
 STOP_WORDS = tuple(
@@ -306,12 +306,21 @@ def parsed_decisions(reply: Column, expected: Column) -> Column:
     return F.when(F.size(lines) == expected, F.transform(lines, lambda x: ~x.contains("NOT_RELEVANT"))).otherwise(F.array_repeat(F.lit(True), expected))
 
 
+#: Intents that a reply may name.
+INTENTS = ("vehicle_search", "person_search", "document_search", "date_query", "invalid", "unknown")
+
+
 def parsed_validation(reply: Column) -> Column:
-    """Struct (is_valid, intent, confidence, reason) from VALID / INTENT / CONFIDENCE / REASON lines."""
-    part = lambda k: F.trim(F.regexp_extract(reply, rf"(?m)^\s*{k}:(.*)$", 1))
+    """Struct (is_valid, intent, confidence, reason) from VALID / INTENT / CONFIDENCE / REASON lines, the last of each; an intent that isn't known is unknown."""
+    lines = F.transform(F.split(reply, "\n"), stripped)
+
+    def part(key: str) -> Column:
+        return stripped(F.substring(F.try_element_at(F.filter(lines, lambda s: s.startswith(key)), F.lit(-1)), len(key) + 1, 2**31 - 1))
+
+    intent = F.lower(part("INTENT:"))
     return F.struct(
-        F.lower(part("VALID")).contains("yes").alias("is_valid"),
-        F.coalesce(F.nullif(F.lower(part("INTENT")), F.lit("")), F.lit("unknown")).alias("intent"),
-        F.coalesce(part("CONFIDENCE").try_cast("double"), F.lit(0.5)).alias("confidence"),
-        F.coalesce(F.nullif(part("REASON"), F.lit("")), F.lit("parsed")).alias("reason"),
+        F.coalesce(F.lower(part("VALID:")).contains("yes"), F.lit(False)).alias("is_valid"),
+        F.when(intent.isin(*INTENTS), intent).otherwise("unknown").alias("intent"),
+        F.coalesce(part("CONFIDENCE:").try_cast("double"), F.lit(0.5)).alias("confidence"),
+        F.coalesce(part("REASON:"), F.lit("LLM validation completed")).alias("reason"),
     )

@@ -62,3 +62,10 @@ def rule_report(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def enriched(chunks: DataFrame, indexed_at: Column, text_col: str = "text") -> DataFrame:
+    """``chunks`` with the time, and the characters, words and paragraphs of each text."""
+    text = F.col(text_col)
+    paragraphs = F.filter(F.split(text, "\n\n"), lambda p: T.stripped(p) != "")
+    return chunks.withColumns({"indexed_at": indexed_at, "content_length": F.length(text), "word_count": F.size(T.words(text)), "paragraph_count": F.size(paragraphs)})

@@ -35,7 +35,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _plans() -> None:
     """Import the modules that register queries."""
-    from .plans import corpus, extra, lifecycle, metadata, more, queries, search, sources  # noqa: F401
+    from .plans import corpus, extra, hooks, lifecycle, metadata, more, queries, search, sources  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
