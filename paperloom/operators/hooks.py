@@ -63,13 +63,15 @@ def extracted(query: Column, method: str, extractor: Extractor, batch: int = 256
     return found(F.coalesce(query, F.lit("")))
 
 
-def extraction(query: Column, *outside: Column) -> Column:
-    """The entity of the first extractor, in the order given and the rules last, that is sure of it, else of the surest; an empty query has none."""
-    q = F.trim(F.coalesce(query, F.lit("")))
-    rules = F.to_json(Q.entity(q))
-    same = F.from_json(rules, ENTITY)
+def rules(query: Column) -> Column:
+    """Struct of the same fields by the native rules; give it a column of its own, for it is long and read several times."""
+    return F.from_json(F.to_json(Q.entity(F.trim(F.coalesce(query, F.lit(""))))), ENTITY)
+
+
+def extraction(query: Column, *found: Column) -> Column:
+    """Of extractors' structs, in their order, the first that is sure, else the surest; an empty query has no entity."""
     none = F.from_json(F.lit('{"entity":"","confidence":0.0,"method":"empty_query","alternatives":[]}'), ENTITY)
-    return F.when(q == "", none).otherwise(Q.best_entity(F.array(*outside, same)))
+    return F.when(F.trim(F.coalesce(query, F.lit(""))) == "", none).otherwise(Q.best_entity(F.array(*found)))
 
 
 def name_extractor() -> Callable[[list[str]], list[tuple[str, float, list[str]]]]:

@@ -39,8 +39,8 @@ def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity of every turn by an outside extractor and the rules, whether it stands, and the variants to search for; the choice is tested in plain Python."""
     q = F.col("text")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", hooks.extracted(q, "names", hooks.name_extractor).alias("o"))
-    rows = rows.withColumn("e", hooks.extraction(q, F.col("o")))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", hooks.extracted(q, "names", hooks.name_extractor).alias("o"), hooks.rules(q).alias("r"))
+    rows = rows.withColumn("e", hooks.extraction(q, F.col("o"), F.col("r")))
     standing = Q.validate_entity(F.col("e.entity"), q)
     return rows.select(
         "conv_id", "turn", F.col("o.entity").alias("outside"), F.col("o.confidence").alias("outside_confidence"), "e.entity", "e.confidence", "e.method",

@@ -37,7 +37,7 @@ def test_first_sure_extractor_else_the_surest(spark):
     queries = ["tell me about John Nolan", "who is Mary", "", "  ", None, "plain words only", "where is John Nolan and Mary Ann Smith"]
     q = F.col("q")
     df = spark.createDataFrame([(x,) for x in queries], "q string").withColumn("o", hooks.extracted(q, "names", hooks.name_extractor, batch=2))
-    rows = df.withColumn("r", Q.entity(F.trim(F.coalesce(q, F.lit(""))))).withColumn("e", hooks.extraction(q, F.col("o"))).collect()
+    rows = df.withColumn("r", hooks.rules(q)).withColumn("e", hooks.extraction(q, F.col("o"), F.col("r"))).collect()
     for x in rows:
         if not (x.q or "").strip():
             assert (x.e.entity, x.e.confidence, x.e.method) == ("", 0.0, "empty_query")
