@@ -1,12 +1,12 @@
 """Chunks bounded in tokens of any tokenizer: counts are taken in batches by a hook, sentences and blocks are then packed row by row.
 
-A hook is a function without arguments, called once a task, that gives ``count(texts) -> counts``.  Counts of joined parts are taken as the sum of the
-parts' counts, each the larger of those with and without the separator before it; that bounds the joined text's count for tokenizers that start anew
-at white space, as byte-level and word tokenizers do.
+A hook is a function without arguments, called once a task, that gives ``count(texts) -> counts``.  A text's count is taken as the sum of its words' counts,
+each with the space before it; that bounds it for tokenizers that start anew at white space, as byte-level and word tokenizers do.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,29 +38,63 @@ def tokenizer_counter(path: str) -> Callable[[], Count]:
     return make
 
 
-def _sized(count: Count, texts: list[str], before: str) -> list[int]:
-    """The larger count of each text, with and without the separator; 2,000 texts at once."""
-    out: list[int] = []
-    for i in range(0, len(texts), 2000):
-        some = texts[i : i + 2000]
-        n = count(some + [before + t for t in some])
-        out += [max(a, b) for a, b in zip(n[: len(some)], n[len(some) :], strict=True)]
-    return out
-
-
-def _fit(count: Count, text: str, n: int, size: int) -> list[tuple[str, int]]:
+class _Sizes:
+    """Token bounds of texts from a memo of their words: a task counts a word once, until the memo holds ``MEMO`` characters and starts anew."""
+
+    MEMO = 20_000_000
+
+    def __init__(self, count: Count):
+        self.count, self.alone, self.spaced, self.runs, self.held = count, {}, {}, {}, 0
+
+    def _learn(self, texts: list[str]) -> None:
+        if self.held > self.MEMO:
+            self.alone, self.spaced, self.held = {}, {}, 0
+        new = list({w for t in texts for w in t.split()} - self.spaced.keys())
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            n = self.count(some + [" " + w for w in some])
+            self.alone.update(zip(some, n[: len(some)], strict=True))
+            self.spaced.update(zip(some, n[len(some) :], strict=True))
+            self.held += sum(map(len, some))
+
+    def _space(self, run: str) -> int:
+        """White space between words; its last character may be a token apart."""
+        if run not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs = {}
+            self.runs[run] = max(self.count([run])[0], sum(self.count([run[:-1], run[-1:]])))
+        return self.runs[run]
+
+    def __call__(self, texts: list[str], before: str) -> list[int]:
+        """The bound of each text, with or without the separator before it."""
+        self._learn(texts)
+        first = 0 if before == " " else self._space(before)
+        out = []
+        for t in texts:
+            words = t.split()
+            n = first + (max(self.alone[words[0]], self.spaced[words[0]]) if words else 0)
+            if " ".join(words) == t:
+                n += sum(self.spaced[w] for w in words[1:])
+            else:
+                runs = [r for r in re.findall(r"\s+", t) if r != " "]
+                n += sum(max(self.alone[w], self.spaced[w]) for w in words[1:]) + sum(map(self._space, runs))
+            out.append(n)
+        return out
+
+
+def _fit(sizes: _Sizes, text: str, n: int, size: int) -> list[tuple[str, int]]:
     """A sentence as parts of up to ``size`` tokens: whole, else runs of its words, and words beyond it halved; a single character stays."""
     if n <= size:
         return [(text, n)]
     words = text.split()
     if len(words) > 1:
-        parts = [p for w, m in zip(words, _sized(count, words, " "), strict=True) for p in _fit(count, w, m, size)]
+        parts = [p for w, m in zip(words, sizes(words, " "), strict=True) for p in _fit(sizes, w, m, size)]
         return [(" ".join(t for t, _ in run), sum(m for _, m in run)) for run in _runs(parts, size)]
     word = words[0] if words else text
     if len(word) < 2:
         return [(word, n)]
     halves = [word[: len(word) // 2], word[len(word) // 2 :]]
-    return [p for h, m in zip(halves, _sized(count, halves, " "), strict=True) for p in _fit(count, h, m, size)]
+    return [p for h, m in zip(halves, sizes(halves, " "), strict=True) for p in _fit(sizes, h, m, size)]
 
 
 def _runs(parts: list[tuple[str, int]], size: int, overlap: int = 0) -> list[list[tuple[str, int]]]:
@@ -90,11 +124,11 @@ def token_sentences(docs: DataFrame, make: Callable[[], Count] = word_counter, p
 
     @F.pandas_udf("array<struct<text:string,tokens:int>>")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = make()
+        sizes = _Sizes(make())
 
         def one(row) -> list[dict]:
             texts = [] if row is None else [t for t in row if t.strip()]
-            parts = [p for t, n in zip(texts, _sized(count, texts, " "), strict=True) for p in _fit(count, t, n, params.size)]
+            parts = [p for t, n in zip(texts, sizes(texts, " "), strict=True) for p in _fit(sizes, t, n, params.size)]
             return [{"text": " ".join(t for t, _ in run), "tokens": sum(n for _, n in run)} for run in _runs(parts, params.size, params.overlap)]
 
         for batch in batches:
@@ -113,28 +147,28 @@ def token_blocks(docs: DataFrame, make: Callable[[], Count] = word_counter, size
 
     @F.pandas_udf("array<struct<heading:string,kinds:array<string>,text:string,tokens:int>>")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = make()
+        sizes = _Sizes(make())
 
         def chunks(heading: str, parts: list[tuple[str, str, int]]) -> Iterator[dict]:
             before = heading + "\n" if heading else ""
-            taken = count([before])[0] if before else 0
+            taken = sizes.count([before])[0] if before else 0
             if taken > size // 2:
                 before, taken = "", 0
             cut: list[tuple[str, int]] = []
             for kind, text, n in parts:
                 whole = n <= size - taken
-                texts = [text] if whole else [t for t, _ in _fit(count, text, n, size - taken)]
-                cut += [(f"{kind}\0{t}", m) for t, m in zip(texts, [n] if whole else _sized(count, texts, "\n\n"), strict=True)]
+                texts = [text] if whole else [t for t, _ in _fit(sizes, text, n, size - taken)]
+                cut += [(f"{kind}\0{t}", m) for t, m in zip(texts, [n] if whole else sizes(texts, "\n\n"), strict=True)]
             for run in _runs(cut, size - taken):
                 kinds, texts = zip(*(t.split("\0", 1) for t, _ in run), strict=True)
                 yield {"heading": heading or None, "kinds": list(kinds), "text": before + "\n\n".join(texts), "tokens": taken + min(size - taken, sum(n for _, n in run))}  # a part alone needs no separator
 
         def one(row) -> list[dict]:
             blocks = [] if row is None else [(b["kind"], b["text"]) for b in row]
-            sizes = _sized(count, [t for _, t in blocks], "\n\n")
+            bounds = sizes([t for _, t in blocks], "\n\n")
             out: list[dict] = []
             heading, held = "", []
-            for (kind, text), n in zip(blocks, sizes, strict=True):
+            for (kind, text), n in zip(blocks, bounds, strict=True):
                 if kind == "heading":
                     out += chunks(heading, held)
                     heading, held = text.lstrip("#").strip(), []
