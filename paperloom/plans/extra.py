@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vrn
 from ..operators import chunking, evaluate, lifecycle, search, validate, vector
 from ..params import ChunkParams
 from ..registry import oracle_sql_of, read, register
 from . import inputs as I
 from .corpus import REASON_SQL, _html_sql
-from .inputs import CHUNKS, REGISTRY, WITH_VRNS, sql_words
+from .inputs import CHUNKS, REGISTRY, sql_words
 from .search import _SCORES, _found
 
 R = f"WITH {REGISTRY}"
@@ -141,27 +140,6 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_fallback(docs.drop("lang"), done).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts, each with its line of numbers."""
-    lines = I.with_vrns(spark, sf_dir).withColumnRenamed("text", "line")
-    return I.documents(spark, sf_dir).join(lines.hint("merge"), "doc_id").select("doc_id", F.concat_ws("\n", "text", "line").alias("text"))
-
-
-@register("f22_all_numbers")
-def f22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, sf_dir).select("doc_id", F.array_join(vrn.all_in_text(F.col("text")), ",").alias("numbers"))
-
-
-@register(
-    "f24_loose_numbers",
-    f"WITH {WITH_VRNS}, t AS (SELECT doc_id, coalesce(d.text, '') || chr(10) || v.text AS text FROM documents d JOIN with_vrns v USING (doc_id)), n AS (SELECT doc_id, "
-    "list_concat(list_transform(regexp_extract_all(text, '(?i)\\b\\d{2,3}[- ]?[A-Z]{1,2}[- ]?\\d{1,6}\\b'), lambda v: upper(replace(v, ' ', '-'))), regexp_extract_all(text, '\\b\\d{6,9}\\b')) AS l FROM t) "
-    "SELECT doc_id, array_to_string(list_sort(list_distinct(l)), ',') AS numbers FROM n",
-)
-def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, sf_dir).select("doc_id", F.array_join(vrn.loose_in_text(F.col("text")), ",").alias("numbers"))
-
-
 @register("r20_search")
 def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage from the benchmark's phrases to response rows, on what the searches find in all chunks; tested against brute force."""

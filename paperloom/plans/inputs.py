@@ -63,8 +63,8 @@ SEARCH_QUERIES = f"search_queries AS (SELECT item_id AS query_id, array_to_strin
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked candidates of several methods, two for each document, for twenty queries in a hundred documents."""
-    base = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z0-9 .,]", "").alias("full_content"))
+    """Ranked candidates of several methods, two for each whole document, for twenty queries in a hundred documents."""
+    base = documents(spark, sf_dir).select("doc_id", F.col("text").alias("full_content"))
     rows = base.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.pmod(F.col("doc_id") * 37 + F.col("m") * 211, F.lit(1000)))
     methods = F.array(*map(F.lit, ("database_hybrid", "llamaindex_vector", "hybrid")))
     kinds = F.array(*map(F.lit, ("exact_phrase", "flexible_terms", "exact_match")))
@@ -86,7 +86,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES = """
-_base AS (SELECT doc_id, m, (doc_id * 37 + m * 211) % 1000 AS h, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', '', 'g') AS full_content
+_base AS (SELECT doc_id, m, (doc_id * 37 + m * 211) % 1000 AS h, coalesce(text, '') AS full_content
           FROM documents, (VALUES (0), (1)) AS t(m)),
 candidates AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS query_id, 'find ' || string_split(full_content, ' ')[1] AS query, doc_id || ':' || m AS chunk_id,
                       'doc_' || (doc_id % 50) || '.md' AS file_name, m AS chunk_index, full_content, h / 1000 AS similarity_score,
@@ -186,3 +186,23 @@ with_vrns AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'seen 12-05-2024, car '
                      WHEN 1 THEN 'old ' || lpad(CAST(doc_id % 12 AS VARCHAR), 2, '0') || '-D-' || (doc_id + 1000) || ' and 191D' || (doc_id + 10)
                      WHEN 2 THEN 'call 123-456-7890 on 2024-05-12 about d-' || (doc_id + 5) ELSE 'no number here ' || doc_id END AS text FROM documents)
 """
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file_name, text): whole texts, each with its line of numbers, and names that start as the text does, a third of them with a number."""
+    lines = with_vrns(spark, sf_dir).withColumnRenamed("text", "line")
+    number = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit(" 191-D-"), "doc_id")).otherwise("")
+    name = F.concat(F.substring("text", 1, 20), number, F.when(F.pmod("doc_id", F.lit(2)) == 0, "_nct.pdf").otherwise(".pdf"))
+    return documents(spark, sf_dir).join(lines.hint("merge"), "doc_id").select("doc_id", name.alias("file_name"), F.concat_ws("\n", "text", "line").alias("text"))
+
+
+def sql_plain(c: str) -> str:
+    """Letters and digits outside ASCII as underscores, so that the ASCII word borders of the SQL are those of all scripts."""
+    return f"regexp_replace(replace({c}, 'ß', '__'), '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]', '_', 'g')"
+
+
+NUMBERED = WITH_VRNS.rstrip() + f""", _whole AS (
+  SELECT doc_id, substr(coalesce(d.text, ''), 1, 20) || CASE WHEN doc_id % 3 = 0 THEN ' 191-D-' || doc_id ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '_nct.pdf' ELSE '.pdf' END AS file_name,
+         coalesce(d.text, '') || chr(10) || v.text AS text FROM documents d JOIN with_vrns v USING (doc_id)),
+numbered AS (SELECT doc_id, {sql_plain("file_name")} AS file_name, {sql_plain("text")} AS text FROM _whole)
+"""

@@ -15,7 +15,7 @@ from ..sources.bucket_table import BucketTable
 from ..storage import shared_dir, written
 from ..streaming import ingest
 from . import inputs as I
-from .inputs import CANDIDATES, CHUNKS, REGISTRY, SEARCH_QUERIES, USER_QUERIES, VEHICLES, WITH_VRNS, sql_words
+from .inputs import CANDIDATES, CHUNKS, REGISTRY, SEARCH_QUERIES, USER_QUERIES, VEHICLES, sql_words
 
 C = f"WITH {CANDIDATES}"
 K = f"WITH {CHUNKS}"
@@ -336,12 +336,6 @@ def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.delete_by(rows, ids).select("chunk_id")
 
 
-@register("l12_vrn_enrichment", f"WITH {WITH_VRNS} SELECT doc_id, doc_id % 4 <> 3 AS found FROM with_vrns")
-def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.coalesce(vrn.first_in_filename(F.lit("plain.md")), vrn.first_in_text(F.col("text")))
-    return I.with_vrns(spark, sf_dir).select("doc_id", number.isNotNull().alias("found"))
-
-
 @register("l16_repairs", f"{R} SELECT id, CASE WHEN status = 'uploaded' THEN 'pending_assignment' ELSE status END AS status FROM registry WHERE size >= 20")
 def l16(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.registry_rows(spark, sf_dir).filter("size >= 20")

@@ -10,10 +10,10 @@ from ..functions import vrn
 from ..functions.text import words
 from ..registry import register
 from . import inputs as I
-from .inputs import USER_QUERIES, WITH_VRNS, sql_words
+from .inputs import USER_QUERIES, NUMBERED, sql_words
 
 U = f"WITH {USER_QUERIES}"
-V = f"WITH {WITH_VRNS}"
+V = f"WITH {NUMBERED}"
 
 
 def _list(values) -> str:
@@ -168,9 +168,14 @@ def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("f16_vrn_tests", f"{V} SELECT doc_id, regexp_matches(text, '(?i)\\d{{2,3}}-[A-Z]{{1,2}}-\\d{{4,5}}') AS is_vrn, regexp_matches(trim(substr(text, 5, 5)), '(?i)^\\d{{2,3}}-[A-Z]{{1,2}}$') AS is_partial FROM with_vrns")
+#: Text that may be the start of a registration number, and a number without hyphens.
+_PAIR = r"[^\s-]+-[^\s-]+"
+_JOINED = r"(?i)\d{2,3} ?[A-Z]{1,2} ?\d{1,6}"
+
+
+@register("f16_vrn_tests", f"{V} SELECT doc_id, regexp_matches(text, '(?i)\\d{{2,3}}-[A-Z]{{1,2}}-\\d{{4,5}}') AS is_vrn, regexp_matches(trim(regexp_extract(text, '{_PAIR}', 0)), '(?i)^\\d{{2,3}}-[A-Z]{{1,2}}$') AS is_partial FROM numbered")
 def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.with_vrns(spark, sf_dir).select("doc_id", vrn.is_vrn(F.col("text")).alias("is_vrn"), vrn.is_partial_vrn(F.substring("text", 5, 5)).alias("is_partial"))
+    return I.numbered(spark, sf_dir).select("doc_id", vrn.is_vrn(F.col("text")).alias("is_vrn"), vrn.is_partial_vrn(F.regexp_extract("text", _PAIR, 0)).alias("is_partial"))
 
 
 def _norm_sql(c: str) -> str:
@@ -187,27 +192,79 @@ def _first_sql(c: str, whole: bool) -> str:
     return f"coalesce({', '.join(out)})"
 
 
-@register("f20_first_vrn", f"{V} SELECT doc_id, {_first_sql('text', False)} AS vrn, {_norm_sql('substr(text, 5, 9)')} AS normal FROM with_vrns")
+@register("f20_first_vrn", f"{V} SELECT doc_id, {_first_sql('text', False)} AS vrn, {_norm_sql(f"regexp_extract(text, '{_JOINED}', 0)")} AS normal FROM numbered")
 def f20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.with_vrns(spark, sf_dir).select("doc_id", vrn.first_in_text(F.col("text")).alias("vrn"), vrn.normalize(F.substring("text", 5, 9)).alias("normal"))
+    normal = vrn.normalize(F.regexp_extract("text", _JOINED, 0))
+    return I.numbered(spark, sf_dir).select("doc_id", vrn.first_in_text(F.col("text")).alias("vrn"), normal.alias("normal"))
 
 
-@register("f23_vrn_in_filename", f"WITH f AS (SELECT doc_id, '191-D-' || doc_id || (CASE WHEN doc_id % 2 = 0 THEN '_nct.pdf' ELSE '.pdf' END) AS name FROM documents) SELECT doc_id, {_first_sql('name', True)} AS vrn FROM f")
+@register("f23_vrn_in_filename", f"{V} SELECT doc_id, {_first_sql('file_name', True)} AS vrn FROM numbered")
 def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("191-D-"), "doc_id", F.when(F.pmod("doc_id", F.lit(2)) == 0, "_nct.pdf").otherwise(".pdf"))
-    return I.documents(spark, sf_dir).select("doc_id", vrn.first_in_filename(name).alias("vrn"))
+    return I.numbered(spark, sf_dir).select("doc_id", vrn.first_in_filename(F.col("file_name")).alias("vrn"))
+
+
+def _county_sql(c: str) -> str:
+    hyphened = f"CASE WHEN regexp_matches({c}, '(?i)^[^-]*-[A-Z]{{1,2}}(-|$)') THEN upper(string_split({c}, '-')[2]) END"
+    return f"coalesce({hyphened}, upper(nullif(regexp_extract({c}, '(?i)^\\d{{2,3}}([A-Z]{{1,2}})\\d+$', 1), '')))"
+
+
+_VALID = f"length(m) >= 5 AND NOT regexp_matches(m, '{vrn.FALSE_FORMS}') AND {_county_sql('m')} IS NOT NULL"
+_COUNTY_LIST = ", ".join(f"'{c}'" for c in vrn.COUNTIES)
+
+
+def _found_sql(form: str) -> str:
+    return f"list_filter(regexp_extract_all(text, '{form}'), lambda m: {_VALID})"
+
+
+def _scored_sql(form: str, new: bool, rank: int) -> str:
+    score = f"CASE WHEN contains(m, '-') THEN 10 ELSE 0 END + {5 if new else 0} + greatest(0, 101 - strpos(upper(text), upper(m))) + CASE WHEN {_county_sql('m')} IN ({_COUNTY_LIST}) THEN 20 ELSE 0 END"
+    return f"list_transform({_found_sql(form)}, lambda m, i: {{'score': {score}, 'place': -{rank} * 100000 - i, 'vrn': upper(m)}})"
+
 
+def _joined_sql(parts: list[str]) -> str:
+    out = parts[0]
+    for p in parts[1:]:
+        out = f"list_concat({out}, {p})"
+    return out
 
-@register("f21_best_vrn")
+
+_BEST = f"list_sort({_joined_sql([_scored_sql(form, new, i) for i, (form, new) in enumerate(vrn.SCORED_FORMS)])}, 'DESC')[1].vrn"
+_EVERY = f"list_transform({_joined_sql([_found_sql(form) for form, _ in vrn.SCORED_FORMS])}, lambda m: upper(m))"
+_DISTINCT = "array_to_string(list_filter(every, lambda v, i: list_position(every, v) = i), ',')"
+_LOOSE = "list_concat(list_transform(regexp_extract_all(text, '(?i)\\b\\d{2,3}[- ]?[A-Z]{1,2}[- ]?\\d{1,6}\\b'), lambda v: upper(replace(v, ' ', '-'))), regexp_extract_all(text, '\\b\\d{6,9}\\b'))"
+
+
+@register("f21_best_vrn", f"{V}, e AS (SELECT doc_id, {_BEST} AS best, {_EVERY} AS every FROM numbered) SELECT doc_id, best, {_DISTINCT} AS every FROM e")
 def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return I.with_vrns(spark, sf_dir).select("doc_id", vrn.best_in_text(t).alias("best"), F.array_join(vrn.all_in_text(t), ",").alias("every"), F.array_join(vrn.loose_in_text(t), ",").alias("loose"))
+    return I.numbered(spark, sf_dir).select("doc_id", vrn.best_in_text(t).alias("best"), F.array_join(vrn.all_in_text(t), ",").alias("every"))
+
+
+@register("f22_all_numbers", f"{V}, e AS (SELECT doc_id, {_EVERY} AS every FROM numbered) SELECT doc_id, {_DISTINCT} AS numbers FROM e")
+def f22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.numbered(spark, sf_dir).select("doc_id", F.array_join(vrn.all_in_text(F.col("text")), ",").alias("numbers"))
+
 
+@register("f24_loose_numbers", f"{V} SELECT doc_id, array_to_string(list_sort(list_distinct({_LOOSE})), ',') AS numbers FROM numbered")
+def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.numbered(spark, sf_dir).select("doc_id", F.array_join(vrn.loose_in_text(F.col("text")), ",").alias("numbers"))
 
-@register("a43_vrn_statistics", f"{V}, f AS (SELECT {_first_sql('text', False)} AS vrn FROM with_vrns) SELECT CASE WHEN vrn IS NULL THEN 'not_found' ELSE 'text' END AS method, count(*) AS n FROM f GROUP BY 1")
+
+_METHOD = f"CASE WHEN {_first_sql('file_name', True)} IS NOT NULL THEN 'filename' WHEN {_first_sql('text', False)} IS NOT NULL THEN 'text' ELSE 'not_found' END"
+
+
+@register("a43_vrn_statistics", f"{V} SELECT {_METHOD} AS method, count(*) AS n, count(DISTINCT coalesce({_first_sql('file_name', True)}, {_first_sql('text', False)})) AS numbers FROM numbered GROUP BY 1")
 def a43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vrn.first_in_text(F.col("text"))
-    return I.with_vrns(spark, sf_dir).groupBy(F.when(found.isNull(), "not_found").otherwise("text").alias("method")).agg(F.count("*").alias("n"))
+    rows = I.numbered(spark, sf_dir).select(vrn.first_in_filename(F.col("file_name")).alias("named"), vrn.first_in_text(F.col("text")).alias("read"))
+    method = F.when(F.col("named").isNotNull(), "filename").when(F.col("read").isNotNull(), "text").otherwise("not_found")
+    return rows.groupBy(method.alias("method")).agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("named", "read")).alias("numbers"))
+
+
+@register("l12_vrn_enrichment", f"{V} SELECT doc_id, coalesce({_first_sql('file_name', True)}, {_first_sql('text', False)}) AS vrn FROM numbered")
+def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's number from its name, else from its text."""
+    number = F.coalesce(vrn.first_in_filename(F.col("file_name")), vrn.first_in_text(F.col("text")))
+    return I.numbered(spark, sf_dir).select("doc_id", number.alias("vrn"))
 
 
 @register("f57_required_terms", f"{U} SELECT query_id, array_to_string(list_filter({sql_words('lower(query)')}, lambda w: length(w) > 2), ' ') AS terms FROM user_queries")

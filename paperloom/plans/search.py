@@ -174,8 +174,8 @@ _W = "CASE source_method WHEN 'llamaindex_vector' THEN 0.7 WHEN 'database_hybrid
 _TIE = "file_name, chunk_index, chunk_id"
 
 
-def _first(order: str) -> str:
-    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(full_content, 1, 200) ORDER BY {order}) AS o FROM candidates) WHERE o = 1"
+def _first(order: str, rows: str = "candidates") -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr(full_content, 1, 200) ORDER BY {order}) AS o FROM {rows}) WHERE o = 1"
 
 
 @register("r07_dedup_retrieved", f"{C} SELECT query_id, chunk_id FROM ({_first(f'''CASE WHEN source_method LIKE 'database%' THEN 0 ELSE 1 END, similarity_score DESC, arrival_ord, {_TIE}''')})")
@@ -183,7 +183,8 @@ def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.dedup_retrieved(I.candidates(spark, sf_dir)).select("query_id", "chunk_id")
 
 
-_FUSED = _first(f"CASE WHEN contains(source_method, 'database') THEN 0 ELSE 1 END, similarity_score DESC, {_W} DESC, n_metadata DESC, arrival_ord, {_TIE}")
+_FUSED_ORDER = f"CASE WHEN contains(source_method, 'database') THEN 0 ELSE 1 END, similarity_score DESC, {_W} DESC, n_metadata DESC, arrival_ord, {_TIE}"
+_FUSED = _first(_FUSED_ORDER)
 
 
 @register("r08_dedup_fused", f"{C} SELECT query_id, chunk_id FROM ({_FUSED})")
@@ -216,14 +217,20 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.top_by(rows, fusion.priority_score("vector"), F.lit(1_000_000)).select("query_id", "chunk_id", "rank")
 
 
-@register(
-    "r14_reciprocal_rank",
-    f"""{C}, m AS (SELECT *, substr(full_content, 1, 100) AS key, row_number() OVER (PARTITION BY query_id, source_method ORDER BY similarity_score DESC, arrival_ord, {_TIE}) AS mr FROM candidates),
+_DB = "contains(source_method, 'database')"
+_VEC = "(contains(source_method, 'vector') OR contains(source_method, 'llamaindex'))"
+
+
+def _by_rank(rows: str) -> str:
+    """The scores of ``reciprocal_rank`` over a relation, as ``rrf``."""
+    return f"""m AS (SELECT *, substr(full_content, 1, 100) AS key, row_number() OVER (PARTITION BY query_id, source_method ORDER BY similarity_score DESC, arrival_ord, {_TIE}) AS mr FROM {rows}),
 b AS (SELECT query_id, file_name, key, source_method, min(mr) AS best, count(*) AS n FROM m GROUP BY ALL),
 w AS (SELECT query_id, file_name, key, arg_min({_W}::DOUBLE, arrival_ord) AS weight FROM m GROUP BY ALL),
-g AS (SELECT query_id, file_name, key, sum(n / (60 + best)) AS s, count(*) AS methods, bool_or(contains(source_method, 'database')) AS db, bool_or(contains(source_method, 'vector') OR contains(source_method, 'llamaindex')) AS vec FROM b GROUP BY ALL)
-SELECT query_id, file_name, sha256(key) AS key, round(s * weight * CASE WHEN methods <= 1 THEN 1.0 WHEN db AND vec THEN 1.4 ELSE 1.0 + (methods - 1) * 0.2 END::DOUBLE, 9) AS rrf_score, methods FROM g JOIN w USING (query_id, file_name, key)""",
-)
+g AS (SELECT query_id, file_name, key, sum(n / (60 + best)) AS s, count(*) AS methods, bool_or({_DB}) AS db, bool_or({_VEC}) AS vec FROM b GROUP BY ALL),
+rrf AS (SELECT query_id, file_name, key, s * weight * CASE WHEN methods <= 1 THEN 1.0 WHEN db AND vec THEN 1.4 ELSE 1.0 + (methods - 1) * 0.2 END::DOUBLE AS rrf_score, methods FROM g JOIN w USING (query_id, file_name, key))"""
+
+
+@register("r14_reciprocal_rank", f"{C}, {_by_rank('candidates')} SELECT query_id, file_name, sha256(key) AS key, round(rrf_score, 9) AS rrf_score, methods FROM rrf")
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fusion.reciprocal_rank(I.candidates(spark, sf_dir))
     return rows.select("query_id", "file_name", sha256(F.col("key")).alias("key"), F.round("rrf_score", 9).alias("rrf_score"), "methods")
@@ -240,26 +247,107 @@ def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.strategies(I.mixed_candidates(spark, sf_dir))
 
 
-@register("r10_weighted_fusion")
+_LETTER = r"[\p{L}\p{N}_]"
+_OTHER = r"[^\p{L}\p{N}_]"
+
+
+def _holds(phrase: str, content: str) -> str:
+    """Whether a phrase stands at word borders in a lower-case text."""
+    before = f"CASE WHEN regexp_matches({phrase}, '^{_LETTER}') THEN '(^|{_OTHER})' ELSE '{_LETTER}' END"
+    after = f"CASE WHEN regexp_matches({phrase}, '{_LETTER}$') THEN '($|{_OTHER})' ELSE '{_LETTER}' END"
+    return f"CASE WHEN trim({phrase}) <> '' AND contains({content}, lower({phrase})) THEN regexp_matches({content}, {before} || regexp_escape(lower({phrase})) || {after}) ELSE false END"
+
+
+def _count_held(phrases: tuple[str, ...], content: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {_holds(repr(p), content)} THEN 1 ELSE 0 END" for p in phrases) + ")"
+
+
+_PERSON = (
+    f"((contains(lower(query), 'who is') OR contains(lower(query), 'tell me about') OR contains(lower(query), 'show me') OR contains(lower(query), 'find') OR contains(lower(query), 'about')) "
+    f"AND regexp_matches(query, '(^|{_OTHER})[A-Z][a-z]+($|{_OTHER})') OR coalesce(regexp_matches(entity, '(^|{_OTHER})[A-Za-z][A-Za-z]+\\s+[A-Za-z][A-Za-z]+($|{_OTHER})'), false))"
+)
+_LENGTH = "CASE WHEN length(full_content) BETWEEN 100 AND 2000 THEN 1.1 WHEN length(full_content) < 50 THEN {0} ELSE 1.0 END::DOUBLE"
+_OFTEN = "CASE WHEN query_occurrences > 1 THEN least(1.3::DOUBLE, 1.0::DOUBLE + query_occurrences * 0.1::DOUBLE) ELSE 1.0 END::DOUBLE"
+#: ``seen``: the relation ``named`` (candidates with entity and terms) with what its scores ask of the texts.
+_SEEN = f"""
+seen AS (SELECT *, CASE WHEN length(full_content) > 500 THEN substr(full_content, 1, 500) || '...' ELSE full_content END || ' ' || full_content || ' ' || file_name AS shown, {_PERSON} AS person FROM named),
+told AS (SELECT * REPLACE (lower(shown) AS shown), {_holds("query", "lower(shown)")} AS exact, {_holds("entity", "lower(shown)")} AS names_entity,
+                {_holds("coalesce(entity, query)", "lower(full_content)")} AS text_names_entity, {_count_held(fusion.TRAINING_WORDS[:5], "lower(full_content)")} AS text_training,
+                CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: {_holds("t", "lower(shown)")})) / len(terms) ELSE 0 END::DOUBLE AS coverage,
+                {_count_held(fusion.TRAINING_WORDS, "lower(shown)")} AS training, {_count_held(fusion.SIGNATURE_WORDS, "lower(shown)")} AS signature FROM seen),
+scored AS (SELECT *,
+  similarity_score * {_W}::DOUBLE * CASE match_type WHEN 'exact_phrase' THEN 1.4 WHEN 'exact_match' THEN 1.2 ELSE 1.0 END::DOUBLE
+   * CASE WHEN exact THEN CASE WHEN person THEN 1.3 ELSE 1.2 END ELSE 1.0 END::DOUBLE * CASE WHEN names_entity THEN CASE WHEN person THEN 1.3 ELSE 1.2 END ELSE 1.0 END::DOUBLE
+   * CASE WHEN coverage > 0.5 THEN 1.0::DOUBLE + coverage * 0.3::DOUBLE ELSE 1.0 END::DOUBLE * {_OFTEN} * {_LENGTH.format(0.8)}
+   * CASE WHEN NOT person OR coalesce(entity, '') = '' THEN 1.0 WHEN training > 0 THEN 1.1 WHEN signature >= 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS weighted,
+  least(1.0::DOUBLE, similarity_score * CASE WHEN text_names_entity THEN 1.4 ELSE 1.0 END::DOUBLE * ((1.0::DOUBLE + text_training * 0.1::DOUBLE) * {_OFTEN})) AS by_person,
+  least(1.0::DOUBLE, similarity_score * {_LENGTH.format(0.9)} * CASE WHEN similarity_score > 0.7 THEN 1.05 ELSE 1.0 END::DOUBLE) AS by_meaning,
+  CASE WHEN {_DB} THEN 0 WHEN {_VEC} THEN 1 ELSE 2 END AS block FROM told)
+"""
+_PERSON_BLOCKS = "CASE block WHEN 0 THEN by_person WHEN 1 THEN by_meaning ELSE similarity_score END"
+_UNNAMED = "named AS (SELECT *, NULL::VARCHAR AS entity, []::VARCHAR[] AS terms FROM {0})"
+
+
+def _rank(order: str) -> str:
+    return f"CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS rank"
+
+
+def _fuse_sql(named: str) -> str:
+    """The rows of ``fuse`` as ``fused``, from a relation ``named`` made of ``uniq``, the deduplicated candidates."""
+    return f"""WITH {I.MIXED}, uniq AS ({_first(_FUSED_ORDER, "mixed_candidates")}), {named}, {_SEEN},
+h AS (SELECT query_id, count(*) AS n, bool_or({_DB}) AS with_db, bool_or({_VEC}) AS with_vec, count(DISTINCT source_method) AS methods, bool_or(person) AS is_person,
+             max(len(list_filter(string_split(query, ' '), lambda t: t <> ''))) AS query_words FROM scored GROUP BY 1),
+s AS (SELECT *, CASE WHEN n = 1 THEN 'single_result' WHEN is_person AND with_db THEN 'hybrid_person_priority' WHEN with_db AND with_vec THEN 'hybrid_weighted_fusion' WHEN with_db THEN 'database_priority'
+      WHEN with_vec THEN 'vector_priority' WHEN query_words > 6 AND methods >= 2 THEN 'reciprocal_rank_fusion' ELSE 'hybrid_weighted_fusion' END AS strategy FROM h),
+chosen AS (SELECT * EXCLUDE (n, methods) FROM scored JOIN s USING (query_id)), ranked_only AS (SELECT * FROM chosen WHERE strategy = 'reciprocal_rank_fusion'),
+{_by_rank("ranked_only")},
+whole AS (SELECT * EXCLUDE (mr, key, firsts), round(rrf_score, 12) AS fused_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_name, key ORDER BY arrival_ord, chunk_id) AS firsts FROM m)
+           JOIN (SELECT query_id, file_name, key, rrf_score FROM rrf) USING (query_id, file_name, key) WHERE firsts = 1),
+every AS (SELECT query_id, chunk_id, file_name, chunk_index, source_method, similarity_score, strategy, is_person, with_db, 0 AS part, fused_score FROM whole
+          UNION ALL SELECT query_id, chunk_id, file_name, chunk_index, source_method, similarity_score, strategy, is_person, with_db, CASE WHEN strategy = 'hybrid_person_priority' THEN block ELSE 0 END AS part,
+           CASE strategy WHEN 'hybrid_person_priority' THEN {_PERSON_BLOCKS} WHEN 'database_priority' THEN similarity_score * CASE WHEN {_DB} THEN 1.3 ELSE 1.0 END::DOUBLE
+            WHEN 'vector_priority' THEN similarity_score * CASE WHEN {_VEC} THEN 1.2 ELSE 1.0 END::DOUBLE WHEN 'single_result' THEN similarity_score ELSE weighted END AS fused_score
+          FROM chosen WHERE strategy <> 'reciprocal_rank_fusion'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, fused_score DESC, {_TIE}) AS place FROM every),
+bound AS (SELECT query_id, greatest(0.3::DOUBLE, max(similarity_score) FILTER (place = 1) * 0.5::DOUBLE) AS least FROM placed GROUP BY 1),
+kept AS (SELECT * FROM placed JOIN bound USING (query_id) WHERE CASE WHEN strategy = 'hybrid_weighted_fusion' THEN fused_score ELSE similarity_score END >= CASE WHEN is_person AND with_db THEN 0.25::DOUBLE ELSE least END),
+fused AS (SELECT * FROM (SELECT *, {_rank("place")} FROM kept) WHERE rank <= 50)"""
+
+
+@register("r10_weighted_fusion", f"{C}, {_UNNAMED.format('candidates')}, {_SEEN} SELECT query_id, chunk_id, round(weighted, 6) AS score, {_rank(f'weighted DESC, {_TIE}')} FROM scored")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = fusion.weighted_score(F.lit(None).cast("string"), F.array().cast("array<string>"))
     return fusion.top_by(I.candidates(spark, sf_dir), score, F.lit(1_000_000)).select("query_id", "chunk_id", F.round("fused_score", 6).alias("score"), "rank")
 
 
-@register("r11_person_priority")
+@register(
+    "r11_person_priority",
+    f"{C}, {_UNNAMED.format('candidates')}, {_SEEN} SELECT query_id, chunk_id, block, round({_PERSON_BLOCKS}, 6) AS score, {_rank(f'block, {_PERSON_BLOCKS} DESC, {_TIE}')} FROM scored",
+)
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fusion.person_priority(I.candidates(spark, sf_dir), F.lit(None).cast("string"))
     return rows.select("query_id", "chunk_id", "block", F.round("fused_score", 6).alias("score"), "rank")
 
 
-@register("r15_fuse")
+_NAMED = "named AS (SELECT *, CASE WHEN query_id % 6 = 0 THEN string_split(full_content, ' ')[1] END AS entity, string_split(query, ' ') AS terms FROM uniq)"
+
+
+@register("r15_fuse", f"{_fuse_sql(_NAMED)} SELECT query_id, chunk_id, strategy, round(fused_score, 6) AS score, rank FROM fused")
 def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.mixed_candidates(spark, sf_dir)
     entity = F.when(F.pmod("query_id", F.lit(6)) == 0, F.element_at(F.split("full_content", " "), 1))
     return fusion.fuse(rows, entity=entity, terms=F.split("query", " ")).select("query_id", "chunk_id", "strategy", F.round("fused_score", 6).alias("score"), "rank")
 
 
-@register("a29_fusion_metrics")
+@register(
+    "a29_fusion_metrics",
+    f"""{_fuse_sql(_UNNAMED.format("uniq"))}, before AS (SELECT query_id, count(*) AS original_count FROM mixed_candidates GROUP BY 1),
+after AS (SELECT query_id, count(*) AS n, round(avg(fused_score), 6) AS avg_score, round(min(fused_score), 6) AS min_score, round(max(fused_score), 6) AS max_score,
+                 count(*) FILTER ({_DB}) AS d, count(*) FILTER ({_VEC} AND NOT {_DB}) AS v FROM fused GROUP BY 1)
+SELECT query_id, original_count, coalesce(n, 0) AS final_count, avg_score, min_score, max_score, coalesce(d, 0) AS database_results, coalesce(v, 0) AS vector_results,
+       round(coalesce(n, 0) / original_count, 6) AS dedup_ratio, coalesce(d, 0) > 0 AND coalesce(v, 0) > 0 AS mixed_sources, abs(coalesce(d, 0) - coalesce(v, 0)) <= 2 AS balanced
+FROM before LEFT JOIN after USING (query_id)""",
+)
 def a29(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.mixed_candidates(spark, sf_dir)
     return fusion.fusion_metrics(rows, fusion.fuse(rows))
