@@ -11,8 +11,8 @@ BORDER = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{
 
 
 def bordered(form: str) -> str:
-    """A form with its word borders spelled out."""
-    return form.replace(r"\b", BORDER)
+    """A form with its word borders spelled out; a border before a digit is only looked for at digits."""
+    return form.replace(r"\b\d", r"(?=\d)\b\d").replace(r"\b", BORDER)
 
 
 #: File types of converted documents.
