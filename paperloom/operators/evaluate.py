@@ -21,7 +21,7 @@ def metrics(ranked: DataFrame, queries: DataFrame, k: int = 5, recall_k: int = 1
         F.count_if(F.col("relevant") & (F.col("rank") <= recall_k)).alias("in_recall"),
         F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"),
     )
-    joined = queries.join(hits, "query_id", "left")
+    joined = queries.join(hits.hint("merge"), "query_id", "left")
     need = F.greatest(F.lit(1), F.col("min_relevant"))
     return joined.select(
         "query_id",
@@ -57,4 +57,4 @@ def field_coverage(chunks: DataFrame, fields: dict[str, str], key: str = "file_n
 
 
 def compare_counts(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    return expected.join(found, key, "full_outer").select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) - F.coalesce("expected", F.lit(0))).alias("delta"))
+    return expected.join(found.hint("merge"), key, "full_outer").select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) - F.coalesce("expected", F.lit(0))).alias("delta"))

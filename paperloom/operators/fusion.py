@@ -245,13 +245,13 @@ def fusion_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     db, vec = is_database(F.col("source_method")), is_vector(F.col("source_method"))
     b = before.groupBy("query_id").agg(F.count("*").alias("original_count"))
     a = after.groupBy("query_id").agg(F.count("*").alias("final_count"), F.round(F.avg("fused_score"), 6).alias("avg_score"), F.round(F.min("fused_score"), 6).alias("min_score"), F.round(F.max("fused_score"), 6).alias("max_score"), F.count_if(db).alias("database_results"), F.count_if(vec & ~db).alias("vector_results"))
-    joined = b.join(a, "query_id", "left").fillna(0, ["final_count", "database_results", "vector_results"])
+    joined = b.join(a.hint("merge"), "query_id", "left").fillna(0, ["final_count", "database_results", "vector_results"])
     return joined.select("*", F.round(F.col("final_count") / F.col("original_count"), 6).alias("dedup_ratio"), ((F.col("database_results") > 0) & (F.col("vector_results") > 0)).alias("mixed_sources"), (F.abs(F.col("database_results") - F.col("vector_results")) <= 2).alias("balanced"))
 
 
 def rerank(rows: DataFrame, scores: DataFrame, top_k: int | None = None, params: SearchParams = SEARCH) -> DataFrame:
     """By supplied scores (query_id, chunk_id, llm_score); 5 where one is missing.  A low score is flagged, not dropped."""
-    joined = rows.drop("llm_score").join(scores.select("query_id", "chunk_id", "llm_score"), ["query_id", "chunk_id"], "left").withColumn("llm_score", F.coalesce("llm_score", F.lit(5.0)))
+    joined = rows.drop("llm_score").join(scores.select("query_id", "chunk_id", "llm_score").hint("merge"), ["query_id", "chunk_id"], "left").withColumn("llm_score", F.coalesce("llm_score", F.lit(5.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("llm_score"), "rank", *tie_break())
     out = joined.withColumn("rerank", F.row_number().over(order)).withColumn("is_relevant", F.col("llm_score") >= params.rerank_min_score)
     return out if top_k is None else out.filter(F.col("rerank") <= top_k)

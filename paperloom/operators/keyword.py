@@ -163,7 +163,7 @@ def expand_documents(matches: DataFrame, chunks: DataFrame, limit: int = SEARCH.
     """All chunks of each matched file in order, up to ``limit`` for each query, scored as exact."""
     files = matches.select("query_id", "file_name").distinct()
     order = Window.partitionBy("query_id").orderBy("file_name", F.coalesce("chunk_index", F.lit(0)), "chunk_id")
-    rows = files.join(chunks, "file_name").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    rows = chunks.join(files.hint("merge"), "file_name").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return rows.withColumn("score", F.lit(SEARCH.exact_cap))
 
 

@@ -53,30 +53,30 @@ def change_set(scan: DataFrame, manifest: DataFrame) -> DataFrame:
     a, b = scan.alias("a"), manifest.alias("b")
     same = F.when(F.col("a.hash").isNotNull() & F.col("b.hash").isNotNull(), F.col("a.hash") == F.col("b.hash")).otherwise(F.col("a.size").eqNullSafe(F.col("b.size")) & F.col("a.modified").eqNullSafe(F.col("b.modified")))
     change = F.when(F.col("b.path").isNull(), "new").when(F.col("a.path").isNull(), "deleted").when(same, "unchanged").otherwise("modified")
-    return a.join(b, F.col("a.path") == F.col("b.path"), "full_outer").select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change"))
+    return a.join(b.hint("merge"), F.col("a.path") == F.col("b.path"), "full_outer").select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change"))
 
 
 def index_plan(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """(path, action) by the stored original hash: index, skip, or delete_then_index (also where no hash is stored)."""
     known = stored.select("path", F.col("hash").alias("stored_hash"), F.lit(True).alias("known"))
     action = F.when(F.col("known").isNull(), "index").when(F.col("stored_hash").isNull() | F.col("hash").isNull() | (F.col("stored_hash") != F.col("hash")), "delete_then_index").otherwise("skip")
-    return docs.join(known, "path", "left").select("path", action.alias("action"))
+    return docs.join(known.hint("merge"), "path", "left").select("path", action.alias("action"))
 
 
 def already_converted(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Inputs with an output that is newer."""
-    return inputs.join(outputs.select(F.col("path").alias("out_path"), F.col("modified").alias("out_modified")), "out_path").filter(F.col("out_modified") > F.col("modified"))
+    return inputs.join(outputs.select(F.col("path").alias("out_path"), F.col("modified").alias("out_modified")).hint("merge"), "out_path").filter(F.col("out_modified") > F.col("modified"))
 
 
 def missing_in_index(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """Files that the index has neither by normalised path nor by name: two anti joins in sequence, never one on either key."""
-    by_path = files.withColumn("_p", normal_path(F.col("path"))).join(indexed.select(normal_path(F.col("file_path")).alias("_p")).distinct(), "_p", "left_anti")
-    return by_path.join(indexed.select("file_name").distinct(), "file_name", "left_anti").drop("_p")
+    by_path = files.withColumn("_p", normal_path(F.col("path"))).join(indexed.select(normal_path(F.col("file_path")).alias("_p")).distinct().hint("merge"), "_p", "left_anti")
+    return by_path.join(indexed.select("file_name").distinct().hint("merge"), "file_name", "left_anti").drop("_p")
 
 
 def orphans(chunks: DataFrame, keep: DataFrame) -> DataFrame:
     """Chunks whose path isn't kept; a null path is an orphan."""
-    return chunks.join(keep.select("file_path").distinct(), "file_path", "left_anti")
+    return chunks.join(keep.select("file_path").distinct().hint("merge"), "file_path", "left_anti")
 
 
 def missing_cause(size: Column, extension: Column, supported: list[str], max_bytes: int = 50 << 20) -> Column:
@@ -86,12 +86,12 @@ def missing_cause(size: Column, extension: Column, supported: list[str], max_byt
 def delete_by(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """Chunks left after deleting by document id: a UUID is a registry id, anything else an original path."""
     uuid = F.regexp_like(F.col("document_id"), F.lit("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"))
-    left = chunks.join(ids.filter(uuid).select(F.col("document_id").alias("registry_id")), "registry_id", "left_anti")
-    return left.join(ids.filter(~uuid).select(F.col("document_id").alias("original_path")), "original_path", "left_anti")
+    left = chunks.join(ids.filter(uuid).select(F.col("document_id").alias("registry_id")).hint("merge"), "registry_id", "left_anti")
+    return left.join(ids.filter(~uuid).select(F.col("document_id").alias("original_path")).hint("merge"), "original_path", "left_anti")
 
 
 def cascade_delete(registry: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return registry.join(ids, "id", "left_anti"), chunks.join(ids.withColumnRenamed("id", "registry_id"), "registry_id", "left_anti")
+    return registry.join(ids.hint("merge"), "id", "left_anti"), chunks.join(ids.withColumnRenamed("id", "registry_id").hint("merge"), "registry_id", "left_anti")
 
 
 def upload_actions(incoming: DataFrame, registry: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def upload_actions(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     names = registry.groupBy(F.col("original_filename").alias("n")).agg(F.max("id").alias("same_name"))
     first = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_name")) == 1
     marked = incoming.withColumn("_first", first)
-    joined = marked.join(hashes, F.col("file_hash") == F.col("h"), "left").join(names, F.col("file_name") == F.col("n"), "left")
+    joined = marked.join(hashes.hint("merge"), F.col("file_hash") == F.col("h"), "left").join(names.hint("merge"), F.col("file_name") == F.col("n"), "left")
     action = F.when(F.col("same_content").isNotNull() | ~F.col("_first"), "duplicate").when(F.col("same_name").isNotNull(), "replace").otherwise("insert")
     return joined.select("file_name", "file_hash", action.alias("action"), F.coalesce("same_content", "same_name").alias("matched_id"))
 
@@ -113,14 +113,14 @@ def with_registry_id(docs: DataFrame, registry: DataFrame, path_col: str = "path
     known = registry.groupBy(normal_path(F.col("markdown_file_path")).alias("_p")).agg(F.max_by("id", "uploaded_at").alias("_id"))
     made = F.sha2(normal_path(F.col(path_col)), 256)
     uuid = F.concat_ws("-", *(F.substring(made, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    joined = docs.withColumn("_p", normal_path(F.col(path_col))).join(known, "_p", "left")
+    joined = docs.withColumn("_p", normal_path(F.col(path_col))).join(known.hint("merge"), "_p", "left")
     return joined.select(*docs.columns, F.coalesce("_id", uuid).alias("registry_id"), F.col("_id").isNull().alias("is_new"))
 
 
 def transition(rows: DataFrame, changes: DataFrame, moves: dict[str, tuple[str, ...]], column: str = "status") -> DataFrame:
     """``rows`` with the asked states (id, to) applied where the move is allowed; ``refused`` marks the others."""
     allowed = F.create_map(*(x for a, b in moves.items() for x in (F.lit(a), F.array(*map(F.lit, b)))))
-    joined = rows.join(changes.select("id", F.col("to").alias("_to")), "id", "left")
+    joined = rows.join(changes.select("id", F.col("to").alias("_to")).hint("merge"), "id", "left")
     ok = F.coalesce(F.array_contains(allowed[F.col(column)], F.col("_to")), F.lit(False))
     refused = F.col("_to").isNotNull() & ~ok
     return joined.withColumn("refused", refused).withColumn(column, F.when(ok, F.col("_to")).otherwise(F.col(column))).drop("_to")
@@ -129,7 +129,7 @@ def transition(rows: DataFrame, changes: DataFrame, moves: dict[str, tuple[str,
 def sparse_update(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Only what a change supplies (not null) replaces; maps are merged, the change winning."""
     shared = [c for c in changes.columns if c in rows.columns and c != key]
-    joined = rows.join(changes.select(key, *(F.col(c).alias(f"_{c}") for c in shared)), key, "left")
+    joined = rows.join(changes.select(key, *(F.col(c).alias(f"_{c}") for c in shared)).hint("merge"), key, "left")
     kinds = dict(rows.dtypes)
 
     def merged(c: str) -> Column:
@@ -148,7 +148,7 @@ def link_outcomes(requests: DataFrame, registry: DataFrame, vehicles: DataFrame)
     r = registry.select(F.col("id").alias("document_id"), F.col("vehicle_id").alias("held"), F.lit(True).alias("doc"))
     v = vehicles.select(F.col("id").alias("vehicle_id"), F.lit(True).alias("veh"))
     outcome = F.when(F.col("doc").isNull(), "no_document").when(F.col("veh").isNull(), "no_vehicle").when(F.col("held").isNull(), "linked").when(F.col("held") == F.col("vehicle_id"), "already_linked").otherwise("linked_elsewhere")
-    return requests.join(r, "document_id", "left").join(v, "vehicle_id", "left").select("document_id", "vehicle_id", outcome.alias("outcome"))
+    return requests.join(r.hint("merge"), "document_id", "left").join(v.hint("merge"), "vehicle_id", "left").select("document_id", "vehicle_id", outcome.alias("outcome"))
 
 
 def insert_unique(current: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +157,7 @@ def insert_unique(current: DataFrame, incoming: DataFrame, keys: list[str]) -> t
     for k in keys:
         there = current.filter(F.col(k).isNotNull()).select(k, F.lit(True).alias(f"_has_{k}")).distinct()
         first = F.row_number().over(Window.partitionBy(k).orderBy(*incoming.columns)) > 1
-        marked = marked.join(there, k, "left").withColumn(f"_bad_{k}", F.col(k).isNotNull() & (F.coalesce(f"_has_{k}", F.lit(False)) | first)).drop(f"_has_{k}")
+        marked = marked.join(there.hint("merge"), k, "left").withColumn(f"_bad_{k}", F.col(k).isNotNull() & (F.coalesce(f"_has_{k}", F.lit(False)) | first)).drop(f"_has_{k}")
     bad = F.lit(False)
     for k in keys:
         bad = bad | F.col(f"_bad_{k}")
@@ -179,7 +179,7 @@ def retained(tasks: DataFrame, as_of: Column, completed_hours: int = 24, failed_
 
 def mark_indexed(registry: DataFrame, chunks: DataFrame) -> DataFrame:
     ids = chunks.select(F.col("registry_id").alias("id")).distinct().withColumn("_has", F.lit(True))
-    joined = registry.join(ids, "id", "left")
+    joined = registry.join(ids.hint("merge"), "id", "left")
     return joined.withColumn("status", F.when(F.col("_has"), "processed").otherwise(F.col("status"))).drop("_has")
 
 
@@ -194,7 +194,7 @@ def group_by_vrn(registry: DataFrame, vehicles: DataFrame) -> DataFrame:
     """vrn, documents, and the vehicle of that number in any case (null: to be created)."""
     groups = registry.filter("vrn IS NOT NULL").groupBy(F.upper("vrn").alias("vrn")).agg(F.count("*").alias("documents"))
     known = vehicles.groupBy(F.upper("registration_number").alias("vrn")).agg(F.min("id").alias("vehicle_id"))
-    return groups.join(known, "vrn", "left")
+    return groups.join(known.hint("merge"), "vrn", "left")
 
 
 def new_entries(docs: DataFrame) -> DataFrame:
@@ -205,19 +205,19 @@ def new_entries(docs: DataFrame) -> DataFrame:
 def apply_links(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``registry`` with the links whose outcome is ``linked``; those documents become assigned.  Of several vehicles for a document the smallest id wins."""
     new = outcomes.filter("outcome = 'linked'").groupBy(F.col("document_id").alias("id")).agg(F.min("vehicle_id").alias("_v"))
-    joined = registry.join(new, "id", "left")
+    joined = registry.join(new.hint("merge"), "id", "left")
     return joined.withColumn("status", F.when(F.col("_v").isNotNull(), "assigned").otherwise(F.col("status"))).withColumn("vehicle_id", F.coalesce("_v", "vehicle_id")).drop("_v")
 
 
 def unlink(registry: DataFrame, ids: DataFrame) -> DataFrame:
     """The link becomes null and the document unassigned."""
-    joined = registry.join(ids.select("id").distinct().withColumn("_u", F.lit(True)), "id", "left")
+    joined = registry.join(ids.select("id").distinct().withColumn("_u", F.lit(True)).hint("merge"), "id", "left")
     return joined.withColumn("vehicle_id", F.when(F.col("_u").isNull(), F.col("vehicle_id"))).withColumn("status", F.when(F.col("_u"), "unassigned").otherwise(F.col("status"))).drop("_u")
 
 
 def reindexed(chunks: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFrame:
     """Chunks after deleting those of ``files`` and adding ``fresh`` ones."""
-    return chunks.join(files.select("file_name").distinct(), "file_name", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return chunks.join(files.select("file_name").distinct().hint("merge"), "file_name", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def key_sets(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -288,12 +288,13 @@ def result_rows(found: DataFrame, chunks: DataFrame, preview: int = 200) -> Data
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding without a model: signed counts of hashed words, scaled to length 1."""
     tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))  # a component and a sign, hashed once
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.size(F.filter(places, lambda p: p == i)) - F.size(F.filter(places, lambda p: p == i + dim))).cast("double"),
-    )
-    return normalize(sums)
+    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))  # a component and a sign
+
+    def sums(p: Column) -> Column:
+        count = lambda k: F.size(F.filter(p, lambda x: x == k))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (count(i) - count(i + dim)).cast("double"))
+
+    return normalize(bind(places, sums))
 
 
 def embed(rows: DataFrame, text_col: str, embedder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, dim: int = 64) -> DataFrame:

@@ -215,7 +215,7 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, m = I.candidates(spark, sf_dir), F.col("source_method")
     best = rows.filter(fusion.is_vector(m)).groupBy("file_name").agg(F.max("similarity_score").alias("best"))
     named = rows.filter(fusion.is_database(m)).select("file_name").distinct()
-    return named.join(best, "file_name", "left").select("file_name", "best", F.when(F.col("best").isNull(), "missing").otherwise(vector.band(F.col("best"))).alias("band"))
+    return named.join(best.hint("merge"), "file_name", "left").select("file_name", "best", F.when(F.col("best").isNull(), "missing").otherwise(vector.band(F.col("best"))).alias("band"))
 
 
 @register("a24_conversion_statistics", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars, round(avg(length(html)), 6) AS mean, count(*) FILTER (length(html) < 1500) AS small FROM pages GROUP BY 1")
@@ -292,7 +292,7 @@ def a40(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a46_indexed_rows", f"{K}, w AS (SELECT DISTINCT file_name FROM chunks WHERE doc_id % 3 = 0) SELECT file_name, count(*) AS n FROM chunks WHERE file_name IN (SELECT file_name FROM w) GROUP BY 1")
 def a46(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.chunks(spark, sf_dir)
-    return rows.join(rows.filter("doc_id % 3 = 0").select("file_name"), "file_name", "left_semi").groupBy("file_name").agg(F.count("*").alias("n"))
+    return rows.join(rows.filter("doc_id % 3 = 0").select("file_name").hint("merge"), "file_name", "left_semi").groupBy("file_name").agg(F.count("*").alias("n"))
 
 
 @register("a48_pending_queue", "SELECT lang AS format, count(*) AS files, round(sum(n_chars) / 1000000, 6) AS mb FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
@@ -321,7 +321,7 @@ def l05(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = read(spark, sf_dir, "documents").select(name.alias("path"), name.alias("file_name"), "doc_id")
     held = scan.filter("doc_id % 11 <> 0").select(F.col("path").alias("file_path"), "file_name")
     gone = lifecycle.missing_in_index(scan, held).select("path", F.lit(True).alias("gone"))
-    marked = scan.join(gone, "path", "left")
+    marked = scan.join(gone.hint("merge"), "path", "left")
     return marked.agg(F.count("*").alias("files"), F.count("gone").alias("missing"), F.round(100 * F.count_if(F.col("gone").isNull()) / F.count("*"), 6).alias("success"))
 
 
@@ -469,16 +469,17 @@ def f54(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("r05_strategy_search")
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword search for all queries of the benchmark, then hashed-embedding search for those that need it."""
+    """Keyword search for all queries of the benchmark, then hashed-embedding search of all chunks for those that need it."""
+    place = F.shiftleft(F.col("doc_id"), 24) + F.col("chunk_index")
     chunks = I.chunks(spark, sf_dir)
-    vectors = vector.embed(chunks.filter("chunk_index = 0").select(F.col("doc_id").alias("id"), "text"), "text", dim=16).drop("text")
+    vectors = written(vector.embed(chunks.filter("text <> ''").select(place.alias("id"), "text"), "text", dim=64).drop("text"))
 
     def by_word(asked: DataFrame) -> DataFrame:
-        return keyword.exact_search(asked, chunks).select("query_id", F.col("doc_id").alias("id"), "score", F.lit("database_exact").alias("source_method"))
+        return keyword.exact_search(asked, chunks).select("query_id", place.alias("id"), "score", F.lit("database_exact").alias("source_method"))
 
     def by_vector(asked: DataFrame) -> DataFrame:
-        found = vector.exact_top_k(vector.embed(asked.select("query_id", "query"), "query", dim=16), vectors, 50)
-        joined = found.join(asked.select("query_id", "top_k", "threshold"), "query_id").filter("rank <= top_k AND score >= threshold")
+        found = written(vector.exact_top_k(vector.embed(asked.select("query_id", "query"), "query", dim=64), vectors, 50))
+        joined = found.join(asked.select("query_id", "top_k", "threshold").hint("merge"), "query_id").filter("rank <= top_k AND score >= threshold")
         return joined.select("query_id", "id", "score", F.lit("vector_search").alias("source_method"))
 
     planned = retrieval.plan(I.search_queries(spark, sf_dir))

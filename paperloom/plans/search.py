@@ -425,4 +425,4 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.candidates(spark, sf_dir)
     a = rows.filter("source_method = 'hybrid'").select("file_name").distinct().withColumn("a", F.lit(True))
     b = rows.filter("similarity_score > 0.9").select("file_name").distinct().withColumn("b", F.lit(True))
-    return a.join(b, "file_name", "full_outer").select("file_name", F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"))
+    return a.join(b.hint("merge"), "file_name", "full_outer").select("file_name", F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"))

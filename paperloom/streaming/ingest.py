@@ -80,7 +80,7 @@ def run_uploads(spark: SparkSession, source: str, schema, sink: str, checkpoint:
 def new_uploads(stream: DataFrame, registry: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Uploads (ts, file_hash, …) whose content neither came within ``delay`` nor is in the registry."""
     fresh = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_hash"])
-    return fresh.join(registry.select("file_hash").distinct(), "file_hash", "left_anti")
+    return fresh.join(registry.select("file_hash").distinct().hint("merge"), "file_hash", "left_anti")
 
 
 def error_rates(events: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -6,12 +6,13 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom import registry
 from paperloom.functions import query as Q
-from paperloom.operators import chunking, evaluate, fusion, grams, keyword, lifecycle, search, validate, vector
+from paperloom.operators import chunking, evaluate, fusion, grams, keyword, lifecycle, retrieval, search, validate, vector
 from paperloom.params import ChunkParams
 
 CHUNKS = "chunk_id string, file_name string, chunk_index int, text string"
@@ -404,6 +405,32 @@ def test_chunk_types_are_counted_as_listed(spark, sf_dir):
     assert {(r.doc_id, r.chunk_type): r.n for r in registry.queries()["a42_chunk_types"](spark, sf_dir).collect()} == want
 
 
+def test_strategy_search_reaches_every_chunk(spark, sf_dir):
+    from paperloom.plans import inputs
+
+    planned = {r.query_id: r for r in retrieval.plan(inputs.search_queries(spark, sf_dir)).collect()}
+    chunks = inputs.chunks(spark, sf_dir).filter("text <> ''").withColumn("id", F.shiftleft("doc_id", 24) + F.col("chunk_index"))
+    held = vector.embed(chunks, "text", dim=64).select("id", "vec").collect()
+    matrix = np.array([r.vec for r in held], dtype=float)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    asked = {r.query_id: np.array(r.vec, dtype=float) for r in vector.embed(spark.createDataFrame([(i, p.query) for i, p in planned.items()], "query_id long, query string"), "query", dim=64).collect()}
+    got, by_word = {}, Counter()
+    for r in registry.queries()["r05_strategy_search"](spark, sf_dir).collect():
+        if r.source_method == "vector_search":
+            got.setdefault(r.query_id, []).append(r.score)
+        else:
+            by_word[r.query_id] += 1
+    assert any(i & 0xFFFFFF for i in (r.id for r in held)) and got
+    for i, p in planned.items():
+        scores = np.sort(matrix @ asked[i] / np.linalg.norm(asked[i]))[::-1]
+        want = [s for s in scores[: min(50, p.top_k)] if s >= p.threshold]
+        if p.strategy == "database_priority" and by_word[i] >= retrieval.ENOUGH_DATABASE_HITS:
+            want = []
+        elif not want and not by_word[i]:
+            want = [s for s in scores[: min(50, 2 * p.top_k)] if s >= 0]
+        assert np.allclose(sorted(got.get(i, []), reverse=True), want, atol=2e-6)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_other_queries_run(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
