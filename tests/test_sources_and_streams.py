@@ -3,10 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from paperloom import registry
 from paperloom.sources import files, tree
 from paperloom.sources.bucket_table import BucketTable
 from paperloom.streaming import ingest
@@ -188,3 +191,36 @@ def test_tree_sink_and_its_scans(spark, tmp_path):
     assert run() == ["a.md", "d.md", "e.md"]
     with pytest.raises(ValueError, match="metadata"):
         tree.DocumentTree({"path": root}).writer(spark.createDataFrame([], "folder string, file_name string, text string").schema, False)
+
+
+def _most_tasks(spark, group):
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s)
+
+
+def test_stream_of_small_files_takes_few_tasks(spark, sf_dir):
+    """A batch of the 200 files was listed with a task for each."""
+    runs = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            runs.append(str(event.runId))
+
+        def onQueryProgress(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    try:
+        rows = registry.queries()["t01_markdown_stream"](spark, sf_dir)
+        while not runs:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert _most_tasks(spark, runs[0]) <= 64
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").count()
+    assert spark.conf.get("spark.sql.files.openCostInBytes").lower() in ("4194304", "4194304b", "4mb")
