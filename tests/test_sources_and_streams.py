@@ -224,3 +224,14 @@ def test_stream_of_small_files_takes_few_tasks(spark, sf_dir):
     assert _most_tasks(spark, runs[0]) <= 64
     assert rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''").count()
     assert spark.conf.get("spark.sql.files.openCostInBytes").lower() in ("4194304", "4194304b", "4mb")
+
+
+@pytest.mark.parametrize("name", ["s01_markdown_scan", "s02_raw_scan", "s04_sidecars", "s05_numbered_folders", "s06_pending_files"])
+def test_scans_of_small_files_take_few_tasks(spark, sf_dir, name):
+    """Scans of the 200 files read 32 a task: a task for each core will do."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        registry.queries()[name](spark, sf_dir).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert _most_tasks(spark, name) <= spark.sparkContext.defaultParallelism
