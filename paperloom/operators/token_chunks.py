@@ -6,6 +6,7 @@ each with the space before it; that bounds it for tokenizers that start anew at
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,7 @@ def tokenizer_counter(path: str) -> Callable[[], Count]:
     """Tokens of a tokenizer file that every worker finds at ``path``."""
 
     def make() -> Count:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -39,17 +41,18 @@ def tokenizer_counter(path: str) -> Callable[[], Count]:
 
 
 class _Sizes:
-    """Token bounds of texts from a memo of their words: a task counts a word once, until the memo holds ``MEMO`` characters and starts anew."""
+    """Token bounds of texts from a memo of their words: a task counts a word once, until the memo holds ``MEMO`` characters, some 200 MB, and starts anew."""
 
-    MEMO = 20_000_000
+    MEMO = 5_000_000
 
     def __init__(self, count: Count):
         self.count, self.alone, self.spaced, self.runs, self.held = count, {}, {}, {}, 0
 
-    def _learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[str]) -> None:
+        """Count the words of some texts that the memo lacks, together; only theirs are looked up."""
         if self.held > self.MEMO:
             self.alone, self.spaced, self.held = {}, {}, 0
-        new = list({w for t in texts for w in t.split()} - self.spaced.keys())
+        new = list({w for t in texts for w in t.split() if w not in self.spaced})
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             n = self.count(some + [" " + w for w in some])
@@ -67,7 +70,7 @@ class _Sizes:
 
     def __call__(self, texts: list[str], before: str) -> list[int]:
         """The bound of each text, with or without the separator before it."""
-        self._learn(texts)
+        self.learn(texts)
         first = 0 if before == " " else self._space(before)
         out = []
         for t in texts:
@@ -115,6 +118,16 @@ def _runs(parts: list[tuple[str, int]], size: int, overlap: int = 0) -> list[lis
     return [*runs, open_] if open_ else runs
 
 
+def _in_groups(batch: pd.Series, texts_of: Callable, sizes: _Sizes, one: Callable) -> pd.Series:
+    """``one`` of each row, the words of 64 rows counted together, as a call of the tokenizer costs more than a word."""
+    out = []
+    for i in range(0, len(batch), 64):
+        rows = batch.iloc[i : i + 64]
+        sizes.learn([t for row in rows if row is not None for t in texts_of(row)])
+        out += map(one, rows)
+    return pd.Series(out, index=batch.index, dtype=object)
+
+
 def token_sentences(docs: DataFrame, make: Callable[[], Count] = word_counter, params: ChunkParams = CHUNK, text_col: str = "text") -> DataFrame:
     """Sentences packed into chunks of up to ``size`` tokens, each beginning with the last sentences of up to ``overlap`` tokens of the one before.
 
@@ -132,9 +145,9 @@ def token_sentences(docs: DataFrame, make: Callable[[], Count] = word_counter, p
             return [{"text": " ".join(t for t, _ in run), "tokens": sum(n for _, n in run)} for run in _runs(parts, params.size, params.overlap)]
 
         for batch in batches:
-            yield batch.map(one)
+            yield _in_groups(batch, lambda row: row, sizes, one)
 
-    rows = docs.withColumn("_chunks", packed(sentences(F.col(text_col))))
+    rows = docs.withColumn("_chunks", packed.asNondeterministic()(sentences(F.col(text_col))))  # else a filter of empty lists packs all a second time
     rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "_c"))
     return rows.withColumn("chunk_text", F.col("_c.text")).withColumn("tokens", F.col("_c.tokens")).drop("_chunks", "_c")
 
@@ -177,8 +190,8 @@ def token_blocks(docs: DataFrame, make: Callable[[], Count] = word_counter, size
             return out + list(chunks(heading, held))
 
         for batch in batches:
-            yield batch.map(one)
+            yield _in_groups(batch, lambda row: [b["text"] for b in row], sizes, one)
 
-    rows = docs.withColumn("_chunks", packed(markdown_blocks(F.col(text_col))))
+    rows = docs.withColumn("_chunks", packed.asNondeterministic()(markdown_blocks(F.col(text_col))))
     rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "_c"))
     return rows.select("*", F.col("_c.heading").alias("parent_heading"), chunk_type(F.col("_c.kinds")).alias("chunk_type"), F.col("_c.text").alias("chunk_text"), F.col("_c.tokens").alias("tokens")).drop("_chunks", "_c")

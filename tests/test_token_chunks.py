@@ -86,6 +86,35 @@ def test_blocks_are_cut_and_neighbours_merged(spark, byte_bpe):
     assert re.sub(r"\s+|One\n|Two\n", "", "".join(x.chunk_text for x in of("One"))).count("longword") == 60
 
 
+class _Looked(dict):
+    """A memo that may be looked up but not walked."""
+
+    def keys(self):
+        raise AssertionError("the whole memo is walked")
+
+    __iter__ = keys
+
+
+def test_a_text_looks_up_its_own_words_alone():
+    """Every text walked the whole memo, so a task's time grew with the square of its words."""
+    calls = []
+
+    def count(texts):
+        calls.append(len(texts))
+        return [len(t.split()) for t in texts]
+
+    sizes = tc._Sizes(count)
+    sizes.spaced = _Looked()
+    assert sizes(["a b c", "c d"], " ") == [3, 2] and sizes(["d a", ""], " ") == [2, 0]
+    assert calls == [8]
+
+
+@pytest.mark.parametrize("chunker", [tc.token_sentences, tc.token_blocks])
+def test_texts_are_packed_once(spark, chunker):
+    plan = chunker(spark.createDataFrame([(1, "a. b.")], "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1, plan
+
+
 def test_registered_chunks_hold_every_word(spark, sf_dir):
     words = registry.queries()["c01_token_sentences"](spark, sf_dir)
     assert words.filter("tokens > 512").isEmpty()
