@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,12 @@ def clean_json(values: Column, limit: int = 1000) -> Column:
     No built-in rewrites values of an unknown shape, so batches go through Python.
     """
 
+    return F.arrow_udf("string")(_cleaner(limit))(values)
+
+
+def _cleaner(limit: int):
+    """Of a batch, which has up to 64 MB, 200 texts and their parts are held at once."""
+
     def plain(v):
         if isinstance(v, str):
             return v.replace("\0", "")[:limit]
@@ -83,8 +90,9 @@ def clean_json(values: Column, limit: int = 1000) -> Column:
         except (TypeError, ValueError, RecursionError):
             return None
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(one).astype(object)
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for i in range(0, len(batch), 200):
+                yield pa.array([one(x.as_py()) for x in batch.slice(i, 200)], pa.string())
 
-    return cleaned(values)
+    return cleaned

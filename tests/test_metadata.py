@@ -55,3 +55,18 @@ def test_cleaning_cuts_values_and_keeps_keys(spark):
     got = [x.c for x in spark.createDataFrame(rows, "m string").select(metadata.clean_json(F.col("m"), 5).alias("c")).collect()]
     assert json.loads(got[0]) == {long: ["abcde", {"x": "é" * 5, "n": 12345678901234567890, "f": 1.5, "z": None}], "t": True}
     assert got[1:5] == [None] * 4 and got[5] == '"abcde"'
+
+
+def test_cleaning_holds_a_part_of_a_batch():
+    """A batch's texts were all held as Python strings, before and after."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array([json.dumps({"n": i, "text": "x" * 5000}) for i in range(4000)] + [None, "no json", "[]"])
+    tracemalloc.start()
+    out = [(len(part), part[0].as_py()) for part in metadata._cleaner(1000)(iter([batch, batch.slice(0, 0)]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in out) == len(batch) and json.loads(out[0][1]) == {"n": 0, "text": "x" * 1000}
+    assert peak < 4 << 20, peak
