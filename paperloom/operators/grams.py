@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BLOCK_BITS = 14
 BROADCAST_PAIRS = 1 << 20
 #: Characters of asked strings up to which their grams are broadcast.
 BROADCAST_CHARS = 4 << 20
+#: Bytes of text or of posting lists that a task works on at once.
+SLICE_BYTES = 2 << 20
 _POSTINGS = "gram long, block long, n int, places binary"
 
 
@@ -63,6 +66,17 @@ def inverted(numbers: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndar
     return gram[head], block[head], [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.diff([*head, len(gram)])
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has up to ``SLICE_BYTES`` in a column of strings, or one row: working arrays are many times a batch's size."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def build(chunks: DataFrame, path: str | None = None) -> GramIndex:
     """Write the index of ``chunks`` (chunk_id, file_name, chunk_index, text) below ``path``, or a new shared folder.
 
@@ -76,7 +90,7 @@ def build(chunks: DataFrame, path: str | None = None) -> GramIndex:
     stored = written(dealt, f"{path}/chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             gram, block, places, n = inverted(batch.column(0).to_numpy(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(n, pa.int32()), pa.array(places, pa.binary())], ["gram", "block", "n", "places"])
 
@@ -106,34 +120,27 @@ def string_grams(strings: DataFrame) -> DataFrame:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(string, ord) of chunks that have all grams of a string, from posting rows sorted by string and block: a chunk is counted once a gram."""
-    held: list[tuple] = []
-
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        key = {}
-        group = np.array([key.setdefault((s, b), len(key)) for s, b, *_ in rows])
-        lists = [np.cumsum(np.frombuffer(p, "<u2"), dtype=np.int64) for *_, p in rows]
-        code = np.concatenate(lists) + np.repeat(group << BLOCK_BITS, [len(x) for x in lists])
-        code, n = np.unique(code, return_counts=True)
-        need = np.zeros(len(key), np.int64)
-        need[group] = [r[2] for r in rows]
-        code = code[n == need[code >> BLOCK_BITS]]
-        names = list(key)
-        strings = pa.array([names[g][0] for g in (code >> BLOCK_BITS).tolist()], pa.string())
-        blocks = np.array([b for _, b in names], np.int64)
-        return pa.RecordBatch.from_arrays([strings, pa.array((blocks[code >> BLOCK_BITS] << BLOCK_BITS) + (code & ((1 << BLOCK_BITS) - 1)))], ["string", "ord"])
-
-    for batch in batches:
-        rows = held + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        if not rows:
-            continue
-        cut = len(rows)  # the last group may go on in the next batch
-        while cut and rows[cut - 1][:2] == rows[-1][:2]:
-            cut -= 1
-        held = rows[cut:]
-        if cut:
-            yield found(rows[:cut])
-    if held:
-        yield found(held)
+    key, need, met = None, 0, np.zeros(1 << BLOCK_BITS, np.int64)
+
+    def found() -> tuple[list[str], np.ndarray]:
+        places = np.flatnonzero(met == need) if key else np.zeros(0, np.int64)
+        return ([key[0]] * len(places), (key[1] << BLOCK_BITS) + places) if key else ([], places)
+
+    for batch in slices(batches, 3):
+        strings, ords = [], []
+        for string, block, n, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (string, block) != key:  # a group may go on from the batch before
+                own = found()
+                strings += own[0]
+                ords.append(own[1])
+                key, need = (string, block), n
+                met[:] = 0
+            met[np.cumsum(np.frombuffer(places, "<u2"), dtype=np.int64)] += 1  # a list has a place once
+        if strings:
+            yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(np.concatenate(ords))], ["string", "ord"])
+    strings, ords = found()
+    if strings:
+        yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(ords)], ["string", "ord"])
 
 
 def candidates(index: GramIndex, grams: DataFrame, hint: str) -> DataFrame:

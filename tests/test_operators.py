@@ -434,3 +434,36 @@ def test_strategy_search_reaches_every_chunk(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_other_queries_run(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_posting_lists_of_frequent_grams_are_counted_one_by_one():
+    """All lists of a batch were laid side by side as numbers of eight bytes and sorted."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from paperloom.operators import grams
+
+    full = np.r_[0, np.ones((1 << grams.BLOCK_BITS) - 1, int)].astype("<u2").tobytes()  # every chunk of the block
+    half = np.r_[0, np.full((1 << grams.BLOCK_BITS - 1) - 1, 2)].astype("<u2").tobytes()  # every other one
+    rows = [(f"s{i // 100:02}", 0 if i % 100 < 50 else 3, 50, half if i % 50 == 49 else full) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["string", "block", "n_grams", "places"])
+    tracemalloc.start()
+    got = 0
+    for part in grams._common(iter([batch.slice(0, 333), batch.slice(333)])):
+        assert (part.column("ord").to_numpy() % 2 == 0).all()
+        got += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 20 << grams.BLOCK_BITS - 1
+    assert peak < 16 << 20, peak
+
+
+def test_texts_are_inverted_some_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from paperloom.operators import grams
+
+    texts = ["x" * n for n in (5, 0, 3 << 20, 1 << 20, 1 << 20, 7)] + [None]
+    parts = list(grams.slices(iter([pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["ord", "text"])]), 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5, 6]]
