@@ -385,6 +385,49 @@ def test_classes_of_drifting_families_against_brute_force(spark, docs):
     assert all(want[i] == want[j] for i in got for j in got if got[i] == got[j])
 
 
+@pytest.mark.parametrize("size", [3, 512])
+def test_tiles_hold_each_pair_apart_once(size):
+    r = np.random.default_rng(4)
+    for n in (0, 1, 7, 60, 400):
+        value, root = r.integers(0, max(1, n // 12), n).astype(np.uint64), r.integers(0, 4, n)
+        got = []
+        for own, other in passages.tiles(value, root, size):
+            rows = np.concatenate([own, other])
+            got += [tuple(sorted((int(rows[a]), int(rows[b])))) for x, y in passages.tile_pairs(value[rows], root[rows], len(own)) for a, b in zip(x, y, strict=True)]
+        want = [(a, b) for a in range(n) for b in range(a + 1, n) if value[a] == value[b] and root[a] != root[b]]
+        assert sorted(got) == want
+
+
+def test_no_similar_stretch_is_passed_over():
+    r, yes, no = random.Random(12), 0, 0
+    for turn in range(400):
+        letters = r.choice((3, 8, 40))
+        a = [r.randrange(letters) for _ in range(r.randint(4, 14))]
+        b = [x if r.random() < 0.8 else 100 + r.randrange(9) for x in a] if turn % 2 else [r.randrange(2 * letters) for _ in range(12)]
+        cuts = [[(i, j) for i in range(len(x)) for j in range(i + 6, len(x) + 1)] for x in (a, b)]
+        sets = [[set(x[i:j]) for i, j in c] for x, c in zip((a, b), cuts, strict=True)]
+        similar = [c for c, x in zip(cuts[0], sets[0], strict=True) if any(len(x & y) / len(x | y) >= 0.75 for y in sets[1])]
+        held = passages.zones(np.array(a, np.uint64), np.unique(np.array(b, np.uint64)), 6, 0.75)
+        assert all(any(x <= i and j <= y for x, y in held) for i, j in similar), (a, b)
+        yes, no = yes + bool(similar), no + (not held)
+    assert yes > 50 and no > 50
+    pieces = passages.around(np.arange(100), np.array([3, 40, 41, 90]), 10)
+    assert [(a, x.tolist()) for a, x in pieces] == [(0, list(range(14))), (30, list(range(30, 52))), (80, list(range(80, 100)))]
+
+
+def test_a_large_group_loses_no_link(spark, docs):
+    """Two documents hold a passage whole, far from each other among many that hold parts below the threshold."""
+    rows, n = [], 60
+    for g in range(3):
+        p = prose(54, 70_000 + g).split()
+        for i in range(n):
+            a = (0, 6, 12)[i % 3]
+            x = p if i in (17, 50) else p[a : a + 42]
+            rows.append((100 * g + i, f"{prose(30, 80_000 + 100 * g + i)} {' '.join(x)} {prose(20, 90_000 + 100 * g + i)}"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.passage_classes(docs(rows)).collect()}
+    assert got == {i: (i - i % 100 + 17, 1) if i % 100 in (17, 50) else (i, 0) for i, _ in rows}
+
+
 def test_odd_passages(spark, docs):
     """Very long texts, ties in ids, and columns of the operator's own names."""
     long, passage = prose(60_000, 70), prose(60, 71)
