@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import SEARCH, SearchParams
 from . import vrn
-from .text import bordered, stripped, words
+from .text import bind, bordered, stripped, words
 
 #: Words without search value, in two variants.
 STOP_WORDS = tuple(
@@ -177,26 +177,29 @@ def intent(query: Column) -> Column:
 def entity(query: Column) -> Column:
     """Struct (entity, confidence, method, alternatives): the most confident name-like candidate; the whole query at 0.3 if there is none."""
 
-    def candidates(form: str, group: int, base: float, rank: int) -> Column:
+    def candidates(q: Column, low: Column, form: str, group: int, base: float, rank: int) -> Column:
         def one(m: Column, i: Column) -> Column:
-            place = F.instr(F.lower(query), F.lower(m)) - 1
-            c = F.lit(base) + F.when(F.size(F.split(m, r"\s+")) > 1, 0.1).otherwise(0.0) - F.when(F.length(m) > F.length(query) * 0.8, 0.2).otherwise(0.0)
-            c = c + F.when(place >= 0, (F.lit(1.0) - place / F.length(query)) * 0.1).otherwise(0.0)
+            place = F.instr(low, F.lower(m)) - 1
+            c = F.lit(base) + F.when(F.size(F.split(m, r"\s+")) > 1, 0.1).otherwise(0.0) - F.when(F.length(m) > F.length(q) * 0.8, 0.2).otherwise(0.0)
+            c = c + F.when(place >= 0, (F.lit(1.0) - place / F.length(q)) * 0.1).otherwise(0.0)
             return F.struct(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 9).alias("confidence"), (-F.lit(rank) * 10_000 - i).alias("order"), m.alias("entity"))
 
-        found = F.filter(F.regexp_extract_all(query, F.lit(bordered(form)), F.lit(group)), lambda m: ~m.isin(*QUESTION_WORDS))
+        found = F.filter(F.regexp_extract_all(q, F.lit(bordered(form)), F.lit(group)), lambda m: ~m.isin(*QUESTION_WORDS))
         return F.transform(found, one)
 
-    every = F.concat(*(candidates(f, g, b, i) for i, (f, g, b) in enumerate(ENTITY_FORMS)))
-    best = F.array_max(every)
-    none = F.size(every) == 0
-    others = F.transform(F.filter(every, lambda c: (c["entity"] != best["entity"]) & (c["confidence"] > 0.5)), lambda c: c["entity"])
-    return F.struct(
-        F.when(none, F.trim(query)).otherwise(best["entity"]).alias("entity"),
-        F.when(none, 0.3).otherwise(best["confidence"]).alias("confidence"),
-        F.when(none, "regex_fallback").otherwise("regex").alias("method"),
-        others.alias("alternatives"),
-    )
+    def chosen(q: Column, every: Column, best: Column) -> Column:
+        none = F.size(every) == 0
+        others = F.transform(F.filter(every, lambda c: (c["entity"] != best["entity"]) & (c["confidence"] > 0.5)), lambda c: c["entity"])
+        return F.struct(
+            F.when(none, F.trim(q)).otherwise(best["entity"]).alias("entity"),
+            F.when(none, 0.3).otherwise(best["confidence"]).alias("confidence"),
+            F.when(none, "regex_fallback").otherwise("regex").alias("method"),
+            others.alias("alternatives"),
+        )
+
+    every = lambda q, low: F.concat(*(candidates(q, low, f, g, b, i) for i, (f, g, b) in enumerate(ENTITY_FORMS)))
+    # each step is bound: the candidates are found once, not once for each use and each candidate
+    return bind(query, lambda q: bind(bind(F.lower(q), lambda low: every(q, low)), lambda e: bind(F.array_max(e), lambda best: chosen(q, e, best))))
 
 
 def best_entity(results: Column, good: float = 0.7) -> Column:

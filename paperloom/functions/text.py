@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,13 @@ BORDER = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{
 
 
 def bordered(form: str) -> str:
-    """A form with its word borders spelled out; a border before a digit is only looked for at digits."""
-    return form.replace(r"\b\d", r"(?=\d)\b\d").replace(r"\b", BORDER)
+    """A form with its word borders spelled out; a border before a digit or a capital is only looked for there."""
+    return form.replace(r"\b\d", r"(?=\d)\b\d").replace(r"\b[A-Z]", r"(?=[A-Z])\b[A-Z]").replace(r"\b", BORDER)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
 
 #: File types of converted documents.

@@ -74,6 +74,16 @@ def test_entities(spark):
     assert one(spark, Q.validate_entity(F.col("e"), F.col("q")), e="find it", q="find it now").confidence == 0.1
 
 
+def test_entity_searches_each_form_once(spark):
+    plan = spark.range(1).select(Q.entity(F.concat("id", F.lit(" Ann Lee"))).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(Q.ENTITY_FORMS)
+
+
+def test_borders_before_capitals(spark):
+    text = "Ann saw éAbe, _Cy Lee-Ann and x Öl 5Bo (Di"
+    assert one(spark, F.regexp_extract_all(F.col("q"), F.lit(T.bordered(r"\b[A-Z][a-z]+\b")), F.lit(0)), q=text) == ["Ann", "Lee", "Ann", "Di"]
+
+
 def test_rewrites(spark):
     assert one(spark, Q.rewrites(F.col("q")), q="Tell me about Ann") == ["Tell me about Ann", "ann", "information about ann", "details about ann"]
     assert one(spark, Q.rewrites(F.col("q")), q="blue van") == ["blue van", "blue van information", "blue van details", "blue van documents"]
