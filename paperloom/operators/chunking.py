@@ -34,39 +34,38 @@ def packed_sentences(docs: DataFrame, params: ChunkParams = CHUNK, text_col: str
 
     A sentence of more words is a chunk to itself.  The fold runs inside each row.
     """
-    state = "struct<done:array<array<string>>,open:array<string>,n:int>"
+    state = "struct<done:array<array<struct<s:string,n:int>>>,open:array<struct<s:string,n:int>>,n:int>"
     empty = F.from_json(F.lit('{"done":[],"open":[],"n":0}'), state)
-    count = lambda s: F.size(F.split(s, r"\s+"))
+    counted = F.transform(sentences(F.col(text_col)), lambda s: F.struct(s.alias("s"), F.size(F.split(s, r"\s+")).alias("n")))  # words are counted once a sentence
+    total = lambda ss: F.aggregate(ss, F.lit(0), lambda a, x: a + x["n"])
 
     def tail(open_: Column) -> Column:
         """The last sentences that fit the overlap."""
-        start = F.from_json(F.lit('{"kept":[],"n":0,"full":false}'), "struct<kept:array<string>,n:int,full:boolean>")
+        start = F.from_json(F.lit('{"kept":[],"n":0,"full":false}'), "struct<kept:array<struct<s:string,n:int>>,n:int,full:boolean>")
 
-        def back(acc: Column, s: Column) -> Column:
-            fits = ~acc["full"] & (acc["n"] + count(s) <= params.overlap)
+        def back(acc: Column, x: Column) -> Column:
+            fits = ~acc["full"] & (acc["n"] + x["n"] <= params.overlap)
             return F.struct(
-                F.when(fits, F.concat(F.array(s), acc["kept"])).otherwise(acc["kept"]).alias("kept"),
-                F.when(fits, acc["n"] + count(s)).otherwise(acc["n"]).alias("n"),
+                F.when(fits, F.concat(F.array(x), acc["kept"])).otherwise(acc["kept"]).alias("kept"),
+                F.when(fits, acc["n"] + x["n"]).otherwise(acc["n"]).alias("n"),
                 (~fits).alias("full"),
             )
 
         return F.aggregate(F.reverse(open_), start, back, lambda a: a["kept"])
 
-    def take(acc: Column, s: Column) -> Column:
-        over = (F.size(acc["open"]) > 0) & (acc["n"] + count(s) > params.size)
-        rest = tail(acc["open"])
-        kept = F.aggregate(rest, F.lit(0), lambda a, x: a + count(x))
-        rest = F.when(kept + count(s) > params.size, F.array().cast("array<string>")).otherwise(rest)
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.concat(rest, F.array(s))).otherwise(F.concat(acc["open"], F.array(s))).alias("open"),
-            F.when(over, F.aggregate(rest, F.lit(0), lambda a, x: a + count(x)) + count(s)).otherwise(acc["n"] + count(s)).alias("n"),
-        )
+    def take(acc: Column, x: Column) -> Column:
+        over = (F.size(acc["open"]) > 0) & (acc["n"] + x["n"] > params.size)
+        none = F.slice(acc["open"], 1, 0)
+        rest = T.bind(tail(acc["open"]), lambda kept: F.when(total(kept) + x["n"] > params.size, none).otherwise(kept))
+        closed = T.bind(rest, lambda r: F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), F.concat(r, F.array(x)).alias("open"), (total(r) + x["n"]).alias("n")))
+        grown = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(x)).alias("open"), (acc["n"] + x["n"]).alias("n"))
+        return F.when(over, closed).otherwise(grown)
 
     end = lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-    rows = docs.withColumn("_chunks", F.aggregate(sentences(F.col(text_col)), empty, take, end))
-    rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "_sentences"))
-    return rows.withColumn("chunk_text", F.array_join("_sentences", " ")).drop("_chunks", "_sentences")
+    rows = docs.withColumn("_chunks", F.aggregate(counted, empty, take, end))
+    # outer: of a plain one Spark infers a filter on the array, which would have each text packed again
+    rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "_sentences")).filter("chunk_index IS NOT NULL")
+    return rows.withColumn("chunk_text", F.array_join(F.transform("_sentences", lambda x: x["s"]), " ")).drop("_chunks", "_sentences")
 
 
 def markdown_blocks(text: Column) -> Column:
@@ -97,7 +96,8 @@ def structure_chunks(docs: DataFrame, max_words: int = CHUNK.size, text_col: str
         return F.struct(done.alias("done"), F.when(is_heading, F.regexp_replace(b["text"], "^#+ ", "")).otherwise(acc["heading"]).alias("heading"))
 
     rows = docs.withColumn("_chunks", F.aggregate(markdown_blocks(F.col(text_col)), empty, take, lambda a: a["done"]))
-    rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "_c")).drop("_chunks")
+    # outer: of a plain one Spark infers a filter on the array, which would have each text packed again
+    rows = rows.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "_c")).filter("chunk_index IS NOT NULL").drop("_chunks")
     body = F.array_join(F.col("_c.texts"), "\n\n")
     return rows.select(
         "*",
