@@ -40,6 +40,8 @@ def execute(planned: DataFrame, keyword: Search, vector: Search, enough: int = E
     open_ = judged.filter((F.col("strategy") != "database_priority") | (F.coalesce("_hits", F.lit(0)) < enough)).drop("_hits")
     found = hits.unionByName(written(vector(written(open_))), allowMissingColumns=True)
     empty = written(planned.join(found.select("query_id").distinct().hint("merge"), "query_id", "left_anti"))
+    if empty.isEmpty():
+        return found
     wider = empty.withColumn("top_k", F.least(F.lit(50), F.col("top_k") * 2)).withColumn("threshold", F.lit(0.0))
     return found.unionByName(vector(wider), allowMissingColumns=True)
 

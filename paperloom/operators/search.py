@@ -51,7 +51,8 @@ def search(queries: DataFrame, chunks: DataFrame, index: grams.GramIndex | None
     """
     index = index or grams.build(chunks)
     if vectors is None:
-        vectors = written(vector.embed(index.chunks.select(F.col("ord").alias("id"), "text"), "text", dim=dim).select("id", "vec"))
+        vectors = vector.embed(index.chunks.select(F.col("ord").alias("id"), "text"), "text", dim=dim).select("id", "vec")
+    shards = vector.sharded(vectors)
     planned = written(retrieval.plan(queries))
 
     def by_word(asked: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def search(queries: DataFrame, chunks: DataFrame, index: grams.GramIndex | None
         return candidate_rows(placed, asked, "database_hybrid", 0)
 
     def by_vector(asked: DataFrame) -> DataFrame:
-        found = written(vector.exact_top_k(vector.embed(asked.select("query_id", "query"), "query", dim=dim), vectors, 50))
+        found = written(vector.exact_top_k(vector.embed(asked.select("query_id", "query"), "query", dim=dim), None, 50, shards=shards))
         near = found.join(asked.select("query_id", "top_k", "threshold").hint("merge"), "query_id").filter("rank <= top_k AND score >= threshold")
         rows = near.join(index.chunks.withColumnRenamed("ord", "id").hint("merge"), "id")
         rows = rows.select("query_id", "chunk_id", "file_name", "chunk_index", "text", "score", F.lit(None).cast("string").alias("match_type"), F.lit(None).alias("occurrences"), F.col("rank").alias("place"))

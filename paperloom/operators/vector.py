@@ -8,10 +8,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..storage import written
 
 #: Bytes of a shard of vectors, of a block of queries, and of all blocks up to which these are broadcast.
@@ -22,11 +24,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: inside a lambda an outer expression would be computed for each element."""
-    return F.transform(F.array(value), lambda x: use(x))[0]
-
-
 def normalize(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
     scaled = lambda u, n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(F.transform(u, lambda x: x.cast("double")))
@@ -78,14 +75,20 @@ def packed(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
     return written(rows.filter(finite(F.col("vec"))).select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, _BLOCK))
 
 
-def exact_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, threshold: float | None = None) -> DataFrame:
+def sharded(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (id, vec) as the shards that ``exact_top_k`` reads, written once for any number of searches."""
+    return packed(chunks, "id", SHARD_BYTES).withColumnsRenamed({"ids": "c_ids", "data": "c_data", "block": "shard"})
+
+
+def exact_top_k(queries: DataFrame, chunks: DataFrame | None, k: int = 20, threshold: float | None = None, shards: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank: the ``k`` vectors of highest cosine for each query; ties to the smaller id.
 
     Blocks of queries meet shards of vectors, both bounded in bytes, as rows of a join; each pair gives its k best a query.  Blocks of up to
     ``BROADCAST_BYTES`` in all are broadcast to where the shards lie; beyond it a copy of each goes to each shard.  Any number of queries, of any
     lengths, is answered; a query meets the vectors of its own length.  Null vectors and null or non-finite components take no part.
+    ``shards``, made by ``sharded``, stand for ``chunks`` where they are given.
     """
-    shards = packed(chunks, "id", SHARD_BYTES).withColumnsRenamed({"ids": "c_ids", "data": "c_data", "block": "shard"})
+    shards = sharded(chunks) if shards is None else shards
     blocks = packed(queries, "query_id", BLOCK_BYTES).withColumnsRenamed({"ids": "q_ids", "data": "q_data"}).drop("block")
     if (blocks.agg(F.sum(F.octet_length("q_data"))).first()[0] or 0) <= BROADCAST_BYTES:
         pairs = shards.join(blocks.hint("broadcast"), "dim")
@@ -285,16 +288,33 @@ def result_rows(found: DataFrame, chunks: DataFrame, preview: int = 200) -> Data
     return found.join(own.hint("merge"), "id", "left").select("query_id", F.col("id").cast("string").alias("id"), "preview", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "score", "rank")
 
 
+def signed_counts(places: pa.Array, dim: int) -> pa.Array:
+    """From lists of places below 2 ``dim`` to lists of ``dim`` counts, those from ``dim`` on taken off, scaled to length 1; a null list gives nulls."""
+    values, empty, step = [], [], max(1, (1 << 20) // dim)
+    for at in range(0, len(places), step):
+        part = places.slice(at, step)
+        sizes = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(part)), sizes)
+        counts = np.bincount(row * 2 * dim + part.flatten().to_numpy(zero_copy_only=False), minlength=2 * dim * len(part)).reshape(-1, 2 * dim)
+        values.append(_unit((counts[:, :dim] - counts[:, dim:]).astype(np.float64)).ravel())
+        empty.append(np.repeat(part.is_null().to_numpy(zero_copy_only=False), dim))
+    flat = pa.array(np.concatenate(values), mask=np.concatenate(empty)) if values else pa.array([], pa.float64())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * dim, pa.int32()), flat)
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding without a model: signed counts of hashed words, scaled to length 1."""
+    """A deterministic embedding without a model: signed counts of hashed words, scaled to length 1.
+
+    Words are hashed by built-ins; counting them for each component there would read all words once a component, so Arrow batches do it in one pass.
+    """
     tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
     places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)))  # a component and a sign
 
-    def sums(p: Column) -> Column:
-        count = lambda k: F.size(F.filter(p, lambda x: x == k))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (count(i) - count(i + dim)).cast("double"))
+    @F.arrow_udf("array<double>")
+    def counted(batch: pa.Array) -> pa.Array:
+        return signed_counts(batch, dim)
 
-    return normalize(bind(places, sums))
+    return counted.asNondeterministic()(places)  # or a filter on the vector would have it computed again
 
 
 def embed(rows: DataFrame, text_col: str, embedder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, dim: int = 64) -> DataFrame:

@@ -18,6 +18,14 @@ from paperloom.params import ChunkParams
 CHUNKS = "chunk_id string, file_name string, chunk_index int, text string"
 
 
+def test_texts_are_packed_once(spark):
+    """Spark infers no filter that would pack the texts a second time, and sentences are counted once; texts without sentences have no row."""
+    docs = spark.createDataFrame([(1, "A b. C d."), (2, "")], "doc_id long, text string")
+    for rows, fold in ((chunking.packed_sentences(docs), r"\s+, -1"), (chunking.structure_chunks(docs), "aggregate(")):
+        assert [r.doc_id for r in rows.select("doc_id", "total_chunks", "chunk_text").collect()] == [1]
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count(fold) == 1
+
+
 def test_packed_sentences_cover_the_text(spark):
     r = random.Random(3)
     text = " ".join(" ".join("w" * r.randint(1, 5) for _ in range(r.randint(1, 30))) + "." for _ in range(60))
@@ -183,6 +191,29 @@ def test_embedding_hook(spark):
     assert math.isclose(sum(x * x for x in got[0]), 1.0) and sum(got[1]) == 0
 
 
+def test_hashed_embedding_counts_words(spark):
+    """Each word adds to one component what its hash says; a null text has no component; words are read once, not once a component."""
+    rows = spark.createDataFrame([("b a B c",), (None,), ("",), ("c c",)], "text string")
+    place = {r.w: r.p for r in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select("w", F.expr("pmod(xxhash64(w), 16)").alias("p")).collect()}
+    got = [r.vec for r in vector.embed(rows, "text", dim=8).collect()]
+    for words, vec in (("babc", got[0]), ("", got[2]), ("cc", got[3])):
+        v = np.zeros(8)
+        for w in words:
+            v[place[w] % 8] += 1 if place[w] < 8 else -1
+        assert vec == (v / (np.sqrt(v @ v) or 1)).tolist()
+    assert got[1] == [None] * 8
+    plan = vector.embed(rows, "text", dim=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan
+
+
+def test_written_shards_serve_several_searches(spark):
+    rows = spark.range(50).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    asked = rows.filter("id < 5").withColumnRenamed("id", "query_id")
+    shards = vector.sharded(rows)
+    for k in (1, 3):
+        assert sorted(vector.exact_top_k(asked, None, k, shards=shards).collect()) == sorted(vector.exact_top_k(asked, rows, k).collect())
+
+
 def candidates(spark, rows):
     schema = "query_id long, query string, chunk_id string, file_name string, chunk_index int, full_content string, similarity_score double, source_method string, match_type string, database_strategy string, query_occurrences int, n_metadata int, arrival_ord long"
     return spark.createDataFrame(rows, schema)
