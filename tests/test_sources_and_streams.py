@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import pathlib
+import random
 import time
 
 import pytest
@@ -154,6 +155,24 @@ def test_first_uploads_outlive_restarts(spark, tmp_path):
     assert kept() == [(5, "a"), (6, "b"), (8, ""), (9, ""), (11, "c")]
 
 
+def test_first_uploads_of_many_contents(spark, tmp_path):
+    """Contents cost no call of Python each; copies over several batches, null hashes and null times are told as by a plain loop."""
+    r, schema, seen, want = random.Random(5), "id long, file_hash string, uploaded_at long", set(), []
+    at = lambda name: f"file://{tmp_path}/{name}"
+    for turn in range(3):
+        rows = [(turn * 1000 + i, r.choice([None, *(f"h{k}" for k in range(400))]), r.choice([None, 1, 2, 3])) for i in range(300)]
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(at("in"))
+        ingest.run_uploads(spark, at("in"), spark.createDataFrame([], schema).schema, at("sink"), at("check"))
+        for i, h, _ in sorted(rows, key=lambda x: (-1 if x[2] is None else x[2], x[0])):
+            if h is None or h not in seen:
+                want.append((i, h or ""))
+                seen.add(h)
+    assert sorted((x.id, x.file_hash or "") for x in spark.read.schema("id long, file_hash string").parquet(at("sink")).collect()) == sorted(want)
+    stream = ingest.counted_uploads(spark.readStream.schema(schema).parquet(at("in")))
+    plan = stream._jdf.queryExecution().logical().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_upload_dedupe_and_windows_on_streams(spark, tmp_path):
     at = dt.datetime(2024, 5, 1, 10, 0)
     rows = [(at + dt.timedelta(minutes=m), h, e) for m, h, e in ((0, "a", "x"), (1, "a", "x"), (2, "b", "y"), (70, "c", "x"))]
