@@ -7,7 +7,7 @@ its manifest is written whole, so a failed or repeated change leaves the table a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -52,28 +52,34 @@ class BucketTable:
 
         A ``version`` that is committed already is not written again, so a repeated batch of a stream changes nothing.
         """
-        from ..operators.lifecycle import latest
-
-        return self._change(latest(rows.filter(F.col(self.key).isNotNull()).select(*self.schema.names), self.key, order), True, version)
+        return self._change(rows.filter(F.col(self.key).isNotNull()).select(*self.schema.names), order, version)
 
     def delete(self, keys: DataFrame, version: int | None = None) -> int:
         """Remove the rows of ``keys`` (a column of the key's name)."""
-        return self._change(keys.filter(F.col(self.key).isNotNull()).select(self.key).distinct(), False, version)
+        return self._change(keys.filter(F.col(self.key).isNotNull()).select(self.key).distinct(), None, version)
+
+    def _change(self, rows: DataFrame, order: list[Column] | None, version: int | None) -> int:
+        """Write the buckets of ``rows`` anew: of a key in ``rows`` the first of them by ``order``, or nothing where that is None; held rows of other keys stay.
 
-    def _change(self, rows: DataFrame, keep: bool, version: int | None) -> int:
+        Rows are shuffled once, by bucket; those of a key meet there.
+        """
         known = self.versions()
         number = (known[-1] + 1 if known else 0) if version is None else version
         if number in known:
             return number
         if known and number < known[-1]:
             raise ValueError(f"version {number} is older than the last one, {known[-1]}")
-        fresh = written(rows.withColumn("bucket", self.bucket()))
-        touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets``
-        held = self.read(only=touched).withColumn("bucket", self.bucket())
-        stay = held.join(fresh.select("bucket", self.key).hint("merge"), ["bucket", self.key], "left_anti").select(*self.schema.names, "bucket")
-        after = stay.unionByName(fresh.select(*self.schema.names, "bucket")) if keep else stay
+        rows = rows.withColumn("bucket", self.bucket()).withColumn("_held", F.lit(False))
+        touched: set[int] = set()
+        if known:  # a first version has nothing to keep, so its rows needn't be read twice
+            rows = written(rows)
+            touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most ``buckets``
+            rows = rows.unionByName(self.read(only=touched).withColumn("bucket", self.bucket()).withColumn("_held", F.lit(True)), allowMissingColumns=True)
+        place = Window.partitionBy("bucket", self.key).orderBy("_held", *(order or []))
+        first = rows.repartition("bucket").withColumn("_n", F.row_number().over(place)).filter("_n = 1")
+        after = (first.filter("_held") if order is None else first).select(*self.schema.names, "bucket")
         data = f"{self.root}/data/v={number:08d}"
-        after.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)  # what a failed change left is written anew
+        after.write.mode("overwrite").partitionBy("bucket").parquet(data)  # what a failed change left is written anew
         paths = {b: p for b, p in self.manifest().items() if b not in touched} | {b: f"{data}/bucket={b}" for b in self._folders(data)}
         named = self.spark.createDataFrame(sorted(paths.items()), "bucket int, path string").coalesce(1)
         # a manifest without its mark is of a failed change; one with it is never written again

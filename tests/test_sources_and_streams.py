@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from paperloom import registry
+from paperloom import registry, storage
 from paperloom.sources import files, tree
 from paperloom.sources.bucket_table import BucketTable
 from paperloom.streaming import ingest
@@ -155,6 +155,29 @@ def test_first_uploads_outlive_restarts(spark, tmp_path):
     assert kept() == [(5, "a"), (6, "b"), (8, ""), (9, ""), (11, "c")]
 
 
+def test_bucket_table_as_a_dictionary(spark, tmp_path, monkeypatch):
+    """Changes at random against a plain dictionary; incoming rows are written before the table only where held rows must join them."""
+    steps = []
+    monkeypatch.setattr("paperloom.sources.bucket_table.written", lambda rows: steps.append(1) or storage.written(rows))
+    schema, r, want = "k string, v long", random.Random(3), {}
+    table = BucketTable(spark, f"file://{tmp_path}/t", spark.createDataFrame([], schema).schema, "k", 8)
+    for turn, n in enumerate((60, 20, 3, 0, 40)):
+        rows = [(r.choice([None, *(f"k{i}" for i in range(50))]), r.randrange(1000)) for _ in range(n)]
+        batch = spark.createDataFrame(rows, schema)
+        if turn == 2:
+            table.delete(batch)
+            want = {k: v for k, v in want.items() if k not in {k for k, _ in rows}}
+        else:
+            table.upsert(batch, [F.desc("v")])
+            best = {}
+            for k, v in rows:
+                if k is not None:
+                    best[k] = max(v, best.get(k, 0))
+            want |= best
+        assert len(steps) == turn
+        assert {x.k: x.v for x in table.read().collect()} == want and table.read().count() == len(want)
+
+
 def test_first_uploads_of_many_contents(spark, tmp_path):
     """Contents cost no call of Python each; copies over several batches, null hashes and null times are told as by a plain loop."""
     r, schema, seen, want = random.Random(5), "id long, file_hash string, uploaded_at long", set(), []
