@@ -44,6 +44,11 @@ def codes(points: np.ndarray) -> np.ndarray:
     return (p[:-2] << 42) | (p[1:-1] << 21) | p[2:]
 
 
+def _sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def inverted(numbers: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """(gram, block, packed places, how many) of the distinct grams of some texts with rising numbers."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -51,13 +56,22 @@ def inverted(numbers: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndar
     if len(points) < SIZE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
-    own = of[: -SIZE + 1] == of[SIZE - 1 :]  # no gram goes over the border of two texts
-    gram, doc = codes(points)[own], of[: -SIZE + 1][own]
-    order = np.argsort(gram, kind="stable")  # texts stay in order within a gram
-    gram, number = gram[order], numbers[doc[order]]
-    first = np.ones(len(gram), bool)
-    first[1:] = (gram[1:] != gram[:-1]) | (number[1:] != number[:-1])
-    gram, number = gram[first], number[first]
+    own = np.flatnonzero(of[: -SIZE + 1] == of[SIZE - 1 :])  # no gram goes over the border of two texts
+    held = np.zeros(int(points.max()) + 1, bool)
+    held[points] = True
+    letters, bits = np.flatnonzero(held), max(1, (len(texts) - 1).bit_length())
+    wide = max(1, (len(letters) - 1).bit_length())
+    if SIZE * wide + bits <= 63:  # a gram by the places of its letters, and its text, fit one number: plain numbers are sorted, many times faster than their order is found
+        p = (np.cumsum(held) - 1)[points]
+        pairs = (((p[:-2] << 2 * wide | p[1:-1] << wide | p[2:])[own]) << bits) | of[own]
+        pairs = _sorted_distinct(pairs)
+        key, low = pairs >> bits, (1 << wide) - 1
+        gram = (letters[key >> 2 * wide] << 42) | (letters[key >> wide & low] << 21) | letters[key & low]
+    else:
+        grams, at = np.unique(codes(points)[own], return_inverse=True)
+        pairs = _sorted_distinct(at << bits | of[own])
+        gram = grams[pairs >> bits]
+    number = numbers[pairs & ((1 << bits) - 1)]
     block, place = number >> BLOCK_BITS, (number & ((1 << BLOCK_BITS) - 1)).astype(np.int32)
     head = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])[: len(gram)])
     steps = np.diff(place, prepend=0)

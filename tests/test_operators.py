@@ -206,6 +206,22 @@ def test_hashed_embedding_counts_words(spark):
     assert "sequence" not in plan
 
 
+def test_grams_of_any_letters_are_inverted():
+    """Against a plain dictionary, with few letters and with so many that a gram and its text fit no one number; no order of whole texts is looked for."""
+    r = random.Random(1)
+    many = "".join(chr(0x4E00 + i) for i in range(20_000)) + "".join(chr(0x20000 + i) for i in range(40_000))
+    for texts in (["abcab", "", "bca", "x"], ["".join(r.choice("aéß\U0001F600b") for _ in range(r.randrange(20))) for _ in range(500)], [many, *map(str, range(70_000))]):
+        numbers = np.arange(len(texts)) * 3 + 16_000
+        want = {}
+        for n, t in zip(numbers.tolist(), texts, strict=True):
+            for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+                want.setdefault((ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]), n >> grams.BLOCK_BITS), []).append(n & ((1 << grams.BLOCK_BITS) - 1))
+        gram, block, places, n = grams.inverted(numbers, texts)
+        got = {(g, b): np.cumsum(np.frombuffer(p, "<u2"), dtype=np.int64).tolist() for g, b, p in zip(gram.tolist(), block.tolist(), places, strict=True)}
+        assert got == want and [len(got[k]) for k in zip(gram.tolist(), block.tolist(), strict=True)] == list(n) and sorted(got) == list(got)
+    assert "argsort" not in grams.inverted.__code__.co_names
+
+
 def test_written_shards_serve_several_searches(spark):
     rows = spark.range(50).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
     asked = rows.filter("id < 5").withColumnRenamed("id", "query_id")
