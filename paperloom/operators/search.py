@@ -68,10 +68,10 @@ def search(queries: DataFrame, chunks: DataFrame, index: grams.GramIndex | None
         return candidate_rows(rows, asked, "llamaindex_vector", 0).withColumn("arrival_ord", F.col("arrival_ord") + (1 << 62))  # after all of the first search
 
     hits = written(retrieval.execute(planned, by_word, by_vector))
-    unique = written(fusion.dedup_retrieved(hits))
-    name = Q.entity(F.col("query"))
-    entity = F.when(name["confidence"] > 0.7, name["entity"])
-    fused = written(fusion.fuse(unique, entity=entity, terms=F.coalesce(Q.required_terms(entity), F.array().cast("array<string>"))))
+    # fusion reads a query's entity and terms many times a row, so they are found once a row and written
+    unique = fusion.dedup_retrieved(hits).withColumn("_name", Q.entity(F.col("query"))).withColumn("_entity", F.when(F.col("_name.confidence") > 0.7, F.col("_name.entity"))).drop("_name")
+    unique = written(unique.withColumn("_terms", F.coalesce(Q.required_terms(F.col("_entity")), F.array().cast("array<string>"))))
+    fused = written(fusion.fuse(unique, entity=F.col("_entity"), terms=F.col("_terms")).drop("_entity", "_terms"))
     return Found(planned, hits, fused, fusion.rerank_gate(fused))
 
 
