@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -448,3 +449,53 @@ def test_kept_hash_of_query(spark, sf_dir):
     for i, (kept, spans) in want.items():
         assert (got[i].kept_sha256, got[i].n_spans) == (hashlib.sha256(kept).hexdigest(), len(spans))
         assert got[i].n_bytes - got[i].n_removed == len(kept)
+
+
+def test_pairs_of_windows_take_room_by_windows_not_by_their_product():
+    """Two documents that go on repeating themselves have a value at many places each, and each pair of places was a row."""
+    def rows(n):
+        doc = np.repeat([0, 1], n)
+        c = np.tile(np.arange(n) * 3 % 7 + np.arange(n) * 5, 2)
+        names = {"value": np.zeros(2 * n, np.uint64), "id": doc, "root": doc, "block": doc, "place": doc, "k": np.zeros(2 * n, np.uint8), "l": c, "c": c, "r": c + 4}
+        return {k: x.astype(np.int64) if k != "value" else x for k, x in names.items()}
+
+    sizes = []
+    for n in (200, 1600):
+        g = rows(n)
+        order, starts, lengths, x, y = passages.member_pairs(g, len(g["id"]))
+        made = list(passages.bundles(g, order, starts, lengths, x, y))
+        assert len(made) == 1 and made[0][:7] == (0, 1, 0, 1, 0, 1, 1)
+        sizes.append(sum(len(v) for v in made[0][7:]))
+        a, b = passages.unpack_windows(made[0][7], 5), passages.unpack_windows(made[0][8], 2)
+        assert (a[2] == np.sort(g["c"][:n])).all() or sorted(a[3].tolist()) == sorted(g["c"][:n].tolist())
+        assert sorted(b[1].tolist()) == sorted(g["c"][n:].tolist())
+    assert sizes[1] <= 10 * sizes[0]
+
+
+def test_bundles_hold_every_pair_of_windows_apart():
+    r = np.random.default_rng(9)
+    for n in (1, 8, 60, 300):
+        g = {"value": r.integers(0, max(1, n // 12), n).astype(np.uint64), "id": r.integers(0, 9, n)}
+        g |= {"root": g["id"] // 2, "block": g["id"] % 3, "place": g["id"], "k": (g["value"] % np.uint64(8)).astype(np.uint8), "c": np.arange(n), "l": np.arange(n), "r": np.arange(n)}
+        got = []
+        for own, other in passages.tiles(g["value"], g["root"], 16):
+            part = {k: x[np.concatenate([own, other])] for k, x in g.items()}
+            for a_id, b_id, *_, bits, a, b in passages.bundles(part, *passages.member_pairs(part, len(own))):
+                a, b = passages.unpack_windows(a, 5), passages.unpack_windows(b, 2)
+                assert a_id < b_id and bits == np.bitwise_or.reduce(1 << a[1])
+                got += [(int(a[3][i]), int(b[1][j])) for i, j in zip(*np.nonzero(a[0][:, None] == b[0][None]), strict=True)]
+        want = [(i, j) for i in range(n) for j in range(n) if g["value"][i] == g["value"][j] and g["root"][i] != g["root"][j] and g["id"][i] < g["id"][j]]
+        assert sorted(got) == sorted(want)
+
+
+def test_rounds_give_the_links_of_one(spark, docs, monkeypatch):
+    words = prose(60, 77).split()
+    rows = [(i, f"{prose(40, 900 + i)} {' '.join(w if j != 5 + i % 40 else f'edit{i}' for j, w in enumerate(words))} {prose(30, 300 + i)}") for i in range(8)]
+    rows += [(20 + i, f"{prose(50, 700 + i)} {' '.join(words[:46])} {prose(40, 800 + i)}") for i in range(3)]  # too short to be linked, but with values of the others
+    classes = lambda: sorted((x.doc_id, x.class_id) for x in passages.passage_classes(docs(rows)).collect())
+    want, turns = classes(), []
+    monkeypatch.setattr(passages, "ROUND_BYTES", 2000)
+    monkeypatch.setattr(passages, "ROUND_SHARE", 0)
+    monkeypatch.setattr(passages, "reduce", lambda f, x: turns.append(len(x)) or reduce(f, x))
+    assert classes() == want and {c for i, c in want if i < 8} == {0}
+    assert len(turns) == 1 and 1 < turns[0] < 40
