@@ -277,3 +277,29 @@ def test_scans_of_small_files_take_few_tasks(spark, sf_dir, name):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert _most_tasks(spark, name) <= spark.sparkContext.defaultParallelism
+
+
+def _numbered_tree(root, folders, files_each=4):
+    for folder in folders:
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for i in range(files_each):
+            (root / folder / f"doc_{i}.md").write_text(f"{folder} {i}")
+
+
+def test_large_trees_are_read_a_list_of_folders_at_a_time(spark, tmp_path):
+    """The driver kept all files of a tree at once."""
+    root = tmp_path / "tree"
+    _numbered_tree(root, ["2000/1", "2000/2", "2000/3", "2001/1", "a [1], {b}", "_hidden", ".cache", "2001/_x", "k=1"])
+    (root / "beside.md").write_text("beside folders")
+    (root / "_SUCCESS").write_text("left out")
+    for top in (str(root), f"file://{root}"):
+        lists = files.parts(spark, top, 8)
+        assert len(lists) >= 4 and files.parts(spark, top) == [[top]]
+        scan = lambda paths=None: files.scan_markdown(spark, top, paths=paths)
+        want = sorted((r.path, r.text) for r in scan().collect())
+        each = [scan(part).collect() for part in lists]
+        assert sorted((r.path, r.text) for rows in each for r in rows) == want and len(want) == 25
+        assert all(len(rows) <= 8 for rows in each)
+        assert sorted((r.path, r.text) for r in files.scanned(spark, top, scan, most=8).collect()) == want
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scanned(spark, str(tmp_path / "none"), lambda part: files.scan_markdown(spark, str(tmp_path / "none"), paths=part))
