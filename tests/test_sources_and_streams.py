@@ -303,3 +303,18 @@ def test_large_trees_are_read_a_list_of_folders_at_a_time(spark, tmp_path):
         assert sorted((r.path, r.text) for r in files.scanned(spark, top, scan, most=8).collect()) == want
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.scanned(spark, str(tmp_path / "none"), lambda part: files.scan_markdown(spark, str(tmp_path / "none"), paths=part))
+
+
+def test_streams_of_lists_give_each_file_once(spark, tmp_path):
+    """Runs that find new files, in old folders and new ones, add these alone."""
+    root, out, mark = tmp_path / "tree", str(tmp_path / "out"), str(tmp_path / "mark")
+    stream = lambda path: files.stream_markdown(spark, str(root), path=path).select("text")
+    run = lambda: sorted(r.text for r in files.streamed(spark, str(root), stream, out, mark, most=8).collect())
+    want = lambda: sorted(p.read_text() for p in root.rglob("*.md"))
+    _numbered_tree(root, ["2000/1", "2000/2", "2000/3", "2001/1", "x, {y}"])
+    assert run() == want() and len(want()) == 20 and len(list((tmp_path / "mark").glob("[0-9]*"))) >= 3
+    _numbered_tree(root, ["2000/4", "2002/1"])
+    (root / "2000/1/late.md").write_text("late")
+    (root / "beside.md").write_text("beside")
+    assert run() == want()
+    assert run() == want()
