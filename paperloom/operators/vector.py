@@ -18,6 +18,8 @@ from ..storage import written
 
 #: Bytes of a shard of vectors, of a block of queries, and of all blocks up to which these are broadcast.
 SHARD_BYTES, BLOCK_BYTES, BROADCAST_BYTES = 4 << 20, 1 << 20, 64 << 20
+#: Bytes of shards or blocks in a file, which a task decodes at once: hashed vectors are mostly zeros, so they take many times less on disk than in memory.
+FILE_BYTES = 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,7 +74,8 @@ def packed(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task + made, np.int32(dim), ids[part].astype("<i8").tobytes(), data.tobytes())], ["block", "dim", "ids", "data"])
                     made += 1
 
-    return written(rows.filter(finite(F.col("vec"))).select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, _BLOCK))
+    fit = rows.filter(finite(F.col("vec"))).select(F.col(id_col).cast("long"), F.col("vec").cast("array<double>"))
+    return written(fit.mapInArrow(run, _BLOCK), rows_a_file=max(1, FILE_BYTES // limit))
 
 
 def sharded(chunks: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def coded_index(chunks: DataFrame, dim: int, cells: int = 16, part: int = 4, sam
                     part_ = own[at : at + SHARD_BYTES // len(cuts)]
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (np.int32(c), ids[part_].astype("<i8").tobytes(), codes[part_].tobytes())], ["cell", "ids", "codes"])
 
-    return CodedIndex(written(rows.mapInArrow(code, "cell int, ids binary, codes binary")), centres, books)
+    return CodedIndex(written(rows.mapInArrow(code, "cell int, ids binary, codes binary"), rows_a_file=max(1, FILE_BYTES // SHARD_BYTES)), centres, books)
 
 
 def probe_top_k(queries: DataFrame, chunks: DataFrame, k: int = 20, cells: int = 16, probes: int = 14, rerank: int | None = None, index: CodedIndex | None = None) -> DataFrame:

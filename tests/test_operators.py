@@ -514,3 +514,17 @@ def test_texts_are_inverted_some_at_a_time(spark, monkeypatch):
     texts = ["x" * n for n in (5, 0, 3 << 20, 1 << 20, 1 << 20, 7)] + [None]
     parts = list(grams.slices(iter([pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["ord", "text"])]), 1))
     assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5, 6]]
+
+
+def test_few_shards_lie_in_a_file(spark, monkeypatch):
+    """Spark decodes up to 4,096 rows of a file at once, and a task wrote all of its shards, some MB each, to one."""
+    monkeypatch.setattr(vector, "SHARD_BYTES", 8 << 10)
+    monkeypatch.setattr(vector, "FILE_BYTES", 32 << 10)
+    rows = spark.range(0, 4000, 1, 1).select("id", F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("vec"))
+    shards = vector.sharded(rows)
+    held = [r.n for r in shards.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 32 and max(held) <= 4
+    index = vector.coded_index(rows, 8, cells=2)
+    assert index.shards.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 4
+    asked = rows.filter("id % 500 = 0").withColumnRenamed("id", "query_id")
+    assert {r.query_id: r.id for r in vector.exact_top_k(asked, None, 1, shards=shards).collect()} == {i: i for i in range(0, 4000, 500)}
